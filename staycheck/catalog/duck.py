@@ -3,7 +3,7 @@
 import re
 
 from staycheck import values
-from staycheck.plans.adapters import NATIONALITIES, RATES
+from staycheck.plans.adapters import ALTERNATIVE, METRIC_NO, NATIONALITIES, RATES
 from staycheck.sources.rulesets import rulesets
 
 VIEWS: dict[str, str] = {}
@@ -25,7 +25,10 @@ def with_views(sql: str) -> str:
 
     scan(sql)
     ctes = [f"{name} AS ({VIEWS[name]})" for name in VIEWS if name in needed]
-    return ("WITH RECURSIVE " + ",\n".join(ctes) + "\n" + sql) if ctes else sql
+    if not ctes:
+        return sql
+    head, sql = "WITH RECURSIVE " + ",\n".join(ctes), sql.strip()
+    return f"{head},\n{sql[4:]}" if sql.upper().startswith("WITH ") else f"{head}\n{sql}"
 
 
 def lit(value) -> str:
@@ -199,3 +202,114 @@ view("v_base", """
 SELECT * FROM v_values WHERE ruleset_id = 'BASELINE'""")
 view("v_perm", """
 SELECT * FROM v_values WHERE ruleset_id <> 'BASELINE' AND v IS NOT NULL""")
+
+
+def col_letters(n: str) -> str:
+    return (f"CASE WHEN {n} <= 26 THEN chr(64 + CAST({n} AS INTEGER)) "
+            f"WHEN {n} <= 702 THEN chr(CAST(65 + ({n} - 27) // 26 AS INTEGER)) || "
+            f"chr(CAST(65 + ({n} - 27) % 26 AS INTEGER)) END")
+
+
+def transposed(v: str) -> str:
+    d = f"CAST(CAST({v} AS BIGINT) AS VARCHAR)"
+    return (f"CASE WHEN {v} = floor({v}) AND length({d}) >= 2 "
+            f"AND substring({d},1,1) <> substring({d},2,1) THEN CAST(substring({d},2,1) || "
+            f"substring({d},1,1) || substring({d},3) AS DECIMAL(38,10)) END")
+
+
+POSITION = """CASE WHEN length(period) = 7 AND period[6:6] <> 'Q'
+    THEN (CAST(period[1:4] AS INTEGER) - 1995) * 12 + CAST(period[6:7] AS INTEGER) - 1
+  WHEN length(period) = 7 THEN 100 + (CAST(period[1:4] AS INTEGER) - 1995) * 4
+    + CAST(period[7:7] AS INTEGER) - 1
+  ELSE 200 + CAST(period AS INTEGER) - 1995 END"""
+METRIC_CASE = "CASE metric " + " ".join(
+    f"WHEN '{k}' THEN {v}" for k, v in METRIC_NO.items()) + " END"
+ALT_CASE = "CASE metric " + " ".join(
+    f"WHEN '{k}' THEN '{v}'" for k, v in ALTERNATIVE.items()) + " END"
+
+view("v_keys", """
+SELECT submission_id, metric, period, dimension, value_key, metric_key,
+  max(v) FILTER (ruleset_id = 'BASELINE') AS v, max(nv) FILTER (ruleset_id = 'BASELINE') AS nv,
+  max(v) FILTER (ruleset_id = 'P-HOUSE-INCLUDED') AS house,
+  max(v) FILTER (ruleset_id = """ + ALT_CASE + """) AS alt
+FROM v_values GROUP BY ALL""")
+
+view("v_filed", f"""
+SELECT *, CAST(CASE WHEN hotel_no % 5 = 4 THEN v
+  WHEN v IS NULL AND nv IS NULL THEN CASE WHEN h = 5 THEN house END
+  WHEN v IS NULL THEN CASE WHEN h = 6 THEN 50 END
+  WHEN h = 0 THEN v + 1
+  WHEN h = 1 THEN coalesce({transposed('v')}, v)
+  WHEN h = 2 THEN coalesce(alt, v)
+  WHEN h = 3 THEN NULL
+  WHEN h = 4 AND metric = 'occupancy_pct' THEN v + 0.05 ELSE v END AS DECIMAL(38,10)) AS filed
+FROM (SELECT *, CAST(submission_id[3:] AS INTEGER) AS hotel_no,
+    (ascii(period[-1:]) + ascii(period[4:4]) * 3 + CAST(submission_id[3:] AS INTEGER) * 5
+     + ({METRIC_CASE}) * 7
+     + CASE WHEN value_key IS NULL THEN 0 ELSE ascii(value_key) + ascii(value_key[-1:]) * 2 END
+    ) % 12 AS h FROM v_keys)""")
+
+view("v_claims", f"""
+SELECT *, {col_letters('col')} || CAST(row AS VARCHAR) AS cell,
+  metric || ':' || period || CASE WHEN dimension IS NULL THEN ''
+    ELSE ':' || dimension || '=' || value_key END AS metric_key
+FROM (SELECT submission_id, metric, period, dimension, value_key, value,
+    CASE WHEN dimension IS NULL THEN 'Occupancy' ELSE 'Nationality' END AS sheet,
+    CAST(CASE WHEN dimension IS NULL THEN 5 + {POSITION}
+      ELSE 4 + list_position({lit(NATIONALITIES + ['XK'])}, value_key) END AS INTEGER) AS row,
+    CAST(CASE WHEN dimension IS NULL THEN 1 + {METRIC_CASE} ELSE 2 + {POSITION} END AS INTEGER)
+      AS col
+  FROM (SELECT submission_id, metric, period, dimension, value_key, filed AS value FROM v_filed
+        WHERE filed IS NOT NULL
+        UNION ALL
+        SELECT submission_id, 'guests_by_nationality', period, 'nationality_iso2', 'XK',
+          CAST(5 AS DECIMAL(38,10)) FROM v_filed WHERE metric = 'room_nights_sold' AND h = 7))""")
+
+view("v_pairs", """
+SELECT coalesce(c.submission_id, b.submission_id) AS submission_id,
+  coalesce(c.metric_key, b.metric_key) AS metric_key, coalesce(c.metric, b.metric) AS metric,
+  coalesce(c.period, b.period) AS period, coalesce(c.dimension, b.dimension) AS dimension,
+  coalesce(c.value_key, b.value_key) AS value_key, c.value AS claimed, c.sheet, c.cell,
+  b.v AS computed, b.nv,
+  CASE WHEN b.nv IS NOT NULL THEN 'not_verifiable'
+    WHEN c.value IS NOT NULL AND b.v IS NOT NULL THEN 'matched'
+    WHEN c.value IS NOT NULL THEN 'orphan_claim' ELSE 'missing_claim' END AS pairing
+FROM v_claims c FULL JOIN v_base b
+  ON c.submission_id = b.submission_id AND c.metric_key = b.metric_key""")
+
+view("v_explained", """
+SELECT p.submission_id, p.metric_key, q.ruleset_id, q.ord FROM v_pairs p JOIN v_perm q
+  ON p.submission_id = q.submission_id AND p.metric_key = q.metric_key
+WHERE abs(p.claimed - q.v) <= CASE WHEN p.metric = 'occupancy_pct' THEN 0.10 ELSE 0 END
+  AND (p.computed IS NULL OR abs(p.claimed - p.computed)
+       > CASE WHEN p.metric = 'occupancy_pct' THEN 0.10 ELSE 0 END)""")
+
+view("v_classes", rows(values.CLASS_RULES,
+                       "variance_class, class_name, severity, proposes, escalates_to"))
+
+view("v_class", """
+SELECT p.*, e.ids, CASE WHEN pairing = 'matched' AND claimed = computed THEN NULL
+  WHEN pairing = 'not_verifiable' AND claimed IS NULL THEN NULL
+  WHEN pairing = 'not_verifiable' THEN 'V7' WHEN e.ids IS NOT NULL THEN 'V2'
+  WHEN pairing IN ('missing_claim', 'orphan_claim') THEN 'V5'
+  WHEN abs(claimed - computed) > CASE WHEN metric = 'occupancy_pct' THEN 0.10 ELSE 0 END THEN 'V1'
+  ELSE 'V6' END AS variance_class
+FROM v_pairs p LEFT JOIN (SELECT submission_id, metric_key, list(ruleset_id ORDER BY ord) AS ids
+  FROM v_explained GROUP BY ALL) e USING (submission_id, metric_key)""")
+
+view("v_allfind", """
+SELECT c.submission_id, c.metric_key, c.metric, c.period, c.dimension, c.value_key,
+  c.variance_class, k.severity, k.escalates_to, c.claimed, c.computed,
+  c.claimed - c.computed AS difference, CASE WHEN k.proposes THEN c.computed END AS correction,
+  CASE WHEN c.variance_class = 'V2' THEN c.ids[1] END AS explaining,
+  CASE WHEN c.variance_class = 'V2' THEN c.ids[2:] ELSE [] END AS also, c.sheet, c.cell,
+  CASE WHEN c.variance_class = 'V7' AND nv = 'missing_inventory_reference' THEN 'D-RNA-04'
+    WHEN c.variance_class = 'V7' THEN 'D-CLS-01' WHEN c.variance_class = 'V2' THEN 'D-CLS-07'
+    WHEN pairing = 'orphan_claim' THEN 'D-MAT-05' WHEN c.variance_class = 'V5' THEN 'D-MAT-04'
+    WHEN c.variance_class = 'V1' THEN 'D-CLS-04' ELSE 'D-TOL-04' END AS clause
+FROM v_class c JOIN v_classes k ON c.variance_class = k.variance_class""")
+
+view("v_find", """
+SELECT *, 'F-' || lpad(CAST(row_number() OVER (PARTITION BY submission_id
+    ORDER BY variance_class = 'V2', metric_key) AS VARCHAR), 4, '0') AS finding_id
+FROM v_allfind WHERE severity <> 'informational'""")

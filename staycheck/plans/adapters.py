@@ -7,7 +7,11 @@ are planted by fixed rules on ids, so every check has something to find at every
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from staycheck import values
 from staycheck.functions import periods
+from staycheck.functions.cells import cell_ref
+from staycheck.functions.keys import render_key
+from staycheck.functions.text import transpose_digits
 from staycheck.operators.ranking import ranked
 
 NATIONALITIES = [
@@ -102,3 +106,82 @@ def declared_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.expr("interval 1 month"))
     labels = F.array_distinct(F.flatten(F.transform(months, periods.periods_of_month)))
     return hotels(spark, sf_dir).select("submission_id", F.explode(labels).alias("period"))
+
+
+ALTERNATIVE = {
+    "room_nights_sold": "P-MONTH-ARRIVAL", "room_nights_available": "P-OOO-INCLUDED",
+    "occupancy_pct": "P-OCC-DENOM-ROOMS", "guests_by_nationality": "P-CHILDREN-EXCLUDED",
+}
+METRIC_NO = {"room_nights_sold": 1, "room_nights_available": 2, "occupancy_pct": 3,
+             "guests_by_nationality": 4}
+
+
+def plant(metric_no, value_key) :
+    """Which error, if any, is planted on a claim: 0..11 by a rule on its key."""
+    extra = F.when(value_key.isNotNull(),
+                   F.ascii(value_key) + F.ascii(F.right(value_key, F.lit(1))) * 2).otherwise(0)
+    return (F.ascii(F.right("period", F.lit(1))) + F.ascii(F.substring("period", 4, 1)) * 3
+            + hotel_no() * 5 + metric_no * 7 + extra) % 12
+
+
+def hotel_no():
+    return F.substring("submission_id", 3, 20).cast("int")
+
+
+def period_position():
+    year = F.substring("period", 1, 4).cast("int") - 1995
+    kind = periods.period_kind(F.col("period"))
+    return (
+        F.when(kind == "month", year * 12 + F.substring("period", 6, 2).cast("int") - 1)
+        .when(kind == "quarter", 100 + year * 4 + F.substring("period", 7, 1).cast("int") - 1)
+        .otherwise(200 + year)
+    )
+
+
+def claims(metrics: DataFrame) -> DataFrame:
+    """A workbook's claims: the computed figures with planted errors, in their cells.
+
+    Hotels ending in 4 or 9 filed correct figures."""
+    metric_no = F.create_map(*[F.lit(x) for kv in METRIC_NO.items() for x in kv])[F.col("metric")]
+    wanted = F.create_map(*[F.lit(x) for kv in ALTERNATIVE.items() for x in kv])[F.col("metric")]
+
+    def under(ruleset):
+        return F.get(F.filter("permuted", lambda p: p["ruleset_id"] == ruleset), F.lit(0))["value"]
+
+    v, h = F.col("computed"), F.col("h")
+    occ = F.col("metric") == "occupancy_pct"
+    filed = (
+        F.when(hotel_no() % 5 == 4, v)
+        .when(v.isNull() & F.col("nv_reason").isNull(), F.when(h == 5, under("P-HOUSE-INCLUDED")))
+        .when(v.isNull(), F.when(h == 6, F.lit(50)))
+        .when(h == 0, v + 1)
+        .when(h == 1, F.coalesce(transpose_digits(v), v))
+        .when(h == 2, F.coalesce(under(wanted), v))
+        .when(h == 3, None)
+        .when((h == 4) & occ, v + F.lit("0.05").cast("decimal(4,2)"))
+        .otherwise(v)
+    ).cast("decimal(38,10)")
+    stated = metrics.withColumn("h", plant(metric_no, F.col("value_key"))).withColumn(
+        "filed", filed)
+    orphan = (F.col("metric") == "room_nights_sold") & (F.col("h") == 7)
+    entries = F.array_compact(F.array(
+        F.when(F.col("filed").isNotNull(), F.struct(
+            "metric", "dimension", "value_key", F.col("filed").alias("value"))),
+        F.when(orphan, F.struct(
+            F.lit("guests_by_nationality").alias("metric"), F.lit(values.DIMENSION)
+            .alias("dimension"), F.lit("XK").alias("value_key"),
+            F.lit(5).cast("decimal(38,10)").alias("value")))))
+    rows = stated.select("submission_id", "period", F.explode(entries).alias("e")).select(
+        "submission_id", "period", "e.metric", "e.dimension", "e.value_key", "e.value")
+    nat = F.array_position(F.array(*[F.lit(n) for n in NATIONALITIES + ["XK"]]),
+                           F.col("value_key"))
+    by_nat = F.col("metric") == "guests_by_nationality"
+    row = F.when(by_nat, F.lit(4) + nat).otherwise(F.lit(5) + period_position()).cast("int")
+    number = F.create_map(*[F.lit(x) for kv in METRIC_NO.items() for x in kv])[F.col("metric")]
+    col = F.when(by_nat, F.lit(2) + period_position()).otherwise(number + 1).cast("int")
+    return rows.select(
+        "submission_id", "metric", "period", "dimension", "value_key",
+        render_key(F.col("metric"), F.col("period"), F.col("dimension"), F.col("value_key"))
+        .alias("metric_key"), "value",
+        F.when(by_nat, "Nationality").otherwise("Occupancy").alias("sheet"),
+        row.alias("row"), col.alias("col"), cell_ref(row, col).alias("cell"))
