@@ -313,3 +313,82 @@ view("v_find", """
 SELECT *, 'F-' || lpad(CAST(row_number() OVER (PARTITION BY submission_id
     ORDER BY variance_class = 'V2', metric_key) AS VARCHAR), 4, '0') AS finding_id
 FROM v_allfind WHERE severity <> 'informational'""")
+
+# report rows behind each finding
+view("v_rowper", """
+SELECT DISTINCT r.submission_id, r.nationality_iso2, r.status, r.rate_code, r.file, r.page,
+  r.row_no, r.reservation_id, p.period
+FROM v_rows r JOIN v_periods p
+  ON r.arrival_date <= p.last_day AND r.departure_date >= p.first_day""")
+
+view("v_cited", """
+SELECT f.submission_id, f.metric_key, 'pdf' AS source_kind, r.file, r.page, r.row_no
+FROM v_find f JOIN v_rules q ON q.ruleset_id = coalesce(f.explaining, 'BASELINE')
+JOIN v_rowper r ON r.submission_id = f.submission_id AND r.period = f.period
+  AND list_contains(q.status_in, r.status) AND list_contains(q.rate_in, r.rate_code)
+  AND (f.value_key IS NULL OR f.value_key = r.nationality_iso2)
+WHERE f.metric <> 'room_nights_available' AND (f.computed IS NOT NULL OR f.explaining IS NOT NULL)
+UNION ALL
+SELECT f.submission_id, f.metric_key, 'inventory', i.file, NULL, i.row_no
+FROM v_find f JOIN v_periods p ON p.period = f.period
+JOIN v_inv i ON i.submission_id = f.submission_id AND i.day BETWEEN p.first_day AND p.last_day
+WHERE f.metric IN ('room_nights_available', 'occupancy_pct')
+  AND (f.computed IS NOT NULL OR f.explaining IS NOT NULL)""")
+
+view("v_evidence", """
+SELECT submission_id, metric_key, source_kind, file, page,
+  CAST(min(row_no) AS INTEGER) AS row_start, CAST(max(row_no) AS INTEGER) AS row_end
+FROM (SELECT *, row_no - row_number() OVER (
+    PARTITION BY submission_id, metric_key, source_kind, file, page ORDER BY row_no) AS g
+  FROM (SELECT DISTINCT * FROM v_cited))
+GROUP BY submission_id, metric_key, source_kind, file, page, g""")
+
+view("v_findsrc", """
+SELECT f.*, coalesce(e.source_kind, 'not_reached') AS source_kind, e.file AS source_file,
+  e.page AS source_page, e.row_start AS source_row_start, e.row_end AS source_row_end
+FROM v_find f LEFT JOIN (SELECT * FROM v_evidence QUALIFY row_number() OVER (
+    PARTITION BY submission_id, metric_key
+    ORDER BY source_kind = 'inventory', file, page, row_start) = 1) e
+  USING (submission_id, metric_key)""")
+
+view("v_reviews", """
+SELECT 'H-' || (user_id // 15) AS submission_id,
+  'F-' || lpad(CAST(event_id % 500 + 1 AS VARCHAR), 4, '0') AS finding_id,
+  CASE event_type WHEN 'purchase' THEN 'amend' WHEN 'view' THEN 'reject' ELSE 'accept' END
+    AS decision,
+  CASE WHEN event_id % 37 = 0 THEN ' ' WHEN event_id % 41 = 0 THEN 'a' || chr(10) || 'b'
+    ELSE 'officer ' || user_id END AS reviewer,
+  CASE WHEN event_type = 'purchase' AND event_id % 5 <> 0
+    THEN CASE WHEN event_id % 7 = 0 THEN 'NaN' ELSE CAST(event_id % 100 AS VARCHAR) END
+    WHEN event_id % 43 = 0 THEN '1' END AS amended_value, event_id AS seq FROM events""")
+
+view("v_summary", """
+SELECT h.submission_id, coalesce(a.findings, 0) AS findings,
+  coalesce(a.definitional_items, 0) AS definitional_items,
+  coalesce(a.hotel_errors, 0) AS hotel_errors, coalesce(a.blocking, 0) AS blocking,
+  coalesce(a.material, 0) AS material, coalesce(a.informational, 0) AS informational,
+  coalesce(a.undecided_findings, 0) AS undecided_findings,
+  coalesce(n.nv, 0) AS not_verifiable, CAST(0 AS BIGINT) AS out_of_scope_claims
+FROM v_hotels h LEFT JOIN (
+  SELECT f.submission_id, count(*) FILTER (variance_class <> 'V2') AS findings,
+    count(*) FILTER (variance_class = 'V2') AS definitional_items,
+    count(*) FILTER (variance_class IN ('V1', 'V5')) AS hotel_errors,
+    count(*) FILTER (severity = 'blocking') AS blocking,
+    count(*) FILTER (severity = 'material') AS material,
+    count(*) FILTER (severity = 'informational') AS informational,
+    count(*) FILTER (r.finding_id IS NULL) AS undecided_findings
+  FROM v_find f LEFT JOIN (SELECT DISTINCT submission_id, finding_id FROM v_reviews) r
+    USING (submission_id, finding_id) GROUP BY ALL) a USING (submission_id)
+LEFT JOIN (SELECT submission_id, count(*) AS nv FROM v_pairs
+  WHERE pairing = 'not_verifiable' AND claimed IS NULL GROUP BY ALL) n USING (submission_id)""")
+
+view("v_verdicts", """
+SELECT *, CASE WHEN blocking > 0 THEN 'HALTED' WHEN definitional_items > 0 THEN 'ESCALATED'
+  WHEN findings > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM v_summary""")
+
+view("v_narr", """
+SELECT f.submission_id, f.finding_id, f.explaining, f.also, n,
+  CASE WHEN n % 17 = 0 THEN 'F-0000' ELSE f.finding_id END AS echoed_id,
+  CASE WHEN n % 3 = 0 THEN f.explaining WHEN n % 19 = 0 THEN 'P-OOO-INCLUDED' END AS cites,
+  repeat(f.metric_key || ' ', CASE WHEN n % 23 = 0 THEN 30 ELSE 1 END) AS sentence
+FROM (SELECT *, CAST(finding_id[3:6] AS INTEGER) AS n FROM v_find) f""")

@@ -94,7 +94,7 @@ FROM v_invp i LEFT JOIN v_sold s ON s.submission_id = i.submission_id AND s.peri
   AND s.ruleset_id = 'BASELINE'""")
 def _(spark, sf):
     base = rulesets()[:1]
-    sold = m.period_rows(m.month_cube(a.reservations(spark, sf), base), base)
+    sold = m.period_rows(m.month_cube(a.reservations(spark, sf), base), base).filter("is_total")
     name = next(c for c in sold.columns if c.startswith("s_"))
     inv = m.inventory_periods(a.inventory(spark, sf))
     n = F.coalesce(F.col(name), F.lit(0)).cast("double")

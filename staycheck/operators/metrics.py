@@ -2,9 +2,8 @@
 
 Reservations are expanded only to the calendar months they touch. One aggregate to (submission,
 month, nationality) carries a sum per distinct reading of the rules; months then roll up into
-quarters and years on that small table. The nationalities of one (submission, period) fit in an
-array because an alpha-2 code has at most 676 values, so each period becomes one row and the
-reservations are scanned once.
+quarters and years on that small table, and one set of grouping sets gives the totals beside the
+nationalities, so the reservations are scanned and shuffled once for all rulesets.
 """
 
 from dataclasses import dataclass
@@ -71,30 +70,37 @@ def stay_months(res: DataFrame) -> DataFrame:
     )
 
 
-def _sold(rules: Ruleset) -> Column:
+def _in(column: str, members: tuple) -> str:
+    return f"{column} in (" + ", ".join(f"'{v}'" for v in members) + ")"
+
+
+def _who(rules: Ruleset) -> str:
+    return f"({_in('status', rules.status_in)} and {_in('rate_code', rules.rate_in)})"
+
+
+def _sold(rules: Ruleset) -> str:
     basis = {
-        "occupied_night": F.col("rooms") * F.col("nights_in"),
-        "arrival_month": F.when(F.col("arrives"), F.col("room_nights")).otherwise(0),
-        "departure_month": F.when(F.col("departs"), F.col("room_nights")).otherwise(0),
+        "occupied_night": "rooms * nights_in",
+        "arrival_month": "if(arrives, room_nights, 0)",
+        "departure_month": "if(departs, room_nights, 0)",
     }[rules.occ_month_basis]
     if rules.day_use_counts_room_nights:
-        basis = F.when(F.col("is_day_use"), F.when(F.col("arrives"), F.col("rooms")).otherwise(0)
-                       ).otherwise(basis)
-    return F.when(_qualifies(rules), basis).otherwise(0).cast("bigint")
+        basis = f"if(is_day_use, if(arrives, rooms, 0), {basis})"
+    return f"sum(cast(if({_who(rules)}, {basis}, 0) as bigint))"
 
 
-def _guest_rows(rules: Ruleset) -> Column:
+def _guest_rows(rules: Ruleset) -> str:
     counted = {"occupied_night": "stays", "arrival_month": "arrives",
                "departure_month": "departs"}[rules.nat_month_basis]
-    cond = _qualifies(rules) & F.col(counted)
-    return cond if rules.day_use_counts_guests else cond & ~F.col("is_day_use")
+    day_use = "" if rules.day_use_counts_guests else " and not is_day_use"
+    return f"({_who(rules)} and {counted}{day_use})"
 
 
-def _contribution(rules: Ruleset) -> Column:
+def _contribution(rules: Ruleset) -> str:
     return {
-        "guests": F.col("adults") + (F.col("children") if rules.include_children else F.lit(0)),
-        "arrivals": F.lit(1),
-        "room_nights": F.col("room_nights"),
+        "guests": "adults + children" if rules.include_children else "adults",
+        "arrivals": "1",
+        "room_nights": "room_nights",
     }[rules.counts]
 
 
@@ -118,49 +124,43 @@ def _names(rules: Ruleset) -> _Names:
 
 def month_cube(res: DataFrame, rules: list[Ruleset]) -> DataFrame:
     """Sums per (submission, month, nationality), one column per distinct measure."""
-    measures: dict[str, Column] = {}
+    measures: dict[str, str] = {}
     for r in rules:
         n = _names(r)
-        measures[n.touch] = F.count_if(_qualifies(r))
-        measures[n.sold] = F.sum(_sold(r))
+        measures[n.touch] = f"count_if({_who(r)})"
+        measures[n.sold] = _sold(r)
         rows, value = _guest_rows(r), _contribution(r)
-        measures[n.guest_rows] = F.count_if(rows)
-        for suffix, flag in (("", None), ("_q", "first_in_quarter"), ("_y", "first_in_year")):
-            if flag and r.nat_month_basis != "occupied_night":
-                continue
-            cond = rows if flag is None else rows & F.col(flag)
-            measures[n.guests + suffix] = F.sum(F.when(cond, value).otherwise(0).cast("bigint"))
+        measures[n.guest_rows] = f"count_if({rows})"
+        measures[n.guests] = f"sum(cast(if({rows}, {value}, 0) as bigint))"
+        if r.nat_month_basis == "occupied_night":
+            # a stay counts once in a quarter or year however many of its months it touches
+            for suffix, flag in (("_q", "first_in_quarter"), ("_y", "first_in_year")):
+                measures[n.guests + suffix] = (
+                    f"sum(cast(if({rows} and {flag}, {value}, 0) as bigint))")
     return stay_months(res).groupBy("submission_id", "month", "nationality_iso2").agg(
-        *[c.alias(name) for name, c in measures.items()])
+        *[F.expr(f"{sql} as {name}") for name, sql in measures.items()])
 
 
 def period_rows(cube: DataFrame, rules: list[Ruleset]) -> DataFrame:
-    """One row per (submission, period): totals, and the nationalities as a bounded array."""
-    names = [_names(r) for r in rules]
-    guests = sorted({(n.guests, r.nat_month_basis) for n, r in zip(names, rules)})
-    rows = sorted({n.guest_rows for n in names})
-    totals = sorted({n.touch for n in names} | {n.sold for n in names})
-    level = F.col("_p.kind")
-
-    def picked(name: str, basis: str) -> Column:
-        if basis != "occupied_night":
-            return F.col(name)
-        return F.when(level == "quarter", F.col(f"{name}_q")).when(
-            level == "year", F.col(f"{name}_y")).otherwise(F.col(name))
-
-    labels = F.array(*[
-        F.struct(F.lit(kind).alias("kind"), fn(F.col("month")).alias("period"))
-        for kind, fn in (("month", periods.month_label), ("quarter", periods.quarter_label),
-                         ("year", periods.year_label))])
-    by_nat = (
-        cube.withColumn("_p", F.explode(labels))
-        .groupBy("submission_id", F.col("_p.period").alias("period"), "nationality_iso2")
-        .agg(*[F.sum(c).alias(c) for c in totals + rows],
-             *[F.sum(picked(g, basis)).alias(g) for g, basis in guests])
-    )
-    return by_nat.groupBy("submission_id", "period").agg(
-        *[F.sum(c).alias(c) for c in totals],
-        F.collect_list(F.struct("nationality_iso2", *rows, *[g for g, _ in guests])).alias("nats"))
+    """Sums per (submission, period, nationality) and, with is_total, per (submission, period)."""
+    sums: dict[str, str] = {}
+    for r in rules:
+        n = _names(r)
+        for c in (n.touch, n.sold, n.guest_rows, n.guests):
+            sums[c] = f"sum({c})"
+        if r.nat_month_basis == "occupied_night":
+            g = n.guests
+            sums[g] = f"sum(case kind when 'quarter' then {g}_q when 'year' then {g}_y else {g} end)"
+    labels = """inline(array(
+        struct('month' as kind, date_format(month, 'yyyy-MM') as period),
+        struct('quarter' as kind,
+               concat(date_format(month, 'yyyy'), '-Q', quarter(month)) as period),
+        struct('year' as kind, date_format(month, 'yyyy') as period)))"""
+    by = ["submission_id", "period", "nationality_iso2"]
+    return cube.selectExpr("*", labels).groupingSets(
+        [by, by[:2]], *[F.col(c) for c in by]
+    ).agg((F.grouping("nationality_iso2") == 1).alias("is_total"),
+          *[F.expr(f"{sql} as {name}") for name, sql in sums.items()])
 
 
 def inventory_periods(inv: DataFrame) -> DataFrame:
@@ -176,17 +176,12 @@ def inventory_periods(inv: DataFrame) -> DataFrame:
         *[F.max(c).alias(c) for c in ("max_net", "max_gross")])
 
 
-def half_up_pct(numerator: Column, denominator: Column) -> Column:
-    """100 * numerator / denominator to two places, half up, in whole-number arithmetic."""
-    n, d = numerator.cast("bigint"), denominator.cast("bigint")
-    hundredths = F.call_function("div", n * 20000 + d, F.nullif(d * 2, F.lit(0)))
-    return (hundredths.cast("decimal(18,0)") / 100).cast("decimal(18,2)")
-
-
-def occupancy(sold: Column, denominator: Column) -> Column:
-    """A closed period is 0.00, not an error; nothing caps the result at 100."""
-    return F.when(denominator == 0, F.lit("0.00").cast("decimal(18,2)")).otherwise(
-        half_up_pct(sold, denominator))
+def occupancy_sql(sold: str, denominator: str) -> str:
+    """100 * sold / denominator to two places, half up, in whole-number arithmetic. A closed period
+    is 0.00, not an error; nothing caps the result at 100."""
+    return (f"if({denominator} = 0, cast(0 as decimal(18,2)), cast(cast(({sold} * 20000 + "
+            f"{denominator}) div nullif({denominator} * 2, 0) as decimal(18,0)) / 100 "
+            "as decimal(18,2)))")
 
 
 def metric_values(res: DataFrame, inv: DataFrame | None, declared: DataFrame,
@@ -194,100 +189,92 @@ def metric_values(res: DataFrame, inv: DataFrame | None, declared: DataFrame,
     """One row per (submission, metric key).
 
     computed holds the baseline value, nv_reason why there is none, and permuted the value under
-    every alternative that applies to the metric, in committed order. Keys only an alternative
-    produces have neither computed nor nv_reason.
+    every alternative that applies to the metric, in committed order (null where that alternative
+    has none). Keys only an alternative produces have neither computed nor nv_reason.
     """
     rules = rules or rulesets()
     base = declared.select("submission_id", "period").join(
         period_rows(month_cube(res, rules), rules), ["submission_id", "period"], "left")
     if inv is None:
-        base = base.withColumns({c: F.lit(None).cast("bigint") for c in
-                                 ("days", "net", "gross", "max_net", "max_gross")})
-        base = base.withColumn("has_inventory", F.lit(False))
+        base = base.selectExpr("*", "0L as days", "0L as net", "0L as gross", "0 as max_net",
+                               "0 as max_gross", "false as has_inventory")
     else:
         stocked = inv.select("submission_id").distinct().withColumn("has_inventory", F.lit(True))
         base = base.join(inventory_periods(inv), ["submission_id", "period"], "left").join(
-            stocked, "submission_id", "left").withColumn(
-            "has_inventory", F.coalesce("has_inventory", F.lit(False)))
-    return base.select("submission_id", "period", F.explode(_entries(rules)).alias("m")).select(
-        "submission_id", "m.metric", "period", "m.dimension", "m.value_key",
-        render_key(F.col("m.metric"), F.col("period"), F.col("m.dimension"), F.col("m.value_key"))
+            stocked, "submission_id", "left").withColumns({
+                "has_inventory": F.coalesce("has_inventory", F.lit(False)),
+                "days": F.coalesce("days", F.lit(0))})
+    entries = f"if(coalesce(is_total, true), array({_period_entries(rules)}), array({_guests(rules)}))"
+    return base.selectExpr("submission_id", "period", f"inline({entries})").filter(
+        "coalesce(computed, any_permuted) is not null or nv_reason is not null"
+    ).select(
+        "submission_id", "metric", "period", "dimension", "value_key",
+        render_key(F.col("metric"), F.col("period"), F.col("dimension"), F.col("value_key"))
         .alias("metric_key"),
-        "m.computed", "m.nv_reason",
-        F.filter("m.permuted", lambda p: p["value"].isNotNull()).alias("permuted"))
-
+        "computed", "nv_reason", "permuted")
 
-def _entries(rules: list[Ruleset]) -> Column:
-    baseline, has_inv = rules[0], F.col("has_inventory")
-    days = F.coalesce(F.col("days"), F.lit(0))
 
-    def denominator(r: Ruleset) -> Column:
-        name = "net" if r.exclude_out_of_order else "gross"
-        if r.denominator == "rooms_available":
-            name = f"max_{name}"
-        return F.coalesce(F.col(name), F.lit(0))
+def _entry(metric: str, dimension: str, value_key: str, computed: str, reason: str,
+           permuted: list[tuple[Ruleset, str]]) -> str:
+    found = ", ".join(
+        f"named_struct('ord', {r.ord}, 'ruleset_id', '{r.ruleset_id}', "
+        f"'value', cast({sql} as {VALUE_TYPE}))" for r, sql in permuted)
+    values_ = ", ".join(f"cast({sql} as {VALUE_TYPE})" for _, sql in permuted)
+    array_type = f"array<struct<ord:int,ruleset_id:string,value:{VALUE_TYPE}>>"
+    return (
+        f"named_struct('metric', '{metric}', 'dimension', cast({dimension} as string), "
+        f"'value_key', cast({value_key} as string), 'computed', cast({computed} as {VALUE_TYPE}), "
+        f"'nv_reason', cast({reason} as string), "
+        f"'permuted', cast(array({found}) as {array_type}), "
+        f"'any_permuted', {'coalesce(' + values_ + ')' if values_ else f'cast(null as {VALUE_TYPE})'})")
 
-    def touched(r: Ruleset) -> Column:
-        return F.coalesce(F.col(_names(r).touch), F.lit(0)) > 0
 
-    def sold(r: Ruleset) -> Column:
-        return F.coalesce(F.col(_names(r).sold), F.lit(0))
+def _period_entries(rules: list[Ruleset]) -> str:
+    """The three figures every declared period has, as SQL structs."""
 
-    def available(r: Ruleset) -> Column:
-        return F.coalesce(F.col("net" if r.exclude_out_of_order else "gross"), F.lit(0))
+    def touched(r: Ruleset) -> str:
+        return f"coalesce({_names(r).touch}, 0) > 0"
 
-    def value(metric: str, r: Ruleset) -> Column:
+    def value(metric: str, r: Ruleset) -> str:
+        rooms = "net" if r.exclude_out_of_order else "gross"
+        sold = f"coalesce({_names(r).sold}, 0)"
         if metric == "room_nights_sold":
-            v = F.when(touched(r), sold(r))
-        elif metric == "room_nights_available":
-            v = F.when(has_inv & (days > 0), available(r))
-        else:
-            v = F.when(has_inv & (touched(r) | (days > 0)), occupancy(sold(r), denominator(r)))
-        return v.cast(VALUE_TYPE)
-
-    def reason(metric: str) -> Column:
-        missing = F.lit("missing_inventory_reference")
-        if metric == "room_nights_sold":
-            return F.when(~touched(baseline), "no_source_rows")
+            return f"if({touched(r)}, {sold}, null)"
         if metric == "room_nights_available":
-            return F.when(~has_inv, missing).when(days == 0, "no_source_rows")
-        return F.when(~has_inv, missing).when(
-            ~touched(baseline) & (days == 0), "no_source_rows")
-
-    def permuted(metric: str, fn) -> Column:
-        found = [F.struct(F.lit(r.ord).alias("ord"), F.lit(r.ruleset_id).alias("ruleset_id"),
-                          fn(r).alias("value"))
-                 for r in rules[1:] if metric in r.applies_to]
-        return F.array(*found) if found else F.from_json(
-            F.lit("[]"), f"array<struct<ord:int,ruleset_id:string,value:{VALUE_TYPE}>>")
-
-    def entry(metric, dimension, value_key, computed, nv, perms) -> Column:
-        return F.struct(
-            F.lit(metric).alias("metric"), dimension.cast("string").alias("dimension"),
-            value_key.cast("string").alias("value_key"), computed.alias("computed"),
-            nv.cast("string").alias("nv_reason"), perms.alias("permuted"))
-
-    none = F.lit(None)
-    fixed = F.array(*[
-        entry(m, none, none, value(m, baseline), reason(m), permuted(m, lambda r, m=m: value(m, r)))
-        for m in ("room_nights_sold", "room_nights_available", "occupancy_pct")])
-
-    def guests(nat: Column) -> Column:
-        def of(r: Ruleset) -> Column:
-            n = _names(r)
-            return F.when(nat[n.guest_rows] > 0, nat[n.guests]).cast(VALUE_TYPE)
-        metric = "guests_by_nationality"
-        return entry(metric, F.lit(values.DIMENSION), nat["nationality_iso2"], of(baseline), none,
-                     permuted(metric, of))
-
-    sparse = F.filter(
-        F.transform(F.coalesce(F.col("nats"), F.array()), guests),
-        lambda e: e["computed"].isNotNull() | F.exists(
-            e["permuted"], lambda p: p["value"].isNotNull()))
-    return F.concat(fixed, sparse)
+            return f"if(has_inventory and days > 0, {rooms}, null)"
+        if r.denominator == "rooms_available":
+            rooms = f"max_{rooms}"
+        shown = f"has_inventory and (days > 0 or {touched(r)})"
+        return f"case when {shown} then {occupancy_sql(sold, f'coalesce({rooms}, 0)')} end"
+
+    base = rules[0]
+    missing = "not has_inventory then 'missing_inventory_reference'"
+    reasons = {
+        "room_nights_sold": f"if({touched(base)}, null, 'no_source_rows')",
+        "room_nights_available": f"case when {missing} when days = 0 then 'no_source_rows' end",
+        "occupancy_pct": f"case when {missing} when days = 0 and not ({touched(base)}) "
+                         "then 'no_source_rows' end",
+    }
+    return ", ".join(
+        _entry(m, "null", "null", value(m, base), reason,
+               [(r, value(m, r)) for r in rules[1:] if m in r.applies_to])
+        for m, reason in reasons.items())
+
+
+def _guests(rules: list[Ruleset]) -> str:
+    """A nationality has a key only where a counted reservation of that nationality exists."""
+    metric = "guests_by_nationality"
+
+    def value(r: Ruleset) -> str:
+        n = _names(r)
+        return f"if({n.guest_rows} > 0, {n.guests}, null)"
+
+    return _entry(metric, f"'{values.DIMENSION}'", "nationality_iso2", value(rules[0]), "null",
+                  [(r, value(r)) for r in rules[1:] if metric in r.applies_to])
 
 
 def permuted_values(metrics: DataFrame) -> DataFrame:
-    """One row per (submission, metric key, alternative ruleset)."""
+    """One row per (submission, metric key, alternative ruleset) that has a value."""
     return metrics.select("submission_id", "metric_key", F.explode("permuted").alias("p")).select(
-        "submission_id", "metric_key", "p.ord", "p.ruleset_id", "p.value")
+        "submission_id", "metric_key", "p.ord", "p.ruleset_id", "p.value"
+    ).filter("value is not null")

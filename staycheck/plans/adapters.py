@@ -67,11 +67,11 @@ def reservation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     res = reservations(spark, sf_dir).withColumn(
         "file", F.concat(F.lit("pms_"), periods.month_label(F.col("arrival_date")), F.lit(".pdf")))
     res = res.withColumn("_part", F.expr("order_no div 1000000"))
-    out = ranked(res, ["submission_id", "file"], ["arrival_date", "_part"], ["order_no"], "_rn")
+    out = ranked(res, ["submission_id", "file"], ["arrival_date", "_part"], ["order_no"], "_line")
     return out.withColumns({
-        "page": (F.floor((F.col("_rn") - 1) / 30) + 1).cast("int"),
-        "row_no": ((F.col("_rn") - 1) % 30 + 1).cast("int"),
-    }).drop("_rn", "_part")
+        "page": (F.floor((F.col("_line") - 1) / 30) + 1).cast("int"),
+        "row_no": ((F.col("_line") - 1) % 30 + 1).cast("int"),
+    }).drop("_line", "_part")
 
 
 def hotels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,3 +185,59 @@ def claims(metrics: DataFrame) -> DataFrame:
         .alias("metric_key"), "value",
         F.when(by_nat, "Nationality").otherwise("Occupancy").alias("sheet"),
         row.alias("row"), col.alias("col"), cell_ref(row, col).alias("cell"))
+
+
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions: one per event, on the finding its id points at."""
+    e = table(spark, sf_dir, "events")
+    k, t = F.col("event_id"), F.col("event_type")
+    amend = t == "purchase"
+    return e.select(
+        F.concat(F.lit("H-"), F.expr("user_id div 15").cast("string")).alias("submission_id"),
+        F.format_string("F-%04d", (k % 500 + 1).cast("int")).alias("finding_id"),
+        F.when(amend, "amend").when(t == "view", "reject").otherwise("accept").alias("decision"),
+        F.when(k % 37 == 0, " ").when(k % 41 == 0, "a\nb").otherwise(
+            F.concat(F.lit("officer "), F.col("user_id").cast("string"))).alias("reviewer"),
+        F.when(amend & (k % 5 != 0), F.when(k % 7 == 0, "NaN").otherwise(
+            (k % 100).cast("string"))).when(k % 43 == 0, "1").alias("amended_value"),
+        k.alias("seq"))
+
+
+def citations(findings: DataFrame) -> DataFrame:
+    """Three citations per finding, some of which point at nothing."""
+    n = F.substring("finding_id", 3, 4).cast("int")
+    none_s, none_i = F.lit(None).cast("string"), F.lit(None).cast("int")
+
+    def entry(kind, when, **fields):
+        cols = {"file": none_s, "page": none_i, "row_start": none_i, "row_end": none_i,
+                "sheet": none_s, "cell": none_s, "clause": none_s, "policy_version": none_s}
+        cols.update(fields)
+        return F.when(when, F.struct(kind.alias("kind"), *[c.alias(k) for k, c in cols.items()]))
+
+    rows = entry(F.col("source_kind"), F.col("source_kind") != "not_reached",
+                 file=F.col("source_file"), page=F.col("source_page"),
+                 row_start=F.col("source_row_start"),
+                 row_end=F.col("source_row_end") + F.when(n % 5 == 0, 1).otherwise(0))
+    cells = entry(F.lit("excel"), F.col("cell").isNotNull(),
+                  sheet=F.when(n % 7 == 0, "Notes").otherwise(F.col("sheet")), cell=F.col("cell"))
+    clause = entry(F.lit("clause"), F.lit(True),
+                   clause=F.when(n % 11 == 0, "D-XXX-99").otherwise(F.col("clause")),
+                   policy_version=F.when(n % 13 == 0, "1.0.0").otherwise(
+                       F.lit(values.POLICY_VERSION)))
+    return findings.select("submission_id", "finding_id", F.explode(
+        F.array_compact(F.array(rows, cells, clause))).alias("c")).select(
+        "submission_id", "finding_id", "c.*")
+
+
+def narratives(findings: DataFrame) -> DataFrame:
+    n = F.substring("finding_id", 3, 4).cast("int")
+    return findings.select(
+        "submission_id", "finding_id",
+        F.when(n % 17 == 0, "F-0000").otherwise(F.col("finding_id")).alias("echoed_id"),
+        F.when(n % 3 == 0, F.col("explaining_permutation")).when(n % 19 == 0, "P-OOO-INCLUDED")
+        .alias("cites_permutation"),
+        F.repeat(F.concat(F.col("metric_key"), F.lit(" ")), F.when(n % 23 == 0, 30).otherwise(1))
+        .alias("sentence"),
+        (n % 29 != 0).alias("grounded"), (n % 31 == 0).alias("leaks_a_number"),
+        (n % 37 == 0).alias("names_an_unassigned_cause"),
+        (n % 41 == 0).alias("reads_as_an_accusation"))
