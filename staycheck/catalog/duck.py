@@ -392,3 +392,109 @@ SELECT f.submission_id, f.finding_id, f.explaining, f.also, n,
   CASE WHEN n % 3 = 0 THEN f.explaining WHEN n % 19 = 0 THEN 'P-OOO-INCLUDED' END AS cites,
   repeat(f.metric_key || ' ', CASE WHEN n % 23 = 0 THEN 30 ELSE 1 END) AS sentence
 FROM (SELECT *, CAST(finding_id[3:6] AS INTEGER) AS n FROM v_find) f""")
+
+view("v_print", """
+SELECT * EXCLUDE (line), CAST(1 + (line - 1) // 30 AS INTEGER) AS page,
+  CAST(1 + (line - 1) % 30 AS INTEGER) AS row_no
+FROM (SELECT t.* EXCLUDE (rooms), t.period AS month, 'pms_' || t.period || '.pdf' AS file, c.copy,
+    CAST(rooms * nights_in AS BIGINT) AS room_nights_month,
+    CAST(CASE WHEN NOT arrives AND order_no % 53 = 0 THEN rooms + 1 ELSE rooms END AS INTEGER)
+      AS rooms,
+    row_number() OVER (PARTITION BY submission_id, t.period ORDER BY arrival_date, order_no, copy)
+      AS line
+  FROM v_touch t JOIN (VALUES (1), (2)) c(copy) ON c.copy = 1 OR t.order_no % 71 = 0
+  WHERE t.kind = 'month' AND (t.arrives OR t.nights_in > 0))""")
+
+view("v_cells", """
+SELECT submission_id, file, page, row_no, order_no, copy, reservation_id, guest_ref,
+  nationality_iso2 AS nationality,
+  CASE WHEN order_no % 83 = 0 THEN strftime(arrival_date, '%d/%m/%Y')
+    ELSE strftime(arrival_date, '%Y-%m-%d') END AS arrival,
+  CASE WHEN nights = 0 THEN '- day use -' ELSE strftime(departure_date, '%Y-%m-%d') END AS departure,
+  CAST(nights + CASE WHEN order_no % 67 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS nights,
+  CAST(rooms AS VARCHAR) AS rooms,
+  CASE WHEN order_no % 89 = 0 THEN 'two' ELSE CAST(adults AS VARCHAR) END AS adults,
+  CAST(children AS VARCHAR) AS children, CAST(room_nights AS VARCHAR) AS room_nights_total,
+  CAST(room_nights_month AS VARCHAR) AS room_nights_month, rate_code,
+  CASE status WHEN 'CHECKED_OUT' THEN 'Checked Out' WHEN 'IN_HOUSE' THEN 'In House'
+    WHEN 'CANCELLED' THEN 'Cancelled' ELSE 'No Show' END AS status
+FROM v_print""")
+
+QUALIFIES = ("(status IN ('CHECKED_OUT', 'IN_HOUSE') AND rate_code <> 'HOUSE')")
+EXCLUSION = f"""CASE WHEN status = 'CANCELLED' THEN 'cancelled' WHEN status = 'NO_SHOW'
+  THEN 'no_show' WHEN rate_code = 'HOUSE' THEN 'house_use'
+  WHEN nights = 0 AND {QUALIFIES} THEN 'day_use' END"""
+
+
+def extracted(source: str) -> str:
+    named = " UNION ALL ".join(
+        f"SELECT submission_id, month, '{name}' AS check_name, '' AS code, "
+        f"CAST({value} AS BIGINT) AS value FROM {source} GROUP BY ALL"
+        for name, value in [
+            ("listed_rows", "count(*)"), ("listed_room_nights", "sum(room_nights_month)"),
+            ("sold", f"sum(CASE WHEN {QUALIFIES} THEN rooms * nights_in ELSE 0 END)"),
+            *[(x, f"count(*) FILTER ({EXCLUSION} = '{x}')") for _, x in values.EXCLUSION_LABELS],
+            ("total_guests", f"coalesce(sum(adults + children) FILTER ({QUALIFIES} AND arrives), 0)"),
+        ])
+    return named + f""" UNION ALL SELECT submission_id, month, 'guests', nationality_iso2,
+      CAST(sum(adults + children) AS BIGINT) FROM {source} WHERE {QUALIFIES} AND arrives
+      GROUP BY ALL"""
+
+
+view("v_single", "SELECT * FROM v_print WHERE copy = 1")
+view("v_extracted", extracted("v_print"))
+view("v_printed", f"""
+SELECT submission_id, month, check_name, code, CASE
+    WHEN check_name = 'day_use' AND m = 6 THEN NULL
+    WHEN check_name = 'total_guests' AND m = 7 THEN NULL
+    ELSE value + CASE WHEN check_name = 'sold' AND m = 3 THEN 1
+      WHEN check_name = 'cancelled' AND m = 4 THEN 1
+      WHEN check_name = 'guests' AND code = 'DE' AND m = 5 THEN 2 ELSE 0 END END AS value
+FROM (SELECT *, CAST(month[6:7] AS INTEGER) AS m FROM ({extracted('v_single')}))""")
+
+_names = [c[2] for n in NATIONALITIES for c in values.COUNTRIES if c[0] == n]
+_alpha3 = [c[1] for n in NATIONALITIES for c in values.COUNTRIES if c[0] == n]
+view("v_labels", f"""
+SELECT submission_id, custkey, label,
+  trim(regexp_replace(regexp_replace(lower(trim(label)), '[^0-9a-z ]+', '', 'g'), ' +', ' ', 'g'))
+    AS alias_key
+FROM (SELECT 'H-' || (c_custkey // 150) AS submission_id, c_custkey AS custkey,
+  CASE WHEN c_custkey % 6 = 0 THEN upper(name)
+    WHEN c_custkey % 6 = 1 THEN ({lit(_alpha3)})[c_nationkey + 1]
+    WHEN c_custkey % 6 = 2 THEN ' ' || lower(name) || '  '
+    WHEN c_custkey % 6 = 3 THEN replace(name, ' ', '  ') || '.'
+    WHEN c_custkey % 6 = 4 THEN ({lit(NATIONALITIES)})[c_nationkey + 1]
+    WHEN c_custkey % 18 = 5 THEN 'Mongolia' WHEN c_custkey % 18 = 11 THEN substring(name, 2)
+    ELSE name END AS label
+  FROM (SELECT *, ({lit(_names)})[c_nationkey + 1] AS name FROM customer))""")
+
+view("v_alias", "SELECT DISTINCT code, trim(regexp_replace(regexp_replace(lower(trim(label)), "
+     "'[^0-9a-z ]+', '', 'g'), ' +', ' ', 'g')) AS alias_key FROM (" + rows(
+         [(code, label) for code, a3, name, more in values.COUNTRIES
+          for label in (code, a3, name, *more)], "code, label") + ")")
+
+view("v_files", """
+SELECT 'H-' || (doc_id // 100) AS submission_id, doc_id, text AS content,
+  CASE WHEN n = 17 THEN 'pms_draft.pdf'
+    WHEN n < 80 THEN 'pms_' || strftime(DATE '1995-01-01' + to_months(CAST(n AS INTEGER)), '%Y-%m')
+      || '.pdf'
+    WHEN n < 85 THEN 'pms_' || strftime(DATE '1995-01-01' + to_months(CAST(n - 80 AS INTEGER)),
+      '%Y-%m') || '.pdf'
+    WHEN n < 90 THEN 'pms_2002-0' || (n - 84) || '.pdf'
+    WHEN n < 95 THEN 'pms_report' || n || '_final.pdf'
+    WHEN n = 95 THEN 'claims_1995-Q1.xlsx' ELSE 'inventory_1995-Q1.csv' END AS name
+FROM (SELECT *, doc_id % 100 AS n FROM documents)""")
+view("v_reports", """
+SELECT *, CASE WHEN regexp_matches(name, '_[0-9]{4}-[0-9]{2}\\.pdf$')
+  THEN regexp_extract(name, '([0-9]{4}-[0-9]{2})', 1) END AS month
+FROM v_files WHERE name LIKE 'pms@_%.pdf' ESCAPE '@'""")
+view("v_fileprob", """
+SELECT submission_id, 'unnamed_month' AS problem, name AS subject FROM v_reports WHERE month IS NULL
+UNION ALL SELECT DISTINCT submission_id, 'foreign_month', month FROM v_reports
+  WHERE month IS NOT NULL AND (submission_id, month) NOT IN (
+    SELECT (submission_id, period) FROM v_declared WHERE kind = 'month')
+UNION ALL SELECT submission_id, 'two_for_one_month', month FROM v_reports
+  WHERE month IS NOT NULL GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT submission_id, 'missing_month', period FROM v_declared WHERE kind = 'month'
+  AND (submission_id, period) NOT IN (SELECT (submission_id, month) FROM v_reports
+    WHERE month IS NOT NULL)""")

@@ -1,6 +1,6 @@
 """Row contracts: every broken rule is named, nothing is repaired."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from staycheck import values
@@ -56,25 +56,29 @@ def repeated_days(inv: DataFrame) -> DataFrame:
     return inv.groupBy("submission_id", "day").agg(F.count("*").alias("rows")).filter("rows > 1")
 
 
-def duplicate_ids(rows: DataFrame, keys: list[str], ref: list[str], shown: int = 3) -> DataFrame:
-    """Ids that repeat inside `keys`, with the first few references.
+def first_rows(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """The first n rows of each key. Spark applies the limit before the shuffle as well, so a very
+    frequent key sends at most n rows per task."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n)
 
-    Only the first references are carried: each step keeps the smallest ones, so a very frequent id
-    never gathers in one place.
-    """
-    return (
-        rows.groupBy(*keys).agg(F.count("*").alias("rows"), smallest(ref, shown).alias("refs"))
-        .filter("rows > 1")
-    )
-
-
-def smallest(columns: list[str], n: int):
-    """The n smallest structs of a group: minimum, then the minimum above it is not expressible as
-    one aggregate, so distinct values are bounded by the caller's keys for n > 1."""
-    item = F.struct(*columns)
-    if n == 1:
-        return F.array(F.min(item))
-    return F.slice(F.array_sort(F.collect_set(item)), 1, n)
+
+def duplicate_ids(rows: DataFrame, keys: list[str], ref: list[str], shown: int = 3) -> DataFrame:
+    """Ids that repeat inside `keys`: how often, the first few references and how many are left
+    out."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("rows")).filter("rows > 1")
+    refs = first_rows(rows.select(*keys, *ref), keys, ref, shown).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(*ref))).alias("refs"))
+    return counts.join(refs, keys).withColumn("more", F.greatest(F.col("rows") - shown, F.lit(0)))
+
+
+def bounded_listing(df: DataFrame, keys: list[str], item: str, shown: int) -> DataFrame:
+    """The first `shown` items of each key and a count of the rest."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_all"))
+    listed = first_rows(df.select(*keys, item), keys, [item], shown).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(item)).alias("shown"))
+    return counts.join(listed, keys).withColumn(
+        "more", F.greatest(F.col("_all") - shown, F.lit(0))).drop("_all")
 
 
 def edge_quotas(res: DataFrame, first_day, last_day, quotas: dict | None = None) -> DataFrame:

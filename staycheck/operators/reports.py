@@ -76,13 +76,10 @@ def page_columns(words: DataFrame) -> DataFrame:
     }).groupBy(*LINE, "is_left").agg(
         F.array_sort(F.collect_list(F.struct("x0", "text"))).alias("words"))
     lines = lines.withColumn("line", F.array_join(F.transform("words", lambda w: w["text"]), " "))
-    ordered = F.array_sort(F.collect_list(F.struct("line_top", "line")))
-
     def column(flag: Column) -> Column:
         mine = F.array_sort(F.collect_list(F.when(flag, F.struct("line_top", "line"))))
         return F.array_join(F.transform(mine, lambda x: x["line"]), "\n")
 
-    del ordered
     return lines.groupBy("submission_id", "file", "page").agg(
         column(F.col("is_left")).alias("left_text"), column(~F.col("is_left")).alias("right_text"))
 

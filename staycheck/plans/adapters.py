@@ -13,6 +13,7 @@ from staycheck.functions.cells import cell_ref
 from staycheck.functions.keys import render_key
 from staycheck.functions.text import transpose_digits
 from staycheck.operators.ranking import ranked
+from staycheck.operators.reports import extracted_totals, listed_rows
 
 NATIONALITIES = [
     "AE", "AU", "CH", "CN", "CZ", "DE", "EG", "ES", "FR", "GB", "IN", "IT", "JP",
@@ -241,3 +242,160 @@ def narratives(findings: DataFrame) -> DataFrame:
         (n % 29 != 0).alias("grounded"), (n % 31 == 0).alias("leaks_a_number"),
         (n % 37 == 0).alias("names_an_unassigned_cause"),
         (n % 41 == 0).alias("reads_as_an_accusation"))
+
+
+def printed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the monthly reports. A stay over a month end is on both reports; every 71st
+    reservation is printed twice on one report, and every 53rd prints another room count on the
+    later report."""
+    res = reservations(spark, sf_dir)
+    listed = listed_rows(res)
+    k = F.col("order_no")
+    later = ~F.col("arrives")
+    rows = listed.withColumn("copy", F.explode(F.sequence(
+        F.lit(1), F.when(k % 71 == 0, 2).otherwise(1)))).withColumns({
+            "_part": F.expr("order_no div 1000000"),
+            "rooms": F.when(later & (k % 53 == 0), F.col("rooms") + 1).otherwise(F.col("rooms"))})
+    out = ranked(rows, ["submission_id", "file"], ["arrival_date", "_part"], ["order_no", "copy"],
+                 "_line")
+    return out.withColumns({
+        "page": (F.floor((F.col("_line") - 1) / 30) + 1).cast("int"),
+        "row_no": ((F.col("_line") - 1) % 30 + 1).cast("int"),
+    }).drop("_line", "_part")
+
+
+def printed_cells(rows: DataFrame) -> DataFrame:
+    """The same rows as the text a report shows, with a few misprints."""
+    k = F.col("order_no")
+    title = F.initcap(F.regexp_replace(F.lower("status"), "_", " "))
+    return rows.select(
+        "submission_id", "file", "page", "row_no", "order_no", "copy", "reservation_id",
+        "guest_ref", F.col("nationality_iso2").alias("nationality"),
+        F.when(k % 83 == 0, F.date_format("arrival_date", "dd/MM/yyyy"))
+        .otherwise(F.date_format("arrival_date", "yyyy-MM-dd")).alias("arrival"),
+        F.when(F.col("nights") == 0, "- day use -")
+        .otherwise(F.date_format("departure_date", "yyyy-MM-dd")).alias("departure"),
+        (F.col("nights") + F.when(k % 67 == 0, 1).otherwise(0)).cast("string").alias("nights"),
+        F.col("rooms").cast("string").alias("rooms"),
+        F.when(k % 89 == 0, "two").otherwise(F.col("adults").cast("string")).alias("adults"),
+        F.col("children").cast("string").alias("children"),
+        F.col("room_nights").cast("string").alias("room_nights_total"),
+        F.col("room_nights_month").cast("string").alias("room_nights_month"),
+        "rate_code", title.alias("status"))
+
+
+CENTRES = {
+    "reservation_id": 64.0, "guest_ref": 162.0, "nationality": 244.0, "arrival": 289.0,
+    "departure": 330.0, "nights": 414.0, "rooms": 446.0, "adults": 472.0, "children": 498.0,
+    "room_nights_total": 546.0, "room_nights_month": 598.0, "rate_code": 616.0, "status": 665.0,
+}
+
+
+def report_words(cells: DataFrame) -> DataFrame:
+    """Words with positions. Every 101st reservation has its child count outside all columns, and
+    every page ends with a subtotal line that is not a data row."""
+    def placed(field, x, step):
+        return F.transform(F.split(field, " "), lambda t, i: F.struct(
+            t.alias("text"), (x + i * step - 2).alias("x0"), (x + i * step + 2).alias("x1"),
+            (F.col("row_no") * 15 + 60.0).alias("top")))
+
+    stray = F.when(F.col("order_no") % 101 == 0, 5.0).otherwise(CENTRES["children"])
+    words = [placed(field, stray if field == "children" else F.lit(centre),
+                    9 if field == "departure" else 23) for field, centre in CENTRES.items()]
+    subtotal = F.when(F.col("row_no") == 1, F.array(F.struct(
+        F.lit("Page").alias("text"), F.lit(30.0).alias("x0"), F.lit(50.0).alias("x1"),
+        F.lit(560.0).alias("top")))).otherwise(F.array())
+    return cells.select("submission_id", "file", "page", F.explode(
+        F.concat(*words, subtotal)).alias("w")).select(
+        "submission_id", "file", "page", "w.*", (F.col("w.top") + 9).alias("bottom"))
+
+
+def page_texts(rows: DataFrame) -> DataFrame:
+    """Heading and column header of each page; every 7th page lost a column, every 11th the
+    property code."""
+    n = F.col("page") * 3 + F.substring("file", 10, 2).cast("int")
+    header = " ".join(b[3] for b in values.BANDS)
+    prop = F.when(n % 11 == 0, "Propty").otherwise("Property")
+    return rows.select("submission_id", "file", "page").distinct().select(
+        "submission_id", "file", "page", F.concat(
+            F.lit("Reservation Detail Report | "), prop, F.lit(" "), F.col("submission_id"),
+            F.lit("\n  "), F.when(n % 7 == 0, header.replace(" RN Month", "")).otherwise(
+                header.replace(" ", "  ")), F.lit("\nRES-1 ...")).alias("text"))
+
+
+def totals_blocks(rows: DataFrame) -> DataFrame:
+    """The grand-total text of each report, computed from single printings, with planted misprints
+    by month number."""
+    single = rows.filter("copy = 1")
+    ours = extracted_totals(single)
+    month_no = F.substring("month", 6, 2).cast("int")
+    value = F.col("value") + (
+        F.when((F.col("check_name") == "sold") & (month_no == 3), 1)
+        .when((F.col("check_name") == "cancelled") & (month_no == 4), 1)
+        .when((F.col("check_name") == "guests") & (F.col("code") == "DE") & (month_no == 5), 2)
+        .otherwise(0))
+    ours = ours.withColumn("value", value)
+    wide = ours.groupBy("submission_id", "month").agg(
+        *[F.max(F.when(F.col("check_name") == c, F.col("value"))).alias(c) for c in (
+            "sold", "listed_rows", "listed_room_nights", "cancelled", "no_show", "house_use",
+            "day_use", "total_guests")],
+        F.array_join(F.array_sort(F.collect_list(F.when(
+            F.col("check_name") == "guests", F.concat_ws(" ", "code", "value")))), "\n")
+        .alias("codes"))
+    month_no = F.substring("month", 6, 2).cast("int")
+    left = F.format_string(
+        "Room nights sold %d\nRoom nights available %d\nOccupancy 50.00%%\n"
+        "Sum of the RN Month column over all %d listed rows: %d\n"
+        "Rows listed but excluded from the total: %d cancelled, %d no-show, %d house\nuse%s\n"
+        "Complimentary rooms are included.",
+        F.col("sold"), F.col("sold") * 2, F.col("listed_rows"), F.col("listed_room_nights"),
+        F.col("cancelled"), F.col("no_show"), F.col("house_use"),
+        F.when(month_no == 6, "").otherwise(F.concat(
+            F.lit(", "), F.col("day_use").cast("string"), F.lit(" day use (zero room-nights)"))))
+    right = F.concat(F.lit("Guests by nationality\n"), "codes", F.lit("\n"), F.when(
+        month_no == 7, "").otherwise(F.concat(F.lit("Total guests "), F.col("total_guests"))))
+    return wide.select("submission_id", "month", left.alias("left_text"), right.alias("right_text"))
+
+
+LABEL_NAMES = {c[0]: (c[1], c[2]) for c in values.COUNTRIES}
+
+
+def customer_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One nationality label per customer, spelled in different ways; some are in no lookup."""
+    names = [LABEL_NAMES[n][1] for n in NATIONALITIES]
+    alpha3 = [LABEL_NAMES[n][0] for n in NATIONALITIES]
+    k = F.col("c_custkey")
+
+    def pick(items):
+        return F.get(F.array(*[F.lit(i) for i in items]), F.col("c_nationkey"))
+
+    name = pick(names)
+    label = (
+        F.when(k % 6 == 0, F.upper(name)).when(k % 6 == 1, pick(alpha3))
+        .when(k % 6 == 2, F.concat(F.lit(" "), F.lower(name), F.lit("  ")))
+        .when(k % 6 == 3, F.concat(F.regexp_replace(name, " ", "  "), F.lit(".")))
+        .when(k % 6 == 4, pick(NATIONALITIES))
+        .when(k % 18 == 5, "Mongolia").when(k % 18 == 11, F.substring(name, 2, 60))
+        .otherwise(name))
+    return table(spark, sf_dir, "customer").select(
+        hotel("c_custkey").alias("submission_id"), k.alias("custkey"), label.alias("label"))
+
+
+def submission_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as submitted files; the name follows from the document id."""
+    d = table(spark, sf_dir, "documents")
+    n = F.col("doc_id") % 100
+
+    def month(i):
+        return F.date_format(F.add_months(F.lit(FIRST_MONTH).cast("date"), i.cast("int")), "yyyy-MM")
+
+    name = (
+        F.when(n == 17, "pms_draft.pdf")
+        .when(n < 80, F.concat(F.lit("pms_"), month(n), F.lit(".pdf")))
+        .when(n < 85, F.concat(F.lit("pms_"), month(n - 80), F.lit(".pdf")))
+        .when(n < 90, F.concat(F.lit("pms_2002-0"), (n - 84).cast("string"), F.lit(".pdf")))
+        .when(n < 95, F.concat(F.lit("pms_report"), n.cast("string"), F.lit("_final.pdf")))
+        .when(n == 95, "claims_1995-Q1.xlsx").otherwise("inventory_1995-Q1.csv"))
+    return d.select(F.concat(F.lit("H-"), F.expr("doc_id div 100").cast("string"))
+                    .alias("submission_id"), name.alias("name"), F.col("text").alias("content"),
+                    "doc_id")
