@@ -498,3 +498,39 @@ UNION ALL SELECT submission_id, 'two_for_one_month', month FROM v_reports
 UNION ALL SELECT submission_id, 'missing_month', period FROM v_declared WHERE kind = 'month'
   AND (submission_id, period) NOT IN (SELECT (submission_id, month) FROM v_reports
     WHERE month IS NOT NULL)""")
+
+_month_words = "['" + "','".join(n[0].capitalize() for n in values.MONTH_NAMES) + "']"
+_nat_names = "CASE value_key " + " ".join(
+    f"WHEN '{n}' THEN {lit(name)}" for n, name in zip(NATIONALITIES, _names)) + " ELSE 'Xanadu' END"
+view("v_wcells", f"""
+SELECT submission_id, sheet, row, col, text, CASE WHEN text IS NULL THEN
+    CASE WHEN metric = 'occupancy_pct' AND row % 3 = 0 THEN value / 100 ELSE value END END AS number,
+  'figure' AS role
+FROM (SELECT *, CASE WHEN (row + col) % 31 = 0 THEN '=SUM(B2:B4)'
+    WHEN metric = 'occupancy_pct' THEN CASE WHEN row % 3 = 1
+      THEN CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) || '%' END
+    WHEN (row + col) % 5 = 0 THEN format('{{:,}}', CAST(value AS BIGINT))
+    WHEN (row + col) % 5 = 1 THEN 'AED ' || CAST(value AS BIGINT) END AS text FROM v_claims)
+UNION ALL
+SELECT submission_id, sheet, CASE WHEN sheet = 'Occupancy' THEN pos + 5 ELSE 4 END,
+  CASE WHEN sheet = 'Occupancy' THEN 1 ELSE pos + 2 END,
+  CASE WHEN period LIKE '%Q%' THEN period || ' total' WHEN length(period) = 7 AND pos % 3 = 0
+    THEN ({_month_words})[CAST(period[6:7] AS INTEGER)] || ' ' || period[1:4] ELSE period END,
+  NULL, 'period'
+FROM (SELECT DISTINCT submission_id, sheet, period, {POSITION} AS pos FROM v_claims)
+UNION ALL
+SELECT DISTINCT submission_id, sheet, row, 1, {_nat_names}, NULL::DECIMAL(38,10), 'dimension'
+FROM v_claims WHERE value_key IS NOT NULL
+UNION ALL
+SELECT submission_id, sheet, 31, pos + 2, NULL, total + CASE WHEN pos % 9 = 0 THEN 3 ELSE 0 END,
+  'total'
+FROM (SELECT submission_id, sheet, period, {POSITION} AS pos, sum(value) AS total FROM v_claims
+  WHERE value_key IS NOT NULL GROUP BY ALL)
+UNION ALL
+SELECT submission_id, e.sheet, e.row, e.col, e.text, e.number, 'extra'
+FROM (SELECT DISTINCT submission_id FROM v_claims), (VALUES
+  ('Rate & Revenue', 5, 2, 'AED 612.40', NULL), ('Rate & Revenue', 9, 4, NULL, 77),
+  ('Notes', 1, 1, 'Prepared by', NULL), ('Notes', 2, 2, NULL, 7)) e(sheet, row, col, text, number)""")
+view("v_looks", """
+SELECT *, number IS NOT NULL OR regexp_full_match(trim(text),
+  '(AED )?([0-9]{1,3}(,[0-9]{3})+|[0-9]+)(\\.[0-9]+)?%?') AS figure FROM v_wcells""")

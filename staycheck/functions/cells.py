@@ -4,6 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from staycheck import values
+from staycheck.functions.text import let
 
 A1_RANGE = "^[A-Z]{1,3}[1-9][0-9]{0,6}(:[A-Z]{1,3}[1-9][0-9]{0,6})?$"
 
@@ -34,18 +35,16 @@ def cell_ref(row: Column, col: Column) -> Column:
 
 def parse_rect(text: Column) -> Column:
     """An A1 cell or range to its inclusive bounds, or null where it is not one or is inverted."""
-    ref = F.upper(F.trim(text))
-    first = F.substring_index(ref, ":", 1)
-    last = F.substring_index(ref, ":", -1)
-    rect = F.struct(
-        column_number(F.regexp_extract(first, "^[A-Z]+", 0)).alias("min_col"),
-        F.regexp_extract(first, "[0-9]+$", 0).try_cast("int").alias("min_row"),
-        column_number(F.regexp_extract(last, "^[A-Z]+", 0)).alias("max_col"),
-        F.regexp_extract(last, "[0-9]+$", 0).try_cast("int").alias("max_row"),
-    )
-    ok = ref.rlike(A1_RANGE) & (rect["min_col"] <= rect["max_col"]) & (
-        rect["min_row"] <= rect["max_row"])
-    return F.when(F.coalesce(ok, F.lit(False)), rect)
+    def bounds(ref: Column) -> Column:
+        first, last = F.substring_index(ref, ":", 1), F.substring_index(ref, ":", -1)
+        return F.when(ref.rlike(A1_RANGE), F.struct(
+            column_number(F.regexp_extract(first, "^[A-Z]+", 0)).alias("min_col"),
+            F.regexp_extract(first, "[0-9]+$", 0).try_cast("int").alias("min_row"),
+            column_number(F.regexp_extract(last, "^[A-Z]+", 0)).alias("max_col"),
+            F.regexp_extract(last, "[0-9]+$", 0).try_cast("int").alias("max_row")))
+
+    return let(let(F.upper(F.trim(text)), bounds), lambda r: F.when(
+        (r["min_col"] <= r["max_col"]) & (r["min_row"] <= r["max_row"]), r))
 
 
 def render_rect(rect: Column) -> Column:
@@ -78,32 +77,36 @@ def cell_value(text: Column, number: Column, number_format: Column, value_type:
     A number under a percent format is a stored fraction and is scaled to points; percent text is
     in points already. A figure with more than ten decimals is a problem, never silently rounded.
     """
-    t = F.trim(text)
-    negative = t.startswith("(") & t.endswith(")")
-    plain = _no_thousands(_undecorated(t, values.VALUE_UNITS, negative))
-    parsed = F.when(plain.rlike(NUMBER), plain.try_cast("decimal(38,18)"))
-    exact = parsed.cast("decimal(38,10)")
-    signed = F.when(negative, -exact).otherwise(exact).cast("decimal(38,10)")
-    scaled = F.when(number_format.contains("%"), (number * 100)).otherwise(number).cast(
-        "decimal(38,10)")
-    kind = F.when(number.isNotNull(), "number").when(t.isNull() | (t == ""), "empty").when(
-        t.startswith("="), "formula").otherwise("text")
-    value = F.when(kind == "number", scaled).when(
-        (kind == "text") & (parsed == exact), signed)
-    problem = (
-        F.when(value_type.isin("boolean", "date"), F.concat(value_type, F.lit(" is not a figure")))
-        .when(kind == "formula", "uncached formula")
-        .when((kind == "text") & parsed.isNull(), "not a figure")
-        .when((kind == "text") & (parsed != exact), "too many decimals")
-    )
-    return F.struct(F.when(problem.isNull(), value).alias("value"), problem.alias("problem"))
+    def read(t: Column) -> Column:
+        negative = t.startswith("(") & t.endswith(")")
+        plain = _no_thousands(_undecorated(t, values.VALUE_UNITS, negative))
+        parsed = let(plain, lambda p: F.when(p.rlike(NUMBER), p.try_cast("decimal(38,18)")))
+        return let(parsed, lambda p: F.struct(
+            F.when(negative, -p).otherwise(p).cast("decimal(38,10)").alias("value"),
+            F.when(t.startswith("="), "uncached formula").when(p.isNull(), "not a figure")
+            .when(p != p.cast("decimal(38,10)"), "too many decimals").alias("problem")))
+
+    scaled = F.when(number_format.contains("%"), number * 100).otherwise(number)
+    kind_problem = F.when(value_type.isin("boolean", "date"),
+                          F.concat(value_type, F.lit(" is not a figure")))
+    nothing = F.lit(None).cast("decimal(38,10)")
+    cell = (
+        F.when(kind_problem.isNotNull(), F.struct(
+            nothing.alias("value"), kind_problem.alias("problem")))
+        .when(number.isNotNull(), F.struct(
+            scaled.cast("decimal(38,10)").alias("value"),
+            F.lit(None).cast("string").alias("problem")))
+        .when(F.coalesce(F.trim(text), F.lit("")) != "", let(F.trim(text), read)))
+    return let(cell, lambda c: F.struct(
+        F.when(c["problem"].isNull(), c["value"]).alias("value"), c["problem"].alias("problem")))
 
 
 def looks_numeric(text: Column) -> Column:
     """Whether text reads as a quantity rather than as a label."""
     t = F.trim(text)
     plain = _undecorated(t, values.LABEL_UNITS, t.startswith("(") & t.endswith(")"))
-    return F.coalesce(plain.rlike("^[0-9]+$") | _no_thousands(plain).rlike(NUMBER), F.lit(False))
+    return F.coalesce(let(plain, lambda p: p.rlike("^[0-9]+$") | _no_thousands(p).rlike(NUMBER)),
+                      F.lit(False))
 
 
 def masked(text: Column, number: Column, value_type: Column) -> Column:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from staycheck import values
+from staycheck.functions.text import let
 
 MONTH_LABEL = "^[0-9]{4}-(0[1-9]|1[0-2])$"
 QUARTER_LABEL = "^[0-9]{4}-Q[1-4]$"
@@ -119,16 +120,19 @@ def parse_period_label(text: Column) -> Column:
     name_year = r"^([A-Za-z]+)[\s,\-]+([0-9]{4})$"
     year_name = r"^([0-9]{4})[\s,\-]+([A-Za-z]+)$"
 
-    def part(pattern, group):
-        return F.regexp_extract(cleaned, pattern, group)
-
-    rendered = (
-        F.when(cleaned.rlike("^[0-9]{4}-[0-9]{2}$"), cleaned)
-        .when(cleaned.rlike(quarter), F.concat(part(quarter, 1), F.lit("-Q"), part(quarter, 2)))
-        .when(cleaned.rlike(YEAR_LABEL), cleaned)
-        .when(cleaned.rlike(name_year),
-              F.concat(part(name_year, 2), F.lit("-"), _month_number(part(name_year, 1))))
-        .when(cleaned.rlike(year_name),
-              F.concat(part(year_name, 1), F.lit("-"), _month_number(part(year_name, 2))))
-    )
-    return F.when(is_valid_period(rendered), rendered)
+    def rendered(c: Column) -> Column:
+        def part(pattern, group):
+            return F.regexp_extract(c, pattern, group)
+
+        def named(pattern, name, year):
+            return let(part(pattern, name), lambda n: F.concat(
+                part(pattern, year), F.lit("-"), _month_number(n)))
+
+        return (
+            F.when(c.rlike("^[0-9]{4}-[0-9]{2}$") | c.rlike(YEAR_LABEL), c)
+            .when(c.rlike(quarter), F.concat(part(quarter, 1), F.lit("-Q"), part(quarter, 2)))
+            .when(c.rlike(name_year), named(name_year, 1, 2))
+            .when(c.rlike(year_name), named(year_name, 2, 1))
+        )
+
+    return let(let(cleaned, rendered), lambda r: F.when(is_valid_period(r), r))

@@ -6,6 +6,11 @@ from pyspark.sql import functions as F
 from staycheck import values
 
 
+def let(value: Column, body) -> Column:
+    """`body` applied to `value`, which is computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalise_key(text: Column) -> Column:
     """The one label matching rule: lower case, letters digits and single spaces only."""
     kept = F.regexp_replace(F.lower(F.trim(text)), "[^0-9a-z ]+", "")

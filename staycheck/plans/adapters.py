@@ -399,3 +399,92 @@ def submission_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.concat(F.lit("H-"), F.expr("doc_id div 100").cast("string"))
                     .alias("submission_id"), name.alias("name"), F.col("text").alias("content"),
                     "doc_id")
+
+
+MONTH_WORDS = [names[0].capitalize() for names in values.MONTH_NAMES]
+
+
+def workbook_cells(filed: DataFrame) -> DataFrame:
+    """The claims laid out as a workbook: figures written in different ways, labels, totals, a
+    sheet of rates and a sheet nobody mapped."""
+    none, r, c, v = F.lit(None), F.col("row"), F.col("col"), F.col("value")
+    occ = F.col("metric") == "occupancy_pct"
+    mix = (r + c) % 5
+    text = (
+        F.when((r + c) % 31 == 0, "=SUM(B2:B4)")
+        .when(occ, F.when(r % 3 == 1, F.concat(v.cast("decimal(18,2)").cast("string"), F.lit("%"))))
+        .when(mix == 0, F.format_number(v, 0))
+        .when(mix == 1, F.concat(F.lit("AED "), v.cast("bigint").cast("string"))))
+    fraction = occ & (r % 3 == 0)
+    number = F.when(text.isNull(), F.when(fraction, v / 100).otherwise(v)).cast("decimal(38,10)")
+    sheet = ["submission_id", "sheet"]
+    cols = [*sheet, "row", "col", "text", "number", "number_format", "value_type"]
+
+    def cells(df, row, col, text, number, fmt=F.lit("General")):
+        return df.select(*sheet, row.cast("int").alias("row"), col.cast("int").alias("col"),
+                         text.cast("string").alias("text"),
+                         number.cast("decimal(38,10)").alias("number"), fmt.alias("number_format"),
+                         F.when(number.isNotNull(), "number").otherwise("text").alias("value_type"))
+
+    figures = cells(filed, r, c, text, number, F.when(fraction & text.isNull(), "0.00%")
+                    .otherwise("General"))
+    p = F.col("period")
+    kind = periods.period_kind(p)
+    word = F.get(F.array(*[F.lit(m) for m in MONTH_WORDS]),
+                 F.substring(p, 6, 2).try_cast("int") - 1)
+    label = (
+        F.when(kind == "quarter", F.concat(p, F.lit(" total")))
+        .when((kind == "month") & (period_position() % 3 == 0),
+              F.concat(word, F.lit(" "), F.substring(p, 1, 4)))
+        .otherwise(p))
+    per = filed.select(*sheet, "period").distinct()
+    down = F.col("sheet") == "Occupancy"
+    pos = period_position()
+    labels_ = cells(per, F.when(down, pos + 5).otherwise(4), F.when(down, 1).otherwise(pos + 2),
+                    label, none)
+    nat = filed.filter("value_key is not null")
+    names = F.create_map(*[F.lit(x) for n in NATIONALITIES for x in (n, LABEL_NAMES[n][1])])
+    dims = cells(nat.select(*sheet, "value_key", "row").distinct(), r, F.lit(1),
+                 F.coalesce(names[F.col("value_key")], F.lit("Xanadu")), none)
+    sums = nat.groupBy(*sheet, "period").agg(F.sum("value").alias("value"))
+    totals = cells(sums, F.lit(31), pos + 2, none, v + F.when(pos % 9 == 0, 3).otherwise(0))
+    subs = filed.select("submission_id").distinct()
+    others = subs.selectExpr("submission_id", """stack(4,
+        'Rate & Revenue', 5, 2, 'AED 612.40', cast(null as int),
+        'Rate & Revenue', 9, 4, cast(null as string), 77,
+        'Notes', 1, 1, 'Prepared by', cast(null as int),
+        'Notes', 2, 2, cast(null as string), 7) as (sheet, row, col, text, number)""")
+    others = cells(others, r, c, F.col("text"), F.col("number"))
+    out = figures
+    for part in (labels_, dims, totals, others):
+        out = out.unionByName(part.select(*cols))
+    return out
+
+
+def mapping_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which ranges hold which metric, per hotel; some hotels carry a broken block."""
+    def block(no, sheet, metric, orientation, value, period, dim=None, labels_=None, total=None,
+              when=None):
+        s = F.struct(*[F.lit(x).cast("string").alias(n) for x, n in zip(
+            (no, sheet, metric, orientation, value, period, dim, labels_, total),
+            ("block_id", "sheet", "metric", "orientation", "value_range", "period_label_range",
+             "named_dimension", "dimension_label_range", "dimension_total_range"))])
+        return s if when is None else F.when(when, s)
+
+    n, down, across = F.col("hotel_no"), "periods_down_rows", "periods_across_columns"
+    nat = "guests_by_nationality"
+    blocks = F.array_compact(F.array(
+        block("1", "Occupancy", "room_nights_sold", down, "B5:B211", "A5:A211"),
+        block("2", "Occupancy", "room_nights_available", down, "C5:C211", "A5:A211"),
+        block("3", "Occupancy", "occupancy_pct", down, "D5:D211", "A5:A211"),
+        block("4", "Nationality", nat, across, "B5:GZ30", "B4:GZ4", values.DIMENSION, "A5:A30",
+              "B31:GZ31"),
+        block("5", "Rate & Revenue", "average_daily_rate", across, "B5:D5", "B4:D4"),
+        block("6", "Occupancy", "mystery", down, "E5:E8", "A5:A8", when=n % 2 == 1),
+        block("7", "Missing", "occupancy_pct", down, "B5:B8", "A5:A8", when=n % 3 == 0),
+        block("8", "Occupancy", "occupancy_pct", down, "B5:C8", "A5:A8", when=n % 4 == 0),
+        block("9", "Occupancy", "revenue", down, "$B$5", "A5:A8", when=n % 5 == 0),
+        block("10", "Nationality", nat, across, "B5:C9", "B4:C4", when=n % 2 == 0),
+        block("11", "Occupancy", "occupancy_pct", down, "D5:D999", "A5:A999", when=n % 3 == 1)))
+    return hotels(spark, sf_dir).select("submission_id", F.explode(blocks).alias("b")).select(
+        "submission_id", "b.*")
