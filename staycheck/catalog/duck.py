@@ -534,3 +534,67 @@ FROM (SELECT DISTINCT submission_id FROM v_claims), (VALUES
 view("v_looks", """
 SELECT *, number IS NOT NULL OR regexp_full_match(trim(text),
   '(AED )?([0-9]{1,3}(,[0-9]{3})+|[0-9]+)(\\.[0-9]+)?%?') AS figure FROM v_wcells""")
+
+view("v_nodes", f"""
+SELECT 'R-' || user_id AS run_id, event_id AS seq,
+  ({lit(values.NODE_ORDER)})[CAST(event_id % 5 AS INTEGER) + 1] AS node,
+  CASE WHEN event_type = 'purchase' THEN 'exit' ELSE 'enter' END AS phase,
+  CASE WHEN event_type = 'click' THEN 'running' WHEN event_id % 11 = 0 THEN 'halted'
+    WHEN event_id % 13 = 0 THEN 'rejected' ELSE 'ok' END AS outcome,
+  CASE WHEN event_type = 'purchase' THEN CAST(floor(value * 20) AS BIGINT) ELSE 0 END AS duration_ms,
+  CASE WHEN event_type = 'purchase' THEN event_id % 3 ELSE 0 END AS model_calls
+FROM events WHERE event_type IN ('click', 'purchase')""")
+view("v_level", """
+SELECT *, CASE WHEN phase = 'enter' THEN before + 1 ELSE before END AS level,
+  phase = 'exit' AND before = 0 AS orphan
+FROM (SELECT *, total - step - least(0, coalesce(min(total) OVER (PARTITION BY run_id, node
+    ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS before
+  FROM (SELECT *, sum(step) OVER (PARTITION BY run_id, node ORDER BY seq) AS total
+    FROM (SELECT *, CASE WHEN phase = 'enter' THEN 1 ELSE -1 END AS step FROM v_nodes)))""")
+view("v_paired", """
+SELECT run_id, node, seq, coalesce(exit_seq, -1) AS exit_seq,
+  CASE WHEN exit_seq IS NULL THEN 'entered' ELSE o END AS outcome,
+  CASE WHEN exit_seq IS NULL THEN 0 ELSE d END AS duration_ms,
+  CASE WHEN exit_seq IS NULL THEN 0 ELSE m END AS model_calls
+FROM (SELECT *, CASE WHEN nphase = 'exit' THEN nseq END AS exit_seq FROM (
+  SELECT *, lead(phase) OVER w AS nphase, lead(seq) OVER w AS nseq, lead(outcome) OVER w AS o,
+    lead(duration_ms) OVER w AS d, lead(model_calls) OVER w AS m
+  FROM v_level WHERE NOT orphan WINDOW w AS (PARTITION BY run_id, node, level ORDER BY seq))
+  WHERE phase = 'enter')
+UNION ALL SELECT run_id, node, seq, seq, outcome, duration_ms, model_calls FROM v_level WHERE orphan""")
+view("v_line", """
+SELECT *, CAST(sum(duration_ms) OVER w AS BIGINT) AS end_ms,
+  CAST(sum(greatest(duration_ms, 400)) OVER w AS BIGINT) AS display_end_ms,
+  CAST(sum(model_calls) OVER w AS BIGINT) AS upto
+FROM v_paired WINDOW w AS (PARTITION BY run_id ORDER BY seq)""")
+view("v_calls", f"""
+SELECT *, ({lit(['mapping', 'resolution', 'narrative', 'reviewer_assist', 'critic'])})
+    [CAST(seq % 5 AS INTEGER) + 1] AS agent,
+  row_number() OVER (PARTITION BY run_id ORDER BY seq) AS call_no
+FROM (SELECT 'R-' || user_id AS run_id, event_id AS seq, user_id,
+  event_id % 900 + 100 AS input_tokens, event_id % 300 AS output_tokens,
+  event_id % 50 AS cache_read_tokens, CAST(floor(value * 10) AS BIGINT) AS duration_ms,
+  event_id % 17 = 0 AS failed FROM events WHERE event_type = 'view')""")
+view("v_attr", """
+SELECT c.run_id, c.seq, c.agent, c.duration_ms, l.seq AS node_seq,
+  coalesce(l.node, CASE WHEN c.agent = 'reviewer_assist' THEN 'review' ELSE 'unattributed' END)
+    AS node, l.end_ms - l.duration_ms AS start_ms,
+  l.display_end_ms - greatest(l.duration_ms, 400) AS display_start_ms
+FROM v_calls c LEFT JOIN v_line l ON l.run_id = c.run_id AND c.call_no > l.upto - l.model_calls
+  AND c.call_no <= l.upto""")
+view("v_route", f"""
+SELECT 'R-' || user_id AS run_id, event_id AS seq,
+  ({lit(values.NODE_ORDER)})[CAST(event_id % 5 AS INTEGER) + 1] AS node,
+  ({lit(['mapping', 'resolution', 'narrative'])})[CAST(event_id % 3 AS INTEGER) + 1] AS agent,
+  CASE WHEN event_id % 9 = 0 THEN 'refused_budget' WHEN event_id % 10 = 0 THEN 'skipped'
+    ELSE 'granted' END AS disposition, event_id % 10 <> 0 AS needed
+FROM events WHERE event_type IN ('error', 'signup', 'view')""")
+view("v_usage", """
+SELECT run_id, user_id, agent, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
+  CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+  CAST(sum(cache_read_tokens) AS BIGINT) AS cache_read_tokens,
+  CAST(sum(duration_ms) AS BIGINT) AS duration_ms FROM v_calls GROUP BY ALL""")
+view("v_cost", """
+SELECT *, CASE WHEN user_id % 4 <> 3 THEN t // 1000 + CASE WHEN t % 1000 > 500
+    OR (t % 1000 = 500 AND (t // 1000) % 2 = 1) THEN 1 ELSE 0 END END AS units
+FROM (SELECT *, input_tokens * 30 + output_tokens * 150 + cache_read_tokens * 3 AS t FROM v_usage)""")

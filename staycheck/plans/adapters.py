@@ -488,3 +488,90 @@ def mapping_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         block("11", "Occupancy", "occupancy_pct", down, "D5:D999", "A5:A999", when=n % 3 == 1)))
     return hotels(spark, sf_dir).select("submission_id", F.explode(blocks).alias("b")).select(
         "submission_id", "b.*")
+
+
+def _run_id():
+    return F.concat(F.lit("R-"), F.col("user_id").cast("string"))
+
+
+def node_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node entries (clicks) and exits (purchases) per run, in event order."""
+    e = table(spark, sf_dir, "events").filter("event_type in ('click', 'purchase')")
+    k = F.col("event_id")
+    leave = F.col("event_type") == "purchase"
+    nodes = F.array(*[F.lit(n) for n in values.NODE_ORDER])
+    return e.select(
+        _run_id().alias("run_id"), k.alias("seq"),
+        F.get(nodes, (k % 5).cast("int")).alias("node"),
+        F.when(leave, "exit").otherwise("enter").alias("phase"),
+        F.when(~leave, "running").when(k % 11 == 0, "halted").when(k % 13 == 0, "rejected")
+        .otherwise("ok").alias("outcome"),
+        F.when(leave, F.floor(F.col("value") * 20)).otherwise(0).alias("duration_ms"),
+        F.when(leave, k % 3).otherwise(0).alias("model_calls"),
+        F.when(leave, k % 900).otherwise(0).alias("input_tokens"),
+        F.when(leave, k % 300).otherwise(0).alias("output_tokens"))
+
+
+AGENTS = ["mapping", "resolution", "narrative", "reviewer_assist", "critic"]
+
+
+def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model calls per run: every view event."""
+    e = table(spark, sf_dir, "events").filter("event_type = 'view'")
+    k = F.col("event_id")
+    tools = F.transform(F.sequence(F.lit(0), (k % 4).cast("int")), lambda i: F.struct(
+        F.when((k + i) % 3 == 0, "list_sheets").otherwise("peek_headers").alias("name"),
+        ((k + i) % 7 != 0).alias("allowed")))
+    shape_ = F.concat(
+        F.lit('{"k": '), (k % 100).cast("string"), F.lit(', "name": "'),
+        F.repeat(F.lit("ab"), (k % 40).cast("int")), F.lit('", "ok": '),
+        F.when(k % 2 == 0, "true").otherwise("false"), F.lit(', "items": [1, 2'),
+        F.repeat(F.lit(", 3"), (k % 3).cast("int")), F.lit('], "none": null, "o": {"a": 1}'),
+        F.when(k % 5 == 0, ', "x": 1, "y": 2').otherwise(""), F.lit("}"))
+    return e.select(
+        _run_id().alias("run_id"), k.alias("seq"),
+        F.get(F.array(*[F.lit(x) for x in AGENTS]), (k % 5).cast("int")).alias("agent"),
+        F.when(k % 29 == 0, "v2").otherwise("v1").alias("prompt_version"),
+        (k % 900 + 100).alias("input_tokens"), (k % 300).alias("output_tokens"),
+        (k % 50).alias("cache_read_tokens"), F.floor(F.col("value") * 10).alias("duration_ms"),
+        F.when(k % 17 == 0, "timed out").alias("error"),
+        F.when(k % 17 == 0, None).when(k % 19 == 0, "{broken").when(k % 23 == 0, "{}")
+        .otherwise(shape_).alias("output_json"), tools.alias("tool_calls"))
+
+
+def routing_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").filter("event_type in ('error', 'signup', 'view')")
+    k = F.col("event_id")
+    return e.select(
+        _run_id().alias("run_id"), k.alias("seq"),
+        F.get(F.array(*[F.lit(n) for n in values.NODE_ORDER]), (k % 5).cast("int")).alias("node"),
+        F.get(F.array(*[F.lit(x) for x in AGENTS]), (k % 3).cast("int")).alias("agent"),
+        F.when(k % 9 == 0, "refused_budget").when(k % 10 == 0, "skipped").otherwise("granted")
+        .alias("disposition"),
+        (k % 10 != 0).alias("needed"), F.lit("work to do").alias("reason"))
+
+
+def rate_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A price for three runs in four; the others have none."""
+    runs = table(spark, sf_dir, "events").select("user_id").distinct()
+    return runs.filter("user_id % 4 <> 3").select(
+        _run_id().alias("run_id"), F.lit("3.0").cast("decimal(10,4)").alias("input_per_mtok"),
+        F.lit("15.0").cast("decimal(10,4)").alias("output_per_mtok"),
+        F.lit("0.3").cast("decimal(10,4)").alias("cache_read_per_mtok"))
+
+
+def run_documents(spark: SparkSession, sf_dir: str, second: bool = False) -> DataFrame:
+    """A nested document per event; the second version moves some fields."""
+    k = F.col("event_id")
+    extra = F.lit("")
+    n, items = F.lit(0), F.lit("")
+    if second:
+        n = F.when(k % 7 == 0, 1).otherwise(0)
+        items = F.when(k % 11 == 0, ", 9").otherwise("")
+        extra = F.when(k % 13 == 0, ', "extra": {"why": {"deep": 1}}').otherwise("")
+    doc = F.concat(
+        F.lit('{"run": "R-'), F.col("user_id").cast("string"), F.lit('", "props": {"k": '),
+        (k % 50 + n).cast("string"), F.lit('}, "items": ['), (k % 3).cast("string"), F.lit(", "),
+        (k % 5).cast("string"), items, F.lit('], "nodes": [{"node": "a", "duration_ms": '),
+        (k * (2 if second else 1)).cast("string"), F.lit("}]"), extra, F.lit("}"))
+    return table(spark, sf_dir, "events").select(k.alias("doc_id"), doc.alias("doc"))
