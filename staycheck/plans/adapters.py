@@ -575,3 +575,35 @@ def run_documents(spark: SparkSession, sf_dir: str, second: bool = False) -> Dat
         (k % 5).cast("string"), items, F.lit('], "nodes": [{"node": "a", "duration_ms": '),
         (k * (2 if second else 1)).cast("string"), F.lit("}]"), extra, F.lit("}"))
     return table(spark, sf_dir, "events").select(k.alias("doc_id"), doc.alias("doc"))
+
+
+def baseline_claims(metrics: DataFrame) -> DataFrame:
+    """A correct claim table with its labels, the start of every planted fixture."""
+    names = F.create_map(*[F.lit(x) for n in NATIONALITIES for x in (n, LABEL_NAMES[n][1])])
+    return metrics.filter("computed is not null").select(
+        "submission_id", "metric", "period", "dimension", "value_key", "metric_key",
+        F.col("computed").alias("value"), names[F.col("value_key")].alias("label"), "permuted")
+
+
+def expected_findings(findings: DataFrame) -> DataFrame:
+    """What a fixture expected of each finding, wrong in places by finding number."""
+    n = F.substring("finding_id", 3, 4).cast("int")
+    out = findings.filter(n % 10 != 0).withColumns({
+        "fixture_id": F.col("submission_id"),
+        "list": F.when(F.col("variance_class") == "V2", "definitional_items").otherwise("findings"),
+        "metric_key": F.when(n % 17 == 0, F.concat("metric_key", F.lit("?")))
+        .otherwise(F.col("metric_key")),
+        "variance_class": F.when(n % 11 == 0, "V7").otherwise(F.col("variance_class")),
+        "claimed": F.when(n % 13 == 0, F.col("claimed") + 1).otherwise(F.col("claimed")),
+    })
+    return out
+
+
+def rule_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One included/excluded rule per guest group, as its own stays suggest it. Sets over a closed
+    vocabulary, so they stay small however many stays a group has."""
+    res = reservations(spark, sf_dir)
+    odd = F.col("order_no") % 2 == 1
+    return res.groupBy("submission_id", "nationality_iso2").agg(
+        F.collect_set(F.when(odd, F.col("status"))).alias("included"),
+        F.collect_set(F.when(~odd, F.col("status"))).alias("excluded"))
