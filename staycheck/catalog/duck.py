@@ -464,7 +464,7 @@ FROM (SELECT 'H-' || (c_custkey // 150) AS submission_id, c_custkey AS custkey,
     WHEN c_custkey % 6 = 2 THEN ' ' || lower(name) || '  '
     WHEN c_custkey % 6 = 3 THEN replace(name, ' ', '  ') || '.'
     WHEN c_custkey % 6 = 4 THEN ({lit(NATIONALITIES)})[c_nationkey + 1]
-    WHEN c_custkey % 18 = 5 THEN 'Mongolia' WHEN c_custkey % 18 = 11 THEN substring(name, 2)
+    WHEN c_custkey % 36 = 5 THEN 'Austrlia' WHEN c_custkey % 18 = 5 THEN 'Mongolia' WHEN c_custkey % 18 = 11 THEN substring(name, 2)
     ELSE name END AS label
   FROM (SELECT *, ({lit(_names)})[c_nationkey + 1] AS name FROM customer))""")
 

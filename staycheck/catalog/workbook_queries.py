@@ -169,7 +169,7 @@ def _(spark, sf):
 @query("jn_17_occupancy_consistency", """
 SELECT submission_id, period, CAST(stated AS DOUBLE) AS stated, CAST(implied AS DOUBLE) AS implied
 FROM (SELECT *, CAST((20000 * CAST(sold AS HUGEINT) + CAST(available AS HUGEINT))
-    // (2 * CAST(available AS HUGEINT)) AS DECIMAL(18,0)) / 100 AS implied FROM (
+    // (2 * CAST(available AS HUGEINT)) AS DECIMAL(18,0)) * CAST(0.01 AS DECIMAL(3,2)) AS implied FROM (
   SELECT submission_id, period, max(value) FILTER (metric = 'occupancy_pct') AS stated,
     max(value) FILTER (metric = 'room_nights_sold') AS sold,
     max(value) FILTER (metric = 'room_nights_available') AS available

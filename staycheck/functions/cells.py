@@ -50,7 +50,7 @@ def parse_rect(text: Column) -> Column:
 def render_rect(rect: Column) -> Column:
     start = cell_ref(rect["min_row"], rect["min_col"])
     end = cell_ref(rect["max_row"], rect["max_col"])
-    return F.when(start == end, start).otherwise(F.concat_ws(":", start, end))
+    return F.when(start == end, start).otherwise(F.concat(start, F.lit(":"), end))
 
 
 def _undecorated(text: Column, units: list[str], parenthesised: Column) -> Column:
@@ -80,11 +80,20 @@ def cell_value(text: Column, number: Column, number_format: Column, value_type:
     def read(t: Column) -> Column:
         negative = t.startswith("(") & t.endswith(")")
         plain = _no_thousands(_undecorated(t, values.VALUE_UNITS, negative))
-        parsed = let(plain, lambda p: F.when(p.rlike(NUMBER), p.try_cast("decimal(38,18)")))
-        return let(parsed, lambda p: F.struct(
-            F.when(negative, -p).otherwise(p).cast("decimal(38,10)").alias("value"),
-            F.when(t.startswith("="), "uncached formula").when(p.isNull(), "not a figure")
-            .when(p != p.cast("decimal(38,10)"), "too many decimals").alias("problem")))
+        parsed = let(plain, lambda p: F.when(p.rlike(NUMBER), F.struct(
+            p.try_cast("decimal(38,18)").alias("n"),
+            p.rlike(r"\.[0-9]{10,}[1-9]").alias("long"))))
+        one = F.lit(1).cast("decimal(1,0)")
+
+        def result(p: Column) -> Column:
+            fraction = p["n"] % one
+            return F.struct(
+                F.when(negative, -p["n"]).otherwise(p["n"]).cast("decimal(38,10)").alias("value"),
+                F.when(t.startswith("="), "uncached formula").when(p["n"].isNull(), "not a figure")
+                .when(p["long"] | (fraction != fraction.cast("decimal(19,10)")),
+                      "too many decimals").alias("problem"))
+
+        return let(parsed, result)
 
     scaled = F.when(number_format.contains("%"), number * 100).otherwise(number)
     kind_problem = F.when(value_type.isin("boolean", "date"),

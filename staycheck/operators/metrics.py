@@ -17,6 +17,8 @@ from staycheck.functions.keys import render_key
 from staycheck.sources.rulesets import Ruleset, rulesets
 
 VALUE_TYPE = "decimal(38,10)"
+# inside the plan values are whole counts or two-place percentages, which fit a machine word
+SLIM_TYPE = "decimal(18,2)"
 
 
 def with_stay_columns(res: DataFrame) -> DataFrame:
@@ -211,22 +213,22 @@ def metric_values(res: DataFrame, inv: DataFrame | None, declared: DataFrame,
         "submission_id", "metric", "period", "dimension", "value_key",
         render_key(F.col("metric"), F.col("period"), F.col("dimension"), F.col("value_key"))
         .alias("metric_key"),
-        "computed", "nv_reason", "permuted")
+        F.col("computed").cast(VALUE_TYPE).alias("computed"), "nv_reason", "permuted")
 
 
 def _entry(metric: str, dimension: str, value_key: str, computed: str, reason: str,
            permuted: list[tuple[Ruleset, str]]) -> str:
     found = ", ".join(
         f"named_struct('ord', {r.ord}, 'ruleset_id', '{r.ruleset_id}', "
-        f"'value', cast({sql} as {VALUE_TYPE}))" for r, sql in permuted)
-    values_ = ", ".join(f"cast({sql} as {VALUE_TYPE})" for _, sql in permuted)
-    array_type = f"array<struct<ord:int,ruleset_id:string,value:{VALUE_TYPE}>>"
+        f"'value', cast({sql} as {SLIM_TYPE}))" for r, sql in permuted)
+    values_ = ", ".join(f"cast({sql} as {SLIM_TYPE})" for _, sql in permuted)
+    array_type = f"array<struct<ord:int,ruleset_id:string,value:{SLIM_TYPE}>>"
     return (
         f"named_struct('metric', '{metric}', 'dimension', cast({dimension} as string), "
-        f"'value_key', cast({value_key} as string), 'computed', cast({computed} as {VALUE_TYPE}), "
+        f"'value_key', cast({value_key} as string), 'computed', cast({computed} as {SLIM_TYPE}), "
         f"'nv_reason', cast({reason} as string), "
         f"'permuted', cast(array({found}) as {array_type}), "
-        f"'any_permuted', {'coalesce(' + values_ + ')' if values_ else f'cast(null as {VALUE_TYPE})'})")
+        f"'any_permuted', {'coalesce(' + values_ + ')' if values_ else f'cast(null as {SLIM_TYPE})'})")
 
 
 def _period_entries(rules: list[Ruleset]) -> str:

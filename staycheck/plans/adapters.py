@@ -375,7 +375,7 @@ def customer_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 6 == 2, F.concat(F.lit(" "), F.lower(name), F.lit("  ")))
         .when(k % 6 == 3, F.concat(F.regexp_replace(name, " ", "  "), F.lit(".")))
         .when(k % 6 == 4, pick(NATIONALITIES))
-        .when(k % 18 == 5, "Mongolia").when(k % 18 == 11, F.substring(name, 2, 60))
+        .when(k % 36 == 5, "Austrlia").when(k % 18 == 5, "Mongolia").when(k % 18 == 11, F.substring(name, 2, 60))
         .otherwise(name))
     return table(spark, sf_dir, "customer").select(
         hotel("c_custkey").alias("submission_id"), k.alias("custkey"), label.alias("label"))

@@ -56,16 +56,21 @@ def main(argv):
         i = argv.index("--sf")
         sf = argv[i + 1]
         argv = argv[:i] + argv[i + 2:]
+    part, parts = 0, 1
+    if "--shard" in argv:
+        i = argv.index("--shard")
+        part, parts = map(int, argv[i + 1].split("/"))
+        argv = argv[:i] + argv[i + 2:]
     from staycheck.session import build_session
     import __spark_entry__ as e
 
-    spark = build_session("local[8]", 8, **{"spark.driver.memory": "8g"})
+    spark = build_session("local[8]", 8, **{"spark.driver.memory": os.environ.get("MEM", "8g")})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf)
     queries, oracle = e.queries(), e.oracle_sql()
     bad = []
-    for name, fn in queries.items():
-        if argv and not any(p in name for p in argv):
+    for i, (name, fn) in enumerate(queries.items()):
+        if i % parts != part or (argv and not any(p in name for p in argv)):
             continue
         t = time.time()
         try:
