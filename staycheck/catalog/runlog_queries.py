@@ -215,7 +215,7 @@ UNION ALL SELECT event_id, 'items', 'length' FROM events WHERE event_id % 11 = 0
 UNION ALL SELECT event_id, 'extra', 'one side only' FROM events WHERE event_id % 13 = 0""")
 def _(spark, sf):
     return dc.diff_documents(a.run_documents(spark, sf), a.run_documents(spark, sf, True), "doc_id",
-                             "doc", ["nodes.duration_ms"], max_depth=5)
+                             "doc", ["nodes.duration_ms"])
 
 
 

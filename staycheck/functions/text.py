@@ -34,18 +34,40 @@ def pseudonym(salt: str, identity: Column) -> Column:
     return F.concat(F.lit("g_"), F.substring(digest, 1, 16))
 
 
-def redact(text: Column, patterns=None) -> Column:
+def _may_match(text: Column, name: str) -> Column:
+    """A cheap test every match of the pattern passes, so most text never meets the pattern."""
+    needs = values.REDACTION_NEEDS.get(name)
+    if not needs:
+        return F.lit(True)
+    found = text.contains(needs[0])
+    for part in needs[1:]:
+        found = found | text.contains(part)
+    return found
+
+
+def redact(text: Column) -> Column:
     """Every match replaced by its placeholder; later patterns see the text earlier ones left."""
-    for name, pattern in patterns or values.REDACTION_PATTERNS:
-        text = F.regexp_replace(text, "(?U)" + pattern, f"[redacted:{name}]")
+    for name, pattern in values.REDACTION_PATTERNS:
+        text = let(text, _replacer(name, pattern))
     return text
 
 
-def redaction_counts(text: Column, patterns=None) -> dict[str, Column]:
+def _replacer(name: str, pattern: str):
+    return lambda t: F.when(_may_match(t, name), F.regexp_replace(
+        t, "(?U)" + pattern, f"[redacted:{name}]")).otherwise(t)
+
+
+def _counter(name: str, pattern: str):
+    return lambda t: F.when(_may_match(t, name), F.regexp_count(
+        t, F.lit("(?U)" + pattern))).otherwise(0)
+
+
+def redaction_counts(text: Column) -> dict[str, Column]:
+    """Matches per pattern, each counted on the text the earlier patterns left."""
     counts = {}
-    for name, pattern in patterns or values.REDACTION_PATTERNS:
-        counts[name] = F.regexp_count(text, F.lit("(?U)" + pattern))
-        text = F.regexp_replace(text, "(?U)" + pattern, f"[redacted:{name}]")
+    for name, pattern in values.REDACTION_PATTERNS:
+        counts[name] = let(text, _counter(name, pattern))
+        text = let(text, _replacer(name, pattern))
     return counts
 
 

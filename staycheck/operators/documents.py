@@ -1,59 +1,65 @@
 """JSON documents compared path by path, and files compared by digest."""
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from staycheck.session import stage
+
 
 FIELD_LIMIT = 6
 VALUE_LIMIT = 48
 
 
-def flatten(docs: DataFrame, key: str, column: str, max_depth: int = 8) -> DataFrame:
+NODES = "array<struct<path:string,above:array<string>,kind:string,size:int,value:string>>"
+
+
+def json_nodes():
+    """A pandas UDF listing every node of a JSON document, the document itself included."""
+
+    def nodes(value, path="", above=()):
+        if isinstance(value, dict):
+            yield path, above, "object", 0, None
+            inner = [(f"{path}.{k}" if path else k, v) for k, v in value.items()]
+        elif isinstance(value, list):
+            yield path, above, "array", len(value), None
+            inner = [(f"{path}[{i}]", v) for i, v in enumerate(value)]
+        else:
+            whole = isinstance(value, float) and value.is_integer()
+            yield path, above, "scalar", 0, json.dumps(int(value) if whole else value)
+            return
+        for name, v in inner:
+            yield from nodes(v, name, (*above, path))
+
+    def rows(doc):
+        names = ("path", "above", "kind", "size", "value")
+        return [] if doc is None else [
+            dict(zip(names, (n[0], list(n[1]), *n[2:]))) for n in nodes(json.loads(doc))]
+
+    @F.pandas_udf(NODES)
+    def udf(docs: pd.Series) -> pd.Series:
+        return docs.map(rows)
+
+    return udf
+
+
+def flatten(docs: DataFrame, key: str, column: str) -> DataFrame:
     """One row per node of each JSON document: path, kind (object, array, scalar), size, value and
-    the paths above it. A document nested deeper than max_depth stops the job rather than being
-    cut."""
-    spark = docs.sparkSession
-    level = docs.select(
-        key, F.lit("").alias("path"), F.array().cast("array<string>").alias("above"),
-        F.parse_json(column).alias("v"))
-    out = None
-    for depth in range(max_depth + 1):
-        level = level.withColumn("kind", _kind("v"))
-        deep = F.lit(None).cast("string") if depth < max_depth else F.raise_error(
-            F.lit("document nested too deep")).cast("string")
-        rows = level.select(key, "path", "above", "kind", _size("v").alias("size"), F.when(
-            F.col("kind") == "scalar", F.to_json("v")).otherwise(deep).alias("value"))
-        out = rows if out is None else out.unionByName(rows)
-        if depth == max_depth:
-            return out
-        inner = level.filter("kind <> 'scalar'")
-        child = """case when e.key is null then concat(l.path, '[', e.pos, ']')
-                   when l.path = '' then e.key else concat(l.path, '.', e.key) end"""
-        level = spark.sql(
-            f"select l.{key}, {child} as path, array_append(l.above, l.path) as above, "
-            "e.value as v from {l} l, lateral variant_explode(l.v) e", l=inner)
-
-
-def _kind(v: str) -> Column:
-    shape = F.schema_of_variant(v)
-    return F.when(shape.startswith("OBJECT<"), "object").when(
-        shape.startswith("ARRAY<"), "array").otherwise("scalar")
-
-
-def _size(v: str) -> Column:
-    return F.when(F.schema_of_variant(v).startswith("ARRAY<"),
-                  F.size(F.from_json(F.to_json(v), "array<string>"))).otherwise(0)
-
-
-def diff_documents(a: DataFrame, b: DataFrame, key: str, column: str, volatile: list[str],
-                   max_depth: int = 8) -> DataFrame:
+    the paths above it. One pass, whatever the depth."""
+    return docs.select(key, F.explode(json_nodes()(column)).alias("n")).select(key, "n.*")
+
+
+def diff_documents(a: DataFrame, b: DataFrame, key: str, column: str,
+                   volatile: list[str]) -> DataFrame:
     """Paths at which two versions of each document differ, volatile fields apart.
 
     A key on one side only, or a list of another length, is reported once, not for every leaf
     under it.
     """
     def side(df, name):
-        flat = flatten(df, key, column, max_depth)
+        flat = flatten(df, key, column)
         plain = F.regexp_replace("path", r"\[[0-9]+\]", "")
         under = F.exists(F.array(*[F.lit(p) for p in volatile]) if volatile else F.array(),
                          lambda p: (plain == p) | plain.startswith(F.concat(p, F.lit("."))))
@@ -68,8 +74,8 @@ def diff_documents(a: DataFrame, b: DataFrame, key: str, column: str, volatile:
     why = (
         F.when(one_sided, "one side only").when(other, "other kind")
         .when(length, "length").when(scalar & ~other, "value"))
-    found = both.withColumn("why", why).filter("why is not null").select(
-        key, "path", "why", F.coalesce("a.above", "b.above").alias("above"))
+    found = stage(both.withColumn("why", why).filter("why is not null").select(
+        key, "path", "why", F.coalesce("a.above", "b.above").alias("above")))
     stops = found.filter("why <> 'value'").select(key, F.col("path").alias("up"))
     hidden = found.select(key, "path", F.explode("above").alias("up")).join(
         stops, [key, "up"], "left_semi").select(key, "path").distinct()

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from staycheck import values
 from staycheck.operators.ranking import ranked, running_balance, running_sum
+from staycheck.session import stage
 
 BLOCK = 100_000
 
@@ -19,7 +20,8 @@ def pair_nodes(log: DataFrame) -> DataFrame:
 
     Repeated entries close last-in first-out. An entry nothing closes stays, as does an exit that
     closes nothing. At one nesting level entries and exits alternate, so the n-th entry of a level
-    belongs to its n-th exit.
+    belongs to its n-th exit. Levels and pairs are each written once: the steps after them read
+    them more than once.
     """
     group = ["run_id", "node"]
     step = F.when(F.col("phase") == "enter", 1).otherwise(-1)
@@ -27,24 +29,23 @@ def pair_nodes(log: DataFrame) -> DataFrame:
         "_before", F.col("balance") - step - F.col("floor_before"))
     enter = F.col("phase") == "enter"
     b = b.withColumn("level", F.when(enter, F.col("_before") + 1).otherwise(F.col("_before")))
-    b = b.withColumn("orphan", ~enter & (F.col("level") == 0)).drop(
-        "balance", "floor", "floor_before", "_before")
+    b = stage(b.withColumn("orphan", ~enter & (F.col("level") == 0)).drop(
+        "balance", "floor", "floor_before", "_before"))
+    details = ["seq", "outcome", "duration_ms", "model_calls", "input_tokens", "output_tokens"]
     numbered = ranked(b.filter("not orphan"), [*group, "level", "phase"], ["_block"], ["seq"], "n")
-    keys = [*group, "level", "n"]
-    entered = numbered.filter("phase = 'enter'").select(*keys, F.col("seq").alias("enter_seq"))
-    details = ["outcome", "duration_ms", "model_calls", "input_tokens", "output_tokens"]
-    left = numbered.filter("phase = 'exit'").select(*keys, F.col("seq").alias("exit_seq"), *details)
-    paired = entered.join(left, keys, "left").select(*group, "enter_seq", "exit_seq", *details)
+    paired = numbered.groupBy(*group, "level", "n").agg(
+        F.max(F.when(enter, F.col("seq"))).alias("enter_seq"),
+        F.max(F.when(~enter, F.struct(*details))).alias("x"))
     orphans = b.filter("orphan").select(
-        *group, F.lit(None).cast("bigint").alias("enter_seq"), F.col("seq").alias("exit_seq"),
-        *details)
-    return paired.unionByName(orphans).withColumns({
-        "entered_only": F.col("exit_seq").isNull(),
-        "outcome": F.coalesce("outcome", F.lit("entered")),
-        "duration_ms": F.coalesce("duration_ms", F.lit(0)),
-        "model_calls": F.coalesce("model_calls", F.lit(0)),
-        "seq": F.coalesce("enter_seq", "exit_seq"),
-    })
+        *group, F.lit(None).cast("bigint").alias("enter_seq"), F.struct(*details).alias("x"))
+    both = paired.select(*group, "enter_seq", "x").unionByName(orphans)
+    zero = F.lit(0).cast("bigint")
+    return stage(both.select(
+        *group, "enter_seq", F.col("x.seq").alias("exit_seq"),
+        F.coalesce("x.outcome", F.lit("entered")).alias("outcome"),
+        *[F.coalesce(f"x.{c}", zero).alias(c) for c in details[2:]],
+        F.col("x").isNull().alias("entered_only"),
+        F.coalesce("enter_seq", "x.seq").alias("seq")))
 
 
 def timeline(timings: DataFrame) -> DataFrame:
