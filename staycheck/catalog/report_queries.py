@@ -155,6 +155,17 @@ def _(spark, sf):
     return labels.official_names(labels.alias_index(rows)).select("code", "name")
 
 
+@query("sc_09_similarity")
+def _(spark, sf):
+    """How close each unmatched label is to the longest alias of every code it is offered."""
+    offered = labels.candidates(_unmatched(spark, sf), "label")
+    names = labels.official_names(_countries(spark)).select("code", "name")
+    from staycheck.functions.text import normalise_key
+    return offered.join(names, "code").select(
+        "label", "code", labels.similarity()(normalise_key(F.col("label")), F.col("name"))
+        .alias("ratio"))
+
+
 @query("jn_20_candidates")
 def _(spark, sf):
     return labels.candidates(_unmatched(spark, sf), "label")

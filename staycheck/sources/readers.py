@@ -27,17 +27,28 @@ def read_reservations(spark: SparkSession, path: str, fmt: str = "parquet") -> D
     return reader.format(fmt).load(path)
 
 
+INVENTORY_COLUMNS = {"hotel_id", "day", "rooms_total", "rooms_out_of_order"}
+
+
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Daily inventory files with the 1-based number of each data row in its file.
 
-    Rows are numbered inside each split and the splits of a file are added up, so a large file is
-    not gathered in one task. A file without the required columns stops the job.
+    Column names come from the header, and every file must have the same one. Rows are numbered
+    inside each split and the splits of a file are added up, so a large file is not gathered in one
+    task. A hotel files for itself where no submission_id column says otherwise.
     """
-    raw = spark.read.option("header", True).option("enforceSchema", False).schema(
-        "submission_id string, hotel_id string, day string, rooms_total string, "
-        "rooms_out_of_order string, rooms_available string, note string").csv(path)
-    raw = raw.select("*", F.col("_metadata.file_path").alias("_path"),
-                     F.col("_metadata.file_block_start").alias("_start"))
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    missing = INVENTORY_COLUMNS - set(raw.columns)
+    if missing:
+        raise ValueError(f"inventory lacks required columns: {sorted(missing)}")
+    for name, default in (("submission_id", F.col("hotel_id")), ("note", F.lit(None)),
+                          ("rooms_available", F.lit(None))):
+        if name not in raw.columns:
+            raw = raw.withColumn(name, default.cast("string"))
+    raw = raw.select(
+        "submission_id", *sorted(INVENTORY_COLUMNS), "rooms_available", "note",
+        F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_start"))
     raw = raw.withColumn("_id", F.monotonically_increasing_id())
     numbered = ranked(raw, ["_path"], ["_start"], ["_id"], "row_no")
     whole = {c: F.when(F.col(c).rlike("^[0-9]{1,9}$"), F.col(c).cast("int"))

@@ -246,3 +246,50 @@ def test_too_many_findings_is_refused(spark):
         F.lit("V1").alias("variance_class"), F.lit(2).alias("stage"))
     with pytest.raises(Exception, match="more than 9999"):
         reconcile.with_finding_ids(df).collect()
+
+
+def test_repeated_reservation_id_blocks_only_its_submission(spark):
+    stays = [stay("r1", "2026-01-05", "2026-01-07"), stay("r1", "2026-01-05", "2026-01-07"),
+             stay("r1", "2026-01-05", "2026-01-07", sub="H-2")]
+    res, inv, declared = frames(spark, stays)
+    found = metrics.metric_values(res.distinct(), inv, declared)
+    out = verify(res, inv, fixture_claims(spark, found), declared)
+    status = {r["submission_id"]: r["status"] for r in out["verdicts"].collect()}
+    assert status == {"H-1": "HALTED", "H-2": "PASS"}
+    assert [(f["finding_id"], f["clause"]) for f in out["findings"].collect()] == [
+        ("F-0001", "D-QUAL-07")]
+
+
+def test_inventory_rows_are_numbered_per_file(spark, tmp_path):
+    from staycheck.sources.readers import read_inventory
+    for hotel in ("A", "B"):
+        lines = [f"{hotel},2026-01-{d:02d},60,{d % 2},{60 - d % 2}," for d in range(1, 29)]
+        (tmp_path / f"inventory_{hotel}.csv").write_text(
+            "hotel_id,day,rooms_total,rooms_out_of_order,rooms_available,note\n"
+            + "\n".join(lines) + "\n")
+    rows = read_inventory(spark, str(tmp_path)).collect()
+    assert len(rows) == 56 and {r["submission_id"] for r in rows} == {"A", "B"}
+    assert all(r["row_no"] == r["day"].day and r["file"] == f"inventory_{r['hotel_id']}.csv"
+               for r in rows)
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.csv").write_text("hotel_id,day\nA,2026-01-01\n")
+    with pytest.raises(ValueError, match="rooms_total"):
+        read_inventory(spark, str(tmp_path / "bad"))
+
+
+def test_hot_key_evidence_matches_plain_ranges(spark):
+    from staycheck.operators.evidence import collapse_ranges
+    rows = [(1, 1), (2, 2), (3, 3), (7, 7), (8, 9), (9, 9), (12, 12)]
+    df = spark.createDataFrame([("f", a, b) for a, b in rows], "file string, a int, b int")
+    got = sorted((r["row_start"], r["row_end"]) for r in collapse_ranges(df, ["file"], "a", "b").collect())
+    assert got == [(1, 3), (7, 9), (12, 12)]
+
+
+def test_document_diff(spark):
+    from staycheck.operators.documents import diff_documents
+    a = '{"x": 1, "t": {"ms": 5}, "l": [{"v": 1}, {"v": 2}], "m": [1], "only": {"deep": {"y": 1}}}'
+    b = '{"x": 1.0, "t": {"ms": 9}, "l": [{"v": 1}, {"v": 3}], "m": [1, 2], "k": null}'
+    df = [spark.createDataFrame([(1, d)], "id int, d string") for d in (a, b)]
+    got = {(r["path"], r["why"]) for r in diff_documents(*df, "id", "d", ["t.ms"]).collect()}
+    assert got == {("l[1].v", "value"), ("m", "length"), ("only", "one side only"),
+                   ("k", "one side only")}
