@@ -71,11 +71,8 @@ def running_balance(df: DataFrame, group: list[str], bucket: list[str], order: l
 
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Equi-join that also matches null keys."""
-    right = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
-                         *[c for c in right.columns if c not in keys])
-    cond = None
-    for k in keys:
-        c = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        cond = c if cond is None else cond & c
-    return left.join(right, cond).drop(*[f"_k_{k}" for k in keys])
+    """Add the offsets. The rows are already distributed by the keys, so only the small side moves.
+    A null key meets no offset and stops the job; no row is lost."""
+    offset = next(c for c in right.columns if c not in keys)
+    missing = F.raise_error(F.lit(f"null in one of {keys}")).cast(right.schema[offset].dataType)
+    return left.join(right, keys, "left").withColumn(offset, F.coalesce(offset, missing))

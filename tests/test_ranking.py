@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from staycheck.operators.ranking import ranked, running_balance, running_sum
 from staycheck.operators.runlog import pair_nodes
 from pyspark.sql import functions as F
@@ -27,11 +29,11 @@ def test_ranked_and_running_sum(spark):
         assert sums[seq] == total[g]
 
 
-def test_ranked_with_null_keys(spark):
-    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "g string, seq bigint").withColumn(
+def test_null_keys_stop_the_job(spark):
+    df = spark.createDataFrame([(None, 1), ("a", 3)], "g string, seq bigint").withColumn(
         "b", F.lit(0))
-    assert sorted((r["seq"], r["n"]) for r in ranked(df, ["g"], ["b"], ["seq"], "n").collect()) == [
-        (1, 1), (2, 2), (3, 1)]
+    with pytest.raises(Exception, match="null in one of"):
+        ranked(df, ["g"], ["b"], ["seq"], "n").collect()
 
 
 def test_running_balance(spark):
