@@ -56,7 +56,7 @@ def main() -> None:
         "reconcile_findings": findings,
         "verify_end_to_end": lambda: verify(res, inv, claims, declared)["verdicts"],
         "evidence_ranges": lambda: evidence.evidence(found, res, inv),
-        "words_to_rows": lambda: checks.parse_printed(reports.data_lines(words)),
+        "words_to_rows": lambda: checks.parse_printed(reports.data_lines(words, a.ID_PATTERN)),
         "reconcile_totals": lambda: reports.reconcile_totals(printed, reports.parse_totals(blocks)),
         "merge_reports": lambda: reports.merge_reports(printed),
         "node_timeline": lambda: runlog.timeline(runlog.pair_nodes(nodes)),

@@ -240,7 +240,7 @@ def _(spark, sf):
     words = a.report_words(a.printed_cells(a.printed_rows(spark, sf))).withColumns({
         "x0": F.when(F.col("x0") < 10, F.col("x0") + 800).otherwise(F.col("x0")),
         "x1": F.when(F.col("x1") < 10, F.col("x1") + 800).otherwise(F.col("x1"))})
-    return rp.data_lines(words)
+    return rp.data_lines(words, a.ID_PATTERN)
 
 
 @query("sc_12_page_columns", """

@@ -20,6 +20,8 @@ NATIONALITIES = [
     "KR", "KZ", "NL", "NO", "PH", "PK", "PL", "RU", "SA", "SE", "TR", "US",
 ]
 RATES = ["BAR", "CORP", "GOV", "OTA", "GROUP", "COMP", "HOUSE"]
+# ids here carry twelve digits, since a table may hold more than 99,999 stays a quarter
+ID_PATTERN = "^RES-[0-9]{4}Q[1-4]-[0-9]{12}$"
 FIRST_MONTH, LAST_MONTH = "1995-01-01", "2001-08-01"
 
 
