@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from staycheck.llm import exact_dedup
+from staycheck.llm import exact_dedup, simhash
 from staycheck.llm.common import table
 
 
@@ -18,8 +18,13 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM d
 """
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(table(spark, sf_dir, "documents")).drop("row_key")
+
+
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_simhash": op6_simhash,
 }
 ORACLES = {
     "op4_exact_dedup": OP4_SQL,
