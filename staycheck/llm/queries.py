@@ -1,11 +1,35 @@
 """One query per operator over its whole table, and the SQL each must agree with."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from staycheck.llm import exact_dedup, simhash
+from staycheck.llm import exact_dedup, simhash, substring_dedup
 from staycheck.llm.common import table
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"])
+    return out.select("doc_id", "n_words", removed.alias("n_removed"),
+                      F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS MATERIALIZED (
+  SELECT doc_id, i, sha256(array_to_string(ws[i:i + 19], ' ')) AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+firsts AS (SELECT k, min({'d': doc_id, 'i': i}) AS f FROM win GROUP BY k HAVING count(*) > 1),
+marked AS (SELECT doc_id, i FROM win JOIN firsts USING (k) WHERE {'d': doc_id, 'i': i} <> f),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM marked, (SELECT unnest(range(20)) AS j)),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n
+         FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("row_key")
 
@@ -23,9 +47,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_simhash": op6_simhash,
 }
 ORACLES = {
+    "op3_substring_dedup": OP3_SQL,
     "op4_exact_dedup": OP4_SQL,
 }
