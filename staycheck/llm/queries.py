@@ -3,10 +3,27 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staycheck.llm import exact_dedup, simhash, substring_dedup
+from staycheck.llm import bpe, exact_dedup, simhash, substring_dedup
 from staycheck.llm.common import table
 
 
+BPE_FILE = "byte_bpe_multi_50k.tiktoken"
+
+
+def vocabulary() -> tuple[bpe.Vocabulary, str]:
+    import public_tokenizers
+
+    return bpe.Vocabulary(bpe.read_ranks(public_tokenizers.path(BPE_FILE))), public_tokenizers.PATTERN
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = vocabulary()
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest().alias("ids_sha256"), "ids")
+    return bpe.decode(encoded, ranks).select("doc_id", "n_tokens", "ids_sha256",
+                                             F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"])
@@ -47,6 +64,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_bpe": op2_bpe,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_simhash": op6_simhash,
