@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staycheck.llm import bpe, exact_dedup, simhash, substring_dedup
+from staycheck.llm import bpe, decontaminate, exact_dedup, simhash, substring_dedup
 from staycheck.llm.common import table
 
 
@@ -63,11 +63,18 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents")).drop("row_key")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each contaminated document and the item in it."""
+    return decontaminate.find_items(table(spark, sf_dir, "documents"),
+                                    table(spark, sf_dir, "benchmark")).drop("row_key")
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_simhash": op6_simhash,
+    "op7_decontaminate": op7_decontaminate,
 }
 ORACLES = {
     "op3_substring_dedup": OP3_SQL,
