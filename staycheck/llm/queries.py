@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staycheck.llm import bpe, decontaminate, exact_dedup, simhash, substring_dedup
+from staycheck.llm import bpe, decontaminate, exact_dedup, language_id, simhash, substring_dedup
 from staycheck.llm.common import table
 
 
@@ -59,6 +59,16 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM d
 """
 
+def learns_language():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    named = language_id.classify(docs, language_id.fit(docs, learns_language()))
+    return named.select("doc_id", (~learns_language()).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents")).drop("row_key")
 
@@ -73,6 +83,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
     "op7_decontaminate": op7_decontaminate,
 }
