@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staycheck.llm import bpe, decontaminate, exact_dedup, language_id, simhash, substring_dedup
+from staycheck.llm import bpe, decontaminate, exact_dedup, language_id, quality, simhash, substring_dedup
 from staycheck.llm.common import table
 
 
@@ -79,6 +79,17 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     table(spark, sf_dir, "benchmark")).drop("row_key")
 
 
+def learns_quality():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), learns_quality())
+    return quality.score(docs, model).select("doc_id", (~learns_quality()).alias("held_out"), "score",
+                                             (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_substring_dedup": op3_substring_dedup,
@@ -86,6 +97,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_simhash": op6_simhash,
     "op7_decontaminate": op7_decontaminate,
+    "op8_quality": op8_quality,
 }
 ORACLES = {
     "op3_substring_dedup": OP3_SQL,
