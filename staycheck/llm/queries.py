@@ -3,8 +3,18 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staycheck.llm import bpe, decontaminate, exact_dedup, language_id, quality, simhash, substring_dedup
+from staycheck.llm import bpe, decontaminate, exact_dedup, language_id, quality, secrets, simhash, substring_dedup
 from staycheck.llm.common import table
+from staycheck.llm.spans import span_list
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secrets.scan_history(table(spark, sf_dir, "documents"))
+    names = ", ".join(f"'{b}'" for b in secrets.BASE)
+    base = span_list(f"filter(spans, x -> x.kind IN ({names}))", "start rank")
+    counts = [F.expr(f"cast(size(filter(spans, x -> x.kind = '{b}')) AS bigint)").alias(f"n_{b}") for b in secrets.BASE]
+    return found.select("doc_id", *counts, F.sha2(F.expr(base).cast("binary"), 256).alias("base_sha256"),
+                        F.expr(span_list("spans", "start rank")).alias("spans"))
 
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -91,6 +101,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secrets": op1_secrets,
     "op2_bpe": op2_bpe,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_dedup": op4_exact_dedup,
