@@ -27,7 +27,8 @@ from staycheck.llm.common import doc_rows
 
 WINDOW = 20
 SEGMENT_BYTES = 1 << 20
-TASK_WINDOWS = 1 << 22
+SLICE_BYTES = 4 << 20
+TASK_WINDOWS = 1 << 20
 BUCKET_WINDOWS = 1 << 20
 GROUP_BYTES = 16 << 20
 NO_ID = np.iinfo(np.int64).min
@@ -134,13 +135,19 @@ def steps(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x.dtype.type(0))
 
 
-def _buffers(batch: pa.RecordBatch):
-    """ids, row keys, the bytes of all texts, and the bounds of each text in them."""
-    text = batch.column("text").cast(pa.large_binary())
-    bounds = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + len(text) + 1]
-    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[bounds[0]:bounds[-1]]
-    ids = batch.column("doc_id").fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
-    return ids, batch.column("row_key").to_numpy(zero_copy_only=False), data, bounds - bounds[0]
+def _buffers(batches: Iterator[pa.RecordBatch]):
+    """Some rows at a time: ids, row keys, the bytes of all texts, and the bounds of each text in them."""
+    for batch in batches:
+        text = batch.column("text").cast(pa.large_binary())
+        bounds = np.frombuffer(text.buffers()[1], np.int64)[text.offset:text.offset + len(text) + 1]
+        data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+        ids = batch.column("doc_id").fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
+        keys = batch.column("row_key").to_numpy(zero_copy_only=False)
+        at = 0
+        while at < len(ids):
+            to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SLICE_BYTES, "right")) - 1)
+            yield ids[at:to], keys[at:to], data[bounds[at]:bounds[to]], bounds[at:to + 1] - bounds[at]
+            at = to
 
 
 def tag_of(keys: np.ndarray) -> np.ndarray:
@@ -158,8 +165,8 @@ def _hash_windows(window: int, bits: int):
 
     def emit(ids, tags, parts):
         order = np.lexsort((tags, ids))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         ids, tags = ids[order], tags[order]
         hashes, texts, starts = (np.concatenate(x) for x in zip(*parts))
         texts = rank[texts]
@@ -194,8 +201,7 @@ def _hash_windows(window: int, bits: int):
                                                     (pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
                     ["bucket", "kind", "docs", "hashes"])
 
-        for batch in batches:
-            own, keys, data, bounds = _buffers(batch)
+        for own, keys, data, bounds in _buffers(batches):
             hashes, texts, starts = window_hashes(data, bounds, rollers, window)
             fresh = np.zeros(len(own), bool)
             for n, pair in enumerate(zip(own.tolist(), keys.tolist())):
@@ -203,7 +209,8 @@ def _hash_windows(window: int, bits: int):
                     seen.add(pair)
                     fresh[n] = True
             use = fresh[texts]
-            parts.append((hashes[use], texts[use] + sum(map(len, ids)), starts[use]))
+            texts = texts[use].astype(np.int32) + np.int32(sum(map(len, ids)))
+            parts.append((hashes[use], texts, starts[use].astype(np.int32)))
             ids.append(own)
             tags.append(tag_of(keys))
             held += int(use.sum())
@@ -274,10 +281,7 @@ def _group_texts(groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        for batch in batches:
-            ids, keys, data, bounds = _buffers(batch)
-            if not len(ids):
-                continue
+        for ids, keys, data, bounds in _buffers(batches):
             group = group_of(ids, tag_of(keys), groups)
             order = np.argsort(group, kind="stable")
             names, at = np.unique(group[order], return_index=True)
