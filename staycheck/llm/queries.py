@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staycheck.llm import bpe, decontaminate, exact_dedup, language_id, quality, secrets, simhash, substring_dedup
+from staycheck.llm import bpe, decontaminate, exact_dedup, language_id, pii, quality, secrets, simhash, substring_dedup
 from staycheck.llm.common import table
 from staycheck.llm.spans import span_list
 
@@ -100,6 +100,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                                              (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_pii(docs, pii.fit(docs))
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{b}')) AS bigint)").alias(f"n_{b}") for b in pii.BASE]
+    return found.select("doc_id", *counts,
+                        F.sha2(F.expr(span_list("base", "rank start")).cast("binary"), 256).alias("base_sha256"),
+                        F.expr(span_list("spans", "rank start")).alias("spans"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_bpe": op2_bpe,
@@ -109,6 +118,7 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
+    "op10_pii": op10_pii,
 }
 ORACLES = {
     "op3_substring_dedup": OP3_SQL,
