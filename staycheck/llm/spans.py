@@ -17,7 +17,7 @@ def find(text: str, pattern: str) -> str:
     p = quoted(pattern)
     parts = f"split({text}, {p}, -1)"
     zipped = (f"zip_with(zip_with({parts}, regexp_extract_all({text}, {p}, 0), (g, m) -> struct(g, m)), "
-              f"slice({parts}, 2, 2147483647), (x, n) -> struct(x.g AS g, x.m AS m, n AS n))")
+              f"slice({parts}, 2, 1000000000), (x, n) -> struct(x.g AS g, x.m AS m, n AS n))")
     step = ("named_struct('start', s.at + length(x.g), 'end', s.at + length(x.g) + length(x.m), "
             "'match', x.m, 'before', right(x.g, 24), 'after', left(x.n, 1))")
     return (f"CASE WHEN {text} RLIKE {p} THEN aggregate({zipped}, "
