@@ -26,14 +26,18 @@ def vocabulary() -> tuple[bpe.Vocabulary, str]:
     return bpe.Vocabulary(bpe.read_ranks(public_tokenizers.path(BPE_FILE))), public_tokenizers.PATTERN
 
 
-def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks, pattern = vocabulary()
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern).select(
+def round_trip(docs: DataFrame, ranks: bpe.Vocabulary, pattern: str) -> DataFrame:
+    encoded = bpe.encode(docs, ranks, pattern).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest().alias("ids_sha256"), "ids")
     return bpe.decode(encoded, ranks).select("doc_id", "n_tokens", "ids_sha256",
                                              F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = vocabulary()
+    return round_trip(table(spark, sf_dir, "documents"), ranks, pattern)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["last"] - r["first"])
