@@ -3,8 +3,8 @@
 Text is split by the tokenizer's pattern. A pre-token that is itself in the vocabulary resolves with
 one probe of a minimal perfect hash (hash and displace; the stored key is compared, so strangers are
 recognised). Others start as single bytes in a linked list, and a heap of adjacent pairs by (rank,
-place) gives the next merge. Results of distinct pre-tokens are remembered within a task, up to a
-fixed number.
+place) gives the next merge. Results of distinct pre-tokens are remembered in each worker, up to a fixed
+number.
 
 Cases: null text is an empty text and has no ids. Special tokens don't exist: their strings are
 ordinary text. Rows are independent: repeated rows, null doc_ids and long texts need nothing special.
@@ -12,6 +12,7 @@ An empty table gives an empty result. Extra columns are ignored.
 """
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from staycheck.llm.common import doc_rows
 
-MEMORY = 200_000
+MEMORY = 250_000
 BATCH_BYTES = 4 << 20
 BUCKET = 4
 GOLDEN = 0x9E3779B97F4A7C15
@@ -45,6 +46,15 @@ def _slot(h: int, seed: int, n: int) -> int:
     return (x >> 32) * n >> 32
 
 
+SEEDS = np.arange(1, 257, dtype=np.uint64)
+
+
+def _slots(own: np.ndarray, first: int, n: int) -> np.ndarray:
+    """_slot of each hash for 256 seeds from first on."""
+    x = (own ^ ((SEEDS + np.uint64(first - 1)) * np.uint64(GOLDEN))[:, None]) * np.uint64(GOLDEN)
+    return ((x >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
 class PerfectHash:
     """Keys in as many slots as there are keys: slot of a key, or of some other key for a stranger."""
 
@@ -54,23 +64,25 @@ class PerfectHash:
         groups: list[list[int]] = [[] for _ in range(self.buckets)]
         for h in map(_hash, keys):
             groups[h % self.buckets].append(h)
-        self.seeds, used = [0] * self.buckets, bytearray(n)
+        self.seeds, used = [0] * self.buckets, np.zeros(n, bool)
         order = sorted(range(self.buckets), key=lambda b: -len(groups[b]))
-        free = None
         for b in order:
-            own = groups[b]
-            if len(own) > 1:
-                seed = 1
-                while True:
-                    slots = [_slot(h, seed, n) for h in own]
-                    if len(set(slots)) == len(slots) and not any(used[s] for s in slots):
-                        break
-                    seed += 1
-                self.seeds[b] = seed
-                for s in slots:
-                    used[s] = 1
-            elif own:  # single keys take the slots that are left
-                free = iter([s for s in range(n) if not used[s]]) if free is None else free
+            if len(groups[b]) < 2:
+                break
+            own, first = np.array(groups[b], np.uint64), 1
+            while True:
+                slots = _slots(own, first, n)
+                fits = ~used[slots].any(axis=1)
+                fits[fits] = (np.diff(np.sort(slots[fits], axis=1), axis=1) > 0).all(axis=1)
+                if fits.any():
+                    break
+                first += len(SEEDS)
+            at = int(fits.argmax())
+            self.seeds[b] = first + at
+            used[slots[at]] = True
+        free = iter(np.flatnonzero(~used).tolist())  # single keys take the slots that are left
+        for b in order:
+            if len(groups[b]) == 1:
                 self.seeds[b] = -1 - next(free)
 
     def slot(self, key: bytes) -> int:
@@ -84,7 +96,8 @@ class Vocabulary:
     that of the vocabulary file."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.table = PerfectHash(list(ranks))
+        self.ranks, self.table = ranks, PerfectHash(list(ranks))
+        self.key = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
         self.keys, self.ids = [b""] * len(ranks), [0] * len(ranks)
         for token, rank in ranks.items():
             at = self.table.slot(token)
@@ -100,33 +113,31 @@ class Vocabulary:
         return self.merge(piece) if whole is None else [whole]
 
     def merge(self, piece: bytes) -> list[int]:
-        n = len(piece)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # starts of the neighbours
-        heap = []
-
-        def offer(a: int):
-            b = after[a]
-            if b < n and (r := self.rank(piece[a:after[b]])) is not None:
-                heapq.heappush(heap, (r, a, after[b]))
-
+        """after: where the part that starts here ends, 0 once it has gone into the one before it. A
+        heap entry is rank, start and end of two neighbours in one number."""
+        n, rank = len(piece), self.ranks.get
+        after, before, heap = list(range(1, n + 1)), list(range(-1, n)), []
         for a in range(n - 1):
-            offer(a)
-        gone = bytearray(n + 1)
+            r = rank(piece[a:a + 2])
+            if r is not None:
+                heap.append(r << 64 | a << 32 | a + 2)
+        heapq.heapify(heap)
         while heap:
-            _, a, end = heapq.heappop(heap)
-            if gone[a] or after[a] >= n or after[after[a]] != end:
-                continue  # one of the two parts has changed meanwhile
+            x = heapq.heappop(heap)
+            a, end = x >> 32 & 0xFFFFFFFF, x & 0xFFFFFFFF
             b = after[a]
-            gone[b] = 1
-            after[a] = end
-            if end < n:
-                before[end] = a
-            if before[a] >= 0:
-                offer(before[a])
-            offer(a)
+            if not b or b == n or after[b] != end:
+                continue  # one of the two has changed meanwhile
+            after[a], after[b] = end, 0
+            before[end] = a
+            p = before[a]
+            if p >= 0 and (r := rank(piece[p:end])) is not None:
+                heapq.heappush(heap, r << 64 | p << 32 | end)
+            if end < n and (r := rank(piece[a:after[end]])) is not None:
+                heapq.heappush(heap, r << 64 | a << 32 | after[end])
         out, a = [], 0
         while a < n:
-            out.append(self.rank(piece[a:after[a]]))
+            out.append(rank(piece[a:after[a]]))
             a = after[a]
         return out
 
@@ -138,21 +149,38 @@ class Vocabulary:
 
 
 class _Pieces(dict):
-    """Packed ids by pre-token, found when first asked for."""
+    """Packed ids by pre-token, found when first asked for. Two generations of at most MEMORY entries:
+    what is still in use when the younger is full moves on, the rest is forgotten."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+        self.vocabulary, self.older = vocabulary, {}
 
     def __missing__(self, piece: str) -> bytes:
-        out = self[piece] = np.array(self.vocabulary.encode(piece.encode()), np.int32).tobytes()
+        out = self.older.get(piece)
+        if out is None:
+            out = np.array(self.vocabulary.encode(piece.encode()), np.int32).tobytes()
+        self[piece] = out
         return out
 
+    def age(self):
+        if len(self) > MEMORY:
+            self.older = dict(self)
+            self.clear()
+
+
+def _pieces(sent, known={}) -> _Pieces:
+    """One memory for each worker process and vocabulary, kept from task to task."""
+    if sent.value.key not in known:
+        known.clear()
+        known[sent.value.key] = _Pieces(sent.value)
+    return known[sent.value.key]
+
 
 def _encode(vocabulary, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        pieces, split = _Pieces(vocabulary.value), regex.compile(pattern).findall
+        pieces, split = _pieces(vocabulary), regex.compile(pattern).findall
 
         def flush(ids, keys, parts):
             sizes = np.fromiter((len(p) // 4 for p in parts), np.int32, len(parts))
@@ -174,8 +202,7 @@ def _encode(vocabulary, pattern: str):
                 if held >= BATCH_BYTES:
                     yield flush(ids, keys, parts)
                     held, ids, keys, parts = 0, [], [], []
-                if len(pieces) > MEMORY:
-                    pieces.clear()
+                pieces.age()
             if ids:
                 yield flush(ids, keys, parts)
 
