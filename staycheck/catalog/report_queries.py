@@ -155,20 +155,43 @@ def _(spark, sf):
     return labels.official_names(labels.alias_index(rows)).select("code", "name")
 
 
-@query("sc_09_similarity")
+@query("jn_01_kinds", """
+WITH t AS (SELECT * FROM (VALUES ('HU'), ('CO'), ('Block'), ('hu '), ('Comp.'), ('AE'), ('nowhere')) v(label)),
+k AS (SELECT custkey, t.label, trim(regexp_replace(regexp_replace(lower(trim(t.label)), '[^0-9a-z ]+', '', 'g'),
+  ' +', ' ', 'g')) AS alias_key FROM v_labels, t WHERE custkey % 7 = 0)
+SELECT custkey, label, country, rate FROM k
+LEFT JOIN (SELECT alias_key, min(code) AS country FROM v_kinds WHERE kind = 'country' GROUP BY 1
+  HAVING count(DISTINCT code) = 1) USING (alias_key)
+LEFT JOIN (SELECT alias_key, min(code) AS rate FROM v_kinds WHERE kind = 'rate code' GROUP BY 1
+  HAVING count(DISTINCT code) = 1) USING (alias_key)""")
+def _(spark, sf):
+    """Labels that mean one thing as a country and another as a rate code."""
+    index = labels.alias_index(labels.committed_labels(spark))
+    said = F.explode(F.array(*[F.lit(x) for x in ("HU", "CO", "Block", "hu ", "Comp.", "AE", "nowhere")]))
+    df = a.customer_labels(spark, sf).filter("custkey % 7 = 0").select("custkey", said.alias("label"))
+    df = labels.normalise_labels(df, "label", index, "country", "country").drop("alias_key")
+    return labels.normalise_labels(df, "label", index, "rate", "rate code").drop("alias_key")
+
+
+@query("sc_09_similarity", """
+WITH n AS (SELECT code, alias_key AS name FROM v_alias QUALIFY row_number() OVER (
+  PARTITION BY code ORDER BY length(alias_key) DESC, alias_key DESC) = 1),
+k AS (SELECT DISTINCT label, alias_key FROM v_unmatched)
+SELECT label, code, 1.0 - CAST(levenshtein(alias_key, name) AS DOUBLE)
+  / greatest(length(alias_key), length(name)) AS similarity
+FROM v_shortlist JOIN k USING (label) JOIN n USING (code)""")
 def _(spark, sf):
     """How close each unmatched label is to the longest alias of every code it is offered."""
-    offered = labels.candidates(_unmatched(spark, sf), "label")
     names = labels.official_names(_countries(spark)).select("code", "name")
     from staycheck.functions.text import normalise_key
-    return offered.join(names, "code").select(
-        "label", "code", labels.similarity()(normalise_key(F.col("label")), F.col("name"))
-        .alias("ratio"))
+    return _shortlist(spark, sf).join(names, "code").select(
+        "label", "code", labels.edit_similarity(normalise_key(F.col("label")), F.col("name"))
+        .alias("similarity"))
 
 
-@query("jn_20_candidates")
+@query("jn_20_candidates", """SELECT * FROM v_shortlist""")
 def _(spark, sf):
-    return labels.candidates(_unmatched(spark, sf), "label")
+    return _shortlist(spark, sf)
 
 
 def _unmatched(spark, sf):
@@ -176,14 +199,20 @@ def _unmatched(spark, sf):
     return df.filter("code is null")
 
 
-@query("fl_02_best_candidate")
+def _shortlist(spark, sf):
+    return labels.candidates(_unmatched(spark, sf), "label", _countries(spark))
+
+
+@query("fl_02_best_candidate", """SELECT * FROM v_shortlist WHERE rank = 1""")
 def _(spark, sf):
-    return labels.candidates(_unmatched(spark, sf), "label").filter("rank = 1")
+    return _shortlist(spark, sf).filter("rank = 1")
 
 
-@query("wn_11_ambiguous_labels")
+@query("wn_11_ambiguous_labels", """
+SELECT label, gap FROM (SELECT label, rank, abs(score - lead(score) OVER (
+  PARTITION BY label ORDER BY rank)) AS gap FROM v_shortlist) WHERE rank = 1 AND gap < 0.05""")
 def _(spark, sf):
-    return labels.ambiguous(labels.candidates(_unmatched(spark, sf), "label"))
+    return labels.ambiguous(_shortlist(spark, sf))
 
 
 @query("jn_07_inventory_gaps", """

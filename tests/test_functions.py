@@ -1,6 +1,5 @@
 """Scalar rules on literal rows."""
 
-import difflib
 import random
 
 import pytest
@@ -97,25 +96,46 @@ def test_month_names(spark):
     assert column(spark, names, text.month_of_report) == ["2026-02", None, "2026-Q1", None]
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def test_candidates_match_brute_force(spark):
-    """Shortlist against plain difflib over every alias."""
+    """Shortlist against every alias, one by one."""
     rng = random.Random(5)
     words = [label for _, _, label in labels.country_labels()]
     raw = sorted({w[:i] + w[i + 1:] for w in rng.sample(words, 25)
-                  for i in [rng.randrange(len(w))]} | {"Austrlia", "zzz"})
+                  for i in [rng.randrange(len(w))]} | {"Austrlia", "zzz", ""})
     df = spark.createDataFrame([(r,) for r in raw], "label string")
+    index = labels.alias_index(labels.committed_labels(spark)).filter("kind = 'country'")
+    shortlist = labels.candidates(df, "label", index)
     got = {}
-    for r in labels.candidates(df, "label").orderBy("label", "rank").collect():
-        got.setdefault(r["label"], []).append((r["code"], r["alias"], r["score"]))
-    index = {(labels._key(a), c) for _, c, a in labels.country_labels()}
-    for label in raw:
-        key = labels._key(label)
-        scored = sorted(((-difflib.SequenceMatcher(a=key, b=a).ratio(), a, c) for a, c in index))
-        seen, want = set(), []
-        for s, a, c in scored:
-            if -s >= 0.6 and c not in seen and len(want) < 5:
-                seen.add(c)
-                want.append((c, a, -s))
-        assert got.get(label, []) == want
-    assert [r["label"] for r in labels.ambiguous(labels.candidates(df, "label")).collect()
-            ].count("Austrlia") == 1
+    for r in shortlist.orderBy("label", "rank").collect():
+        got.setdefault(r["label"], []).append((r["code"], r["alias"], r["score"], r["left_out"]))
+    aliases = [(r["alias_key"], r["code"]) for r in index.collect()]
+    keys = {r["label"]: r["key"] for r in df.select("label", text.normalise_key(F.col("label")).alias("key")).collect()}
+    for label, key in keys.items():
+        best = {}
+        for alias, code in aliases:
+            score = 1.0 - edits(key, alias) / max(len(key), len(alias))
+            if key and score >= 0.6:
+                best[code] = min(best.get(code, (1.0, "")), (-score, alias))
+        want = sorted((*v, code) for code, v in best.items())
+        assert got.get(label, []) == [(c, a, -s, max(0, len(want) - 5)) for s, a, c in want[:5]]
+    one, two = "abcd", "abce"  # two codes equally close
+    near = spark.createDataFrame([("country", "X1", one), ("country", "X2", two)], "kind string, code string, alias_key string")
+    asked = spark.createDataFrame([("abcx",), ("abcd",)], "label string")
+    assert [r["label"] for r in labels.ambiguous(labels.candidates(asked, "label", near)).collect()] == ["abcx"]
+
+
+def test_labels_of_two_kinds_never_multiply(spark):
+    index = labels.alias_index(labels.committed_labels(spark))
+    df = spark.createDataFrame([("HU",), ("CO",), ("Block",)], "label string")
+    assert labels.normalise_labels(df, "label", index, "code").count() == 3
+    found = labels.normalise_labels(df, "label", index, "code", "country").collect()
+    assert {r["label"]: r["code"] for r in found} == {"HU": "HU", "CO": "CO", "Block": None}
