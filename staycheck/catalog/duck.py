@@ -24,7 +24,11 @@ def with_views(sql: str) -> str:
                 scan(VIEWS[name])
 
     scan(sql)
-    ctes = [f"{name} AS ({VIEWS[name]})" for name in VIEWS if name in needed]
+    bodies = [VIEWS[name] for name in VIEWS if name in needed] + [sql]
+    shared = {name for name in needed
+              if sum(len(re.findall(rf"\b{name}\b", body)) for body in bodies) > 1}
+    ctes = [f"{name} AS {'MATERIALIZED ' if name in shared else ''}({VIEWS[name]})"
+            for name in VIEWS if name in needed]
     if not ctes:
         return sql
     head, sql = "WITH RECURSIVE " + ",\n".join(ctes), sql.strip()
@@ -237,7 +241,7 @@ FROM v_values GROUP BY ALL""")
 view("v_filed", f"""
 SELECT *, CAST(CASE WHEN hotel_no % 5 = 4 THEN v
   WHEN v IS NULL AND nv IS NULL THEN CASE WHEN h = 5 THEN house END
-  WHEN v IS NULL THEN CASE WHEN h = 6 THEN 50 END
+  WHEN v IS NULL THEN CASE WHEN h = 5 THEN house WHEN h = 6 THEN 50 END
   WHEN h = 0 THEN v + 1
   WHEN h = 1 THEN coalesce({transposed('v')}, v)
   WHEN h = 2 THEN coalesce(alt, v)
@@ -473,6 +477,29 @@ view("v_alias", "SELECT DISTINCT code, trim(regexp_replace(regexp_replace(lower(
          [(code, label) for code, a3, name, more in values.COUNTRIES
           for label in (code, a3, name, *more)], "code, label") + ")")
 
+view("v_kinds", "SELECT DISTINCT kind, code, trim(regexp_replace(regexp_replace(lower(trim(label)), "
+     "'[^0-9a-z ]+', '', 'g'), ' +', ' ', 'g')) AS alias_key FROM (" + rows(
+         [("country", code, label) for code, a3, name, more in values.COUNTRIES
+          for label in (code, a3, name, *more)]
+         + [(kind, code, label) for kind, table in (("status", values.STATUS_ALIASES),
+                                                    ("rate code", values.RATE_CODE_ALIASES))
+            for code, more in table for label in (code, *more)], "kind, code, label") + ")")
+
+view("v_unmatched", "SELECT * FROM v_labels WHERE alias_key NOT IN (SELECT alias_key FROM v_alias)")
+
+# every label against every alias
+view("v_shortlist", """
+SELECT label, rank, alias, code, score, left_out FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, alias, code) AS rank,
+    greatest(count(*) OVER (PARTITION BY label) - 5, 0) AS left_out
+  FROM (SELECT * FROM (SELECT label, a.code, a.alias_key AS alias,
+      1.0 - CAST(levenshtein(u.alias_key, a.alias_key) AS DOUBLE)
+        / greatest(length(u.alias_key), length(a.alias_key)) AS score
+    FROM (SELECT DISTINCT label, alias_key FROM v_unmatched WHERE alias_key <> '') u, v_alias a)
+    WHERE score >= 0.6
+    QUALIFY alias = first_value(alias) OVER (PARTITION BY label, code ORDER BY score DESC, alias)))
+WHERE rank <= 5""")
+
 view("v_files", """
 SELECT 'H-' || (doc_id // 100) AS submission_id, doc_id, text AS content,
   CASE WHEN n = 17 THEN 'pms_draft.pdf'

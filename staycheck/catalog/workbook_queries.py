@@ -82,12 +82,13 @@ def _(spark, sf):
 @query("prj_13_masked_cells", """
 WITH s AS (SELECT *, CASE WHEN figure THEN '<value>' WHEN text LIKE '=%' THEN '<formula>'
     ELSE text END AS shown FROM v_looks),
-c AS (SELECT *, shown IN ('<value>', '<formula>') AS token FROM s
-  WHERE shown NOT IN ('<value>', '<formula>') OR row <= 8)
-SELECT submission_id, sheet, row, col, shown, NOT token AND row_number() OVER (
-  PARTITION BY submission_id, sheet ORDER BY row, col) > 200 AS omitted FROM c""")
+c AS (SELECT *, shown IN ('<value>', '<formula>') AS token,
+  shown IN ('<value>', '<formula>') AND row > 8 AS low FROM s)
+SELECT submission_id, sheet, row, col, shown, low OR (NOT token AND row_number() OVER (
+  PARTITION BY submission_id, sheet, low ORDER BY row, col) > 200) AS omitted FROM c""")
 def _(spark, sf):
-    return wb.peek(cells(spark, sf)).select(
+    from staycheck import values
+    return wb.peek(cells(spark, sf), values.VALUE_PREVIEW_ROWS, values.MAX_LABELS).select(
         "submission_id", "sheet", "row", "col", "shown", "omitted")
 
 

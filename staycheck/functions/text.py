@@ -22,7 +22,8 @@ def parse_iso_date(text: Column) -> Column:
 
 
 def parse_whole_number(text: Column) -> Column:
-    return F.when(text.rlike("^[0-9]{1,9}$"), text.cast("int"))
+    """Null for text that is no whole number, or one that no bigint holds."""
+    return F.when(text.rlike("^[0-9]+$"), text.try_cast("bigint"))
 
 
 def opaque_ref(text: Column) -> Column:

@@ -23,6 +23,21 @@ def duplicate_claims(claims: DataFrame, by: list[str]) -> DataFrame:
     ).filter("claims > 1")
 
 
+def accepted_claims(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Claims whose key is stated once, and a blocking finding for every key stated more often: which
+    of its figures was meant is not ours to choose."""
+    stated = claims.groupBy("submission_id", "metric_key").agg(
+        F.count("*").alias("_n"), F.min("metric").alias("metric"), F.min("period").alias("period"))
+    twice = stated.filter("_n > 1")
+    refused = twice.select(
+        "submission_id", "metric_key", "metric", "period", F.lit("V7").alias("variance_class"),
+        F.lit("blocking").alias("severity"), F.lit("human_review").alias("escalates_to"),
+        F.lit("D-QUAL-07").alias("clause"), F.lit(1).alias("stage"),
+        F.format_string("%d claims", "_n").alias("detail"))
+    return claims.join(twice.select("submission_id", "metric_key"),
+                       ["submission_id", "metric_key"], "left_anti"), refused
+
+
 def pair(claims: DataFrame, metrics: DataFrame) -> DataFrame:
     """matched, orphan_claim, missing_claim or not_verifiable per key; not_verifiable wins."""
     c = claims.select(*KEY, *SHARED, F.col("value").alias("claimed"), "sheet", "cell")
@@ -101,7 +116,8 @@ def clause() -> Column:
 def to_findings(classified: DataFrame) -> DataFrame:
     """One finding per classified pair, informational ones included."""
     difference = F.col("claimed") - F.col("computed")
-    first = F.get("explained_by", F.lit(0))
+    named = F.when(F.col("variance_class") == "V2", F.col("explained_by"))
+    others = F.slice(named, F.lit(2), F.greatest(F.size(named) - 1, F.lit(1)))
     return classified.filter("variance_class is not null").select(
         "submission_id", "metric_key", "metric", "period", "dimension", "value_key",
         "variance_class",
@@ -110,10 +126,8 @@ def to_findings(classified: DataFrame) -> DataFrame:
         "claimed", "computed",
         difference.cast("decimal(38,10)").alias("difference"),
         F.when(class_setting(3), F.col("computed")).alias("proposed_correction"),
-        first.alias("explaining_permutation"),
-        F.when(F.size("explained_by") > 1, F.slice(
-            "explained_by", F.lit(2), F.greatest(F.size("explained_by") - 1, F.lit(1)))
-        ).otherwise(F.array().cast("array<string>")).alias("also_explained_by"),
+        F.get(named, F.lit(0)).alias("explaining_permutation"),
+        F.coalesce(others, F.array().cast("array<string>")).alias("also_explained_by"),
         "sheet", "cell",
         clause().alias("clause"),
         F.lit(2).alias("stage"),
@@ -131,17 +145,17 @@ def raised(findings: DataFrame) -> DataFrame:
 
 
 def with_finding_ids(findings: DataFrame) -> DataFrame:
-    """F-0001.. per submission: clerical findings by stage, then definitional ones."""
+    """F-0001.. per submission (more digits where there are more findings): clerical findings by
+    stage, then definitional ones; several on one key by clause, place and detail."""
+    ties = [c for c in ("clause", "sheet", "cell", "detail") if c in findings.columns]
     df = findings.withColumns({
         "is_v2": (F.col("variance_class") == "V2").cast("int"),
         "_prefix": F.substring_index("metric_key", "=", 1),
+        "_place": F.concat_ws("\t", *ties),
     })
-    df = ranked(df, ["submission_id"], ["is_v2", "stage", "_prefix"], ["metric_key"], "_n")
-    too_many = F.raise_error(F.concat(
-        F.lit("more than 9999 findings for "), F.col("submission_id"))).cast("string")
-    return df.withColumn("finding_id", F.when(
-        F.col("_n") <= 9999, F.format_string("F-%04d", "_n")).otherwise(too_many)).drop(
-        "_n", "_prefix", "is_v2")
+    df = ranked(df, ["submission_id"], ["is_v2", "stage", "_prefix"], ["metric_key", "_place"], "_n")
+    return df.withColumn("finding_id", F.format_string("F-%04d", "_n")).drop(
+        "_n", "_prefix", "_place", "is_v2")
 
 
 def finding_problems(findings: DataFrame) -> DataFrame:

@@ -99,21 +99,24 @@ def parse_totals(blocks: DataFrame) -> DataFrame:
     nat = r"(?m)^([A-Z]{2})\s+([0-9]+)$"
 
     def mapping(text, pattern, key, value):
-        keys = F.regexp_extract_all(text, F.lit(pattern), F.lit(key))
-        return F.map_from_arrays(
-            F.transform(keys, F.trim),
-            F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(value)),
-                        lambda x: x.cast("int")))
+        """The figure by name; of a name printed twice the last one counts."""
+        keys = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(key)), F.trim)
+        found = F.arrays_zip(keys.alias("k"), F.transform(
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(value)),
+            lambda x: x.try_cast("bigint")).alias("v"))
+        last = F.filter(found, lambda e, i: ~F.exists(
+            F.slice(found, i + 2, F.size(found)), lambda later: later["k"] == e["k"]))
+        return F.map_from_entries(last)
 
     out = blocks.withColumns({
-        "sold": first("left_text", r"Room nights sold\s+([0-9]+)").cast("int"),
-        "available": first("left_text", r"Room nights available\s+([0-9]+)").cast("int"),
-        "occupancy": first("left_text", r"Occupancy\s+([0-9]+\.[0-9]{2})%").cast("decimal(9,2)"),
-        "listed_rows": first("left_text", listed, 1).cast("int"),
-        "listed_room_nights": first("left_text", listed, 2).cast("int"),
+        "sold": first("left_text", r"Room nights sold\s+([0-9]+)").try_cast("bigint"),
+        "available": first("left_text", r"Room nights available\s+([0-9]+)").try_cast("bigint"),
+        "occupancy": first("left_text", r"Occupancy\s+([0-9]+\.[0-9]{2})%").try_cast("decimal(20,2)"),
+        "listed_rows": first("left_text", listed, 1).try_cast("bigint"),
+        "listed_room_nights": first("left_text", listed, 2).try_cast("bigint"),
         "excluded": mapping(flat, item, 2, 1),
         "guests": mapping(F.col("right_text"), nat, 1, 2),
-        "total_guests": first("right_text", r"Total guests\s+([0-9]+)").cast("int"),
+        "total_guests": first("right_text", r"Total guests\s+([0-9]+)").try_cast("bigint"),
     })
     required = ["sold", "available", "occupancy", "listed_rows", "total_guests"]
     return out.withColumn("missing", F.array_compact(F.array(
@@ -200,21 +203,28 @@ def page_subtotals(listed: DataFrame) -> DataFrame:
         F.sum(F.when(q, F.col("room_nights_month")).otherwise(0)).alias("room_nights_month"))
 
 
-COMPARED = ["guest_ref", "nationality_iso2", "adults", "children", "rooms", "nights",
+COMPARED = ["hotel_id", "guest_ref", "nationality_iso2", "adults", "children", "rooms", "nights",
             "arrival_date", "departure_date", "status", "rate_code"]
 
 
 def merge_reports(rows: DataFrame) -> DataFrame:
     """One row per reservation with its earliest citation; `conflicts` names the fields two
-    printings disagree on. Such a reservation is a defect and must be dropped by the caller."""
-    first = F.min(F.struct("file", "page", "row_no", *COMPARED))
-    differ = [F.when(F.min(c) != F.max(c), c) for c in COMPARED]
+    printings disagree on, a value against none included. split_merged drops such reservations."""
+    compared = [c for c in COMPARED if c in rows.columns]
+    first = F.min(F.struct("file", "page", "row_no", *compared))
+    differ = [F.when((F.min(c) != F.max(c)) | ((F.count(c) > 0) & (F.count(c) < F.count("*"))), c) for c in compared]
     out = rows.groupBy("submission_id", "reservation_id").agg(
         first.alias("r"), F.count("*").alias("printings"),
         F.array_compact(F.array(*differ)).alias("conflicts"))
     return out.select("submission_id", "reservation_id", "r.*", "printings", "conflicts")
 
 
+def split_merged(merged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reservations all printings agree on, and those they don't."""
+    agreed = F.size("conflicts") == 0
+    return merged.filter(agreed).drop("conflicts"), merged.filter(~agreed)
+
+
 def extraction_summary(rows: DataFrame, disagreements: DataFrame) -> DataFrame:
     """Distinct reservations, pages, duplicates inside one report, and whether totals matched."""
     per_id = rows.groupBy("submission_id", "reservation_id", "file").agg(F.count("*").alias("n"))

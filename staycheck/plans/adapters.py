@@ -156,7 +156,7 @@ def claims(metrics: DataFrame) -> DataFrame:
     filed = (
         F.when(hotel_no() % 5 == 4, v)
         .when(v.isNull() & F.col("nv_reason").isNull(), F.when(h == 5, under("P-HOUSE-INCLUDED")))
-        .when(v.isNull(), F.when(h == 6, F.lit(50)))
+        .when(v.isNull(), F.when(h == 5, under("P-HOUSE-INCLUDED")).when(h == 6, F.lit(50)))
         .when(h == 0, v + 1)
         .when(h == 1, F.coalesce(transpose_digits(v), v))
         .when(h == 2, F.coalesce(under(wanted), v))

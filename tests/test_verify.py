@@ -7,7 +7,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from staycheck.operators import labels, metrics, reconcile, scoring
+from staycheck.operators import labels, metrics, reconcile, reports, scoring
 from staycheck.operators import workbook as wb
 from staycheck.plans import adapters
 from staycheck.plans.verify import verify
@@ -240,12 +240,60 @@ def test_settings_are_checked():
         check_class_order(["V2", "V7", "V5", "V1", "V6"])
 
 
-def test_too_many_findings_is_refused(spark):
+def test_many_findings_take_longer_ids(spark):
     df = spark.range(10001).select(
         F.lit("H-1").alias("submission_id"), F.format_string("k%05d", "id").alias("metric_key"),
         F.lit("V1").alias("variance_class"), F.lit(2).alias("stage"))
-    with pytest.raises(Exception, match="more than 9999"):
-        reconcile.with_finding_ids(df).collect()
+    ids = [r["finding_id"] for r in reconcile.with_finding_ids(df).orderBy("metric_key").collect()]
+    assert ids[0] == "F-0001" and ids[9998:] == ["F-9999", "F-10000", "F-10001"]
+
+
+def test_several_findings_on_one_key_keep_their_ids(spark):
+    rows = [("H-1", "k", "V7", 0, "D-A-01", None, None, f"id {n}") for n in range(30)]
+    df = spark.createDataFrame(rows, "submission_id string, metric_key string, variance_class string, stage int, "
+                               "clause string, sheet string, cell string, detail string")
+    named = [{r["detail"]: r["finding_id"] for r in reconcile.with_finding_ids(d).collect()}
+             for d in (df, df.orderBy(F.desc("detail")).repartition(3))]
+    assert named[0] == named[1] and len(set(named[0].values())) == 30
+
+
+def test_only_definitional_differences_name_a_ruleset(spark):
+    pair = ("H-1", "k", "room_nights_sold", "2026-01", 5.0, None, "no_source_rows", "not_verifiable", ["P-HOUSE-INCLUDED", "P-X"])
+    df = spark.createDataFrame([pair], "submission_id string, metric_key string, metric string, period string, claimed double, "
+                               "computed double, nv_reason string, pairing string, explained_by array<string>")
+    df = df.withColumns({c: F.col(c).cast("decimal(38,10)") for c in ("claimed", "computed")}).withColumns(
+        {c: F.lit(None).cast("string") for c in ("dimension", "value_key", "sheet", "cell")})
+    got = reconcile.to_findings(reconcile.classify(df)).first()
+    assert (got["variance_class"], got["explaining_permutation"], got["also_explained_by"]) == ("V7", None, [])
+
+
+def test_repeated_claim_key_stops_only_its_submission(spark):
+    stays = [stay("r1", "2026-01-05", "2026-01-07"), stay("r1", "2026-01-05", "2026-01-07", sub="H-2")]
+    res, inv, declared = frames(spark, stays)
+    claims = fixture_claims(spark, metrics.metric_values(res, inv, declared))
+    again = claims.filter("submission_id = 'H-1' and metric = 'room_nights_sold'")
+    out = verify(res, inv, claims.unionByName(again), declared)
+    status = {r["submission_id"]: r["status"] for r in out["verdicts"].collect()}
+    assert status == {"H-1": "HALTED", "H-2": "PASS"}
+    found = out["findings"].collect()
+    assert {f["submission_id"] for f in found} == {"H-1"} and all(f["detail"] == "2 claims" for f in found)
+
+
+def test_a_value_against_none_is_a_conflict(spark):
+    kind = "submission_id string, reservation_id string, file string, page int, row_no int, hotel_id string, rooms int, nights int"
+    rows = [("H", "r1", "a", 1, 1, "H", 2, 1), ("H", "r1", "b", 1, 1, "H", None, 1), ("H", "r2", "a", 1, 2, "H", 2, 1),
+            ("H", "r2", "b", 1, 2, "G", 2, 1), ("H", "r3", "a", 1, 3, None, 1, None), ("H", "r3", "b", 1, 3, None, 1, None)]
+    good, bad = reports.split_merged(reports.merge_reports(spark.createDataFrame(rows, kind)))
+    assert [r["reservation_id"] for r in good.collect()] == ["r3"]
+    assert {r["reservation_id"]: r["conflicts"] for r in bad.collect()} == {"r1": ["rooms"], "r2": ["hotel_id"]}
+
+
+def test_totals_with_repeats_and_long_figures(spark):
+    left = "Room nights sold 12345678901\nRoom nights available 99999999999999999999\nOccupancy 50.00%"
+    block = spark.createDataFrame([(left, "DE 3\nFR 4\nDE 5\nTotal guests 7")], "left_text string, right_text string")
+    got = reports.parse_totals(block).first()
+    assert got["guests"] == {"DE": 5, "FR": 4} and got["sold"] == 12345678901
+    assert got["available"] is None and "available" in got["missing"]
 
 
 def test_repeated_reservation_id_blocks_only_its_submission(spark):
