@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from staycheck.functions.text import let
 from staycheck.session import stage
 
 
@@ -89,39 +90,39 @@ def digest_differences(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame
         ~F.col("first").eqNullSafe(F.col("second")))
 
 
-def shape(json: Column) -> Column:
-    """One line for a JSON object: short scalars shown, lists and objects counted, long text as a
-    length, further fields counted."""
-    doc = F.try_parse_json(json)
-    keys = F.json_object_keys(json)
-
-    def field(k: Column) -> Column:
-        path = F.concat(F.lit('$["'), k, F.lit('"]'))
-        v = F.variant_get(doc, path, "variant")
-        kind, text = F.schema_of_variant(v), F.to_json(v)
-        inner = F.variant_get(doc, path, "string")
-        seen = (
-            F.when(kind.startswith("ARRAY<"), F.concat(F.lit("["), F.size(
-                F.from_json(text, "array<string>")).cast("string"), F.lit("]")))
-            .when(kind.startswith("OBJECT<"), F.concat(F.lit("{"), F.size(
-                F.json_object_keys(text)).cast("string"), F.lit("}")))
+def shape(json: Column, field_limit: int = FIELD_LIMIT, value_limit: int = VALUE_LIMIT) -> Column:
+    """One line for a JSON text: short scalars shown, lists and objects counted, text longer than
+    value_limit as a length, fields after field_limit counted. Of a repeated key the last value counts."""
+
+    def said(kind: Column, text: Column) -> Column:
+        """text: a string's characters, the JSON text of anything else."""
+        return (
+            F.when(kind.startswith("ARRAY<"), F.format_string("[%d]", F.json_array_length(text)))
+            .when(kind.startswith("OBJECT<"), F.format_string("{%d}", F.size(F.json_object_keys(text))))
             .when(kind == "VOID", "-")
             .when(kind == "BOOLEAN", F.when(text == "true", "yes").otherwise("no"))
-            .when((kind == "STRING") & (F.length(inner) <= VALUE_LIMIT),
-                  F.concat(F.lit('"'), inner, F.lit('"')))
-            .when(kind == "STRING", F.concat(F.lit("…("), F.length(inner).cast("string"),
-                                             F.lit(" chars)")))
+            .when((kind == "STRING") & (F.length(text) <= value_limit), F.concat(F.lit('"'), text, F.lit('"')))
+            .when(kind == "STRING", F.format_string("…(%d chars)", F.length(text)))
             .otherwise(text))
-        return F.concat(k, F.lit(" "), seen)
 
-    shown = F.array_join(F.transform(F.slice(keys, 1, FIELD_LIMIT), field), " · ")
-    more = F.size(keys) - FIELD_LIMIT
+    def entries(kind: str) -> Column:
+        found = F.map_entries(F.from_json(json, f"map<string,{kind}>"))
+        return let(found, lambda es: F.filter(es, lambda e, i: ~F.exists(
+            F.slice(es, i + 2, F.size(es)), lambda later: later["key"] == e["key"])))
+
+    typed, plain = entries("variant"), entries("string")
+    fields = F.zip_with(F.slice(typed, 1, field_limit), F.slice(plain, 1, field_limit), lambda t, p: F.concat(
+        t["key"], F.lit(" "), F.when(t["value"].isNull(), "-").otherwise(
+            said(F.schema_of_variant(t["value"]), p["value"]))))
+    more = F.size(typed) - field_limit
+    single = F.try_parse_json(json)
+    kind = F.schema_of_variant(single)
     return (
         F.when(json.isNull(), "nothing")
-        .when(doc.isNull(), F.concat(F.lit("unreadable JSON ("), F.length(json).cast("string"),
-                                     F.lit(" chars)")))
-        .when(F.size(keys) == 0, "an empty object")
-        .when(more > 0, F.concat(shown, F.lit(" · +"), more.cast("string"), F.lit(" more field(s)")))
-        .otherwise(shown))
-
-
+        .when(F.size(typed) == 0, "an empty object")
+        .when(more > 0, F.concat(F.array_join(fields, " · "), F.format_string(" · +%d more field(s)", more)))
+        .when(typed.isNotNull(), F.array_join(fields, " · "))
+        .when(F.json_array_length(json).isNotNull(), F.format_string("[%d]", F.json_array_length(json)))
+        .when(single.isNotNull(), said(kind, F.when(
+            kind == "STRING", F.try_variant_get(single, "$", "string")).otherwise(F.trim(json))))
+        .otherwise(F.format_string("unreadable JSON (%d chars)", F.length(json))))

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from staycheck import values
+from staycheck.functions.text import let
 from staycheck.operators.metrics import stay_months
 from staycheck.operators.reconcile import violations
 from staycheck.sources.rulesets import rulesets
@@ -104,9 +105,8 @@ def parse_totals(blocks: DataFrame) -> DataFrame:
         found = F.arrays_zip(keys.alias("k"), F.transform(
             F.regexp_extract_all(text, F.lit(pattern), F.lit(value)),
             lambda x: x.try_cast("bigint")).alias("v"))
-        last = F.filter(found, lambda e, i: ~F.exists(
-            F.slice(found, i + 2, F.size(found)), lambda later: later["k"] == e["k"]))
-        return F.map_from_entries(last)
+        return F.map_from_entries(let(found, lambda es: F.filter(es, lambda e, i: ~F.exists(
+            F.slice(es, i + 2, F.size(es)), lambda later: later["k"] == e["k"]))))
 
     out = blocks.withColumns({
         "sold": first("left_text", r"Room nights sold\s+([0-9]+)").try_cast("bigint"),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from staycheck.functions import cells, keys, periods, text
-from staycheck.operators import labels
+from staycheck.operators import documents, labels
 
 
 def column(spark, values, fn, kind="string"):
@@ -90,6 +90,15 @@ def test_tolerance(spark):
     assert [r[0] for r in df.collect()] == [True, True, False, False, True]
 
 
+def test_output_shapes(spark):
+    docs = {None: "nothing", "{}": "an empty object", "[1,2]": "[2]", "[]": "[0]", "3": "3", "1.0": "1.0", '"x"': '"x"', "true": "yes",
+            "null": "-", "{bad": "unreadable JSON (4 chars)", '{"a":1,"a":2}': "a 2", '{"a\\"b":1.0,"c":null}': 'a"b 1.0 · c -',
+            '{"l":[1,2],"o":{"x":[1]},"t":"%s","f":false}' % ("y" * 49): "l [2] · o {1} · t …(49 chars) · f no",
+            '{"a":1,"b":2,"c":3,"d":4,"e":5,"f":6,"g":7}': "a 1 · b 2 · c 3 · d 4 · e 5 · f 6 · +1 more field(s)"}
+    assert column(spark, list(docs), documents.shape) == list(docs.values())
+    assert column(spark, ['{"a":"xyz","b":1}'], lambda c: documents.shape(c, 1, 2)) == ["a …(3 chars) · +1 more field(s)"]
+
+
 def test_month_names(spark):
     names = ["pms_2026-02.pdf", "export 2026-99 2026-03.pdf", "claims_2026-Q1.xlsx", "x.pdf"]
     assert column(spark, names, text.month_in_name) == ["2026-02", "2026-03", None, None]
