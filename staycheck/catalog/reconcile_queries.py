@@ -140,6 +140,18 @@ def _(spark, sf):
         F.count("*").alias("findings"))
 
 
+@query("jn_05_refused_claims", """
+SELECT submission_id, metric_key, clause, '2 claims' AS detail, kept FROM (
+  SELECT submission_id, metric_key, 'D-QUAL-07' AS clause FROM v_claims WHERE metric = 'room_nights_sold')
+JOIN (SELECT submission_id, count(*) FILTER (metric <> 'room_nights_sold') AS kept FROM v_claims GROUP BY ALL)
+  USING (submission_id)""")
+def _(spark, sf):
+    c = a.claims(values(spark, sf))
+    kept, refused = r.accepted_claims(c.unionByName(c.filter("metric = 'room_nights_sold'")))
+    left = kept.groupBy("submission_id").agg(F.count("*").alias("kept"))
+    return refused.join(left, "submission_id").select("submission_id", "metric_key", "clause", "detail", "kept")
+
+
 @query("ag_22_duplicate_claims", """
 WITH twice AS (SELECT * FROM v_claims UNION ALL
   SELECT * REPLACE (value + 1 AS value) FROM v_claims WHERE metric = 'room_nights_sold')

@@ -61,6 +61,42 @@ def _(spark, sf):
         F.concat_ws(",", "problems").alias("problems"))
 
 
+@query("prj_03_unreadable_inventory", """
+SELECT submission_id, strftime(day, '%Y-%m-%d') AS day,
+  CASE WHEN day(day) = 13 THEN 'rooms_out_of_order' WHEN day(day) = 14 THEN 'rooms_total' ELSE '' END AS unreadable,
+  CASE WHEN day(day) = 13 THEN 'unreadable,rooms_out_of_order' WHEN day(day) = 14 THEN 'unreadable,rooms_total'
+    ELSE 'rooms_out_of_order' END AS problems
+FROM v_inv WHERE day(day) IN (13, 14, 15)""")
+def _(spark, sf):
+    """Figures that are no number, too long or not there."""
+    from staycheck.sources.readers import parse_inventory
+    day = F.dayofmonth("day")
+    raw = a.inventory(spark, sf).select("submission_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.when(
+        day == 14, "99999999999").otherwise(F.col("rooms_total").cast("string")).alias("rooms_total"), F.when(
+        day == 13, "x").when(day == 15, "").otherwise(F.col("rooms_out_of_order").cast("string")).alias(
+        "rooms_out_of_order"), F.lit(None).cast("string").alias("rooms_available"))
+    return checks.check_inventory(parse_inventory(raw)).select(
+        "submission_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.concat_ws(",", "unreadable").alias("unreadable"),
+        F.concat_ws(",", "problems").alias("problems"))
+
+
+@query("ag_12_merge_split", """
+WITH p AS (SELECT submission_id, reservation_id, rooms, order_no FROM v_res),
+twice AS (SELECT *, rooms AS shown FROM p UNION ALL SELECT *, CASE WHEN order_no % 10 = 3 THEN NULL
+  WHEN order_no % 10 = 4 THEN rooms + 1 ELSE rooms END FROM p)
+SELECT submission_id, reservation_id, count(*) AS printings, CASE WHEN order_no % 10 IN (3, 4) THEN 'rooms' ELSE '' END
+  AS conflicts FROM twice GROUP BY submission_id, reservation_id, order_no""")
+def _(spark, sf):
+    """Printings that agree, disagree, or of which one lacks the figure."""
+    rows = a.reservations(spark, sf).withColumns({"file": F.lit("a"), "page": F.lit(1), "row_no": F.lit(1)})
+    last = F.regexp_extract("reservation_id", "[0-9]$", 0).cast("int")
+    again = rows.withColumn("file", F.lit("b")).withColumn("rooms", F.when(last == 3, None).when(
+        last == 4, F.col("rooms") + 1).otherwise(F.col("rooms")))
+    good, bad = rp.split_merged(rp.merge_reports(rows.unionByName(again)))
+    return good.withColumn("conflicts", F.array().cast("array<string>")).unionByName(bad, allowMissingColumns=True).select(
+        "submission_id", "reservation_id", "printings", F.concat_ws(",", "conflicts").alias("conflicts"))
+
+
 @query("prj_04_printed_crosschecks", """
 SELECT reservation_id, month, copy, array_to_string([x FOR x IN [
   CASE WHEN order_no % 83 = 0 THEN 'arrival' END,

@@ -34,10 +34,13 @@ def check_reservations(res: DataFrame) -> DataFrame:
 def check_inventory(inv: DataFrame) -> DataFrame:
     """The printed availability is compared with total minus out of order, never adopted."""
     col = F.col
-    printed = col("rooms_available")
+    printed = col("rooms_available") if "rooms_available" in inv.columns else F.lit(None).cast("int")
+    unreadable = F.size("unreadable") > 0 if "unreadable" in inv.columns else F.lit(False)
     return violations(inv, {
+        "unreadable": unreadable,
         "day": col("day").isNull(),
         "rooms_total": F.coalesce(col("rooms_total") < 0, F.lit(True)),
+        "rooms_out_of_order": F.coalesce(col("rooms_out_of_order") < 0, F.lit(True)),
         "out_of_order_above_total": col("rooms_out_of_order") > col("rooms_total"),
         "printed_availability": printed.isNotNull() & (
             printed != col("rooms_total") - col("rooms_out_of_order")),

@@ -21,10 +21,25 @@ ROUTING = ("run_id string, seq bigint, node string, agent string, disposition st
 
 
 def read_reservations(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    reader = spark.read.schema(RESERVATION)
+    """Rows that can be read; reservation_defects has the others of a CSV file."""
     if fmt == "csv":
-        reader = reader.option("header", True).option("mode", "FAILFAST")
-    return reader.format(fmt).load(path)
+        return _reservation_lines(spark, path).filter(F.size("unreadable") == 0).drop("unreadable", "file")
+    return spark.read.schema(RESERVATION).format(fmt).load(path)
+
+
+def reservation_defects(spark: SparkSession, path: str) -> DataFrame:
+    """CSV lines that lack a value, or hold one of another type: file, ids and the columns concerned."""
+    return _reservation_lines(spark, path).filter(F.size("unreadable") > 0).select(
+        "submission_id", "file", "reservation_id", "unreadable")
+
+
+def _reservation_lines(spark: SparkSession, path: str) -> DataFrame:
+    kinds = dict(c.split() for c in RESERVATION.split(", "))
+    raw = spark.read.schema(", ".join(f"{c} string" for c in kinds)).option("header", True).csv(path)
+    parsed = {c: F.col(c).try_cast(kind) for c, kind in kinds.items()}
+    bad = F.array_compact(F.array(*[F.when(value.isNull(), c) for c, value in parsed.items()]))
+    return raw.withColumns({"unreadable": bad, "file": F.substring_index("_metadata.file_path", "/", -1)}
+                           ).withColumns(parsed)
 
 
 INVENTORY_COLUMNS = {"hotel_id", "day", "rooms_total", "rooms_out_of_order"}
@@ -51,14 +66,21 @@ def read_inventory(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_start"))
     raw = raw.withColumn("_id", F.monotonically_increasing_id())
     numbered = ranked(raw, ["_path"], ["_start"], ["_id"], "row_no")
-    whole = {c: F.when(F.col(c).rlike("^[0-9]{1,9}$"), F.col(c).cast("int"))
-             for c in ("rooms_total", "rooms_out_of_order", "rooms_available")}
-    return numbered.withColumns({
-        **whole, "day": F.try_to_date("day", "yyyy-MM-dd"),
+    return parse_inventory(numbered).withColumns({
         "file": F.substring_index("_path", "/", -1), "row_no": F.col("row_no").cast("int"),
     }).drop("_path", "_start", "_id")
 
 
+def parse_inventory(raw: DataFrame) -> DataFrame:
+    """Inventory text to values; `unreadable` names the cells that hold something else, so a bad
+    figure is never mistaken for an absent one."""
+    rooms = ("rooms_total", "rooms_out_of_order", "rooms_available")
+    parsed = {c: F.when(F.col(c).rlike("^[0-9]+$"), F.col(c).try_cast("int")) for c in rooms}
+    parsed["day"] = F.when(F.col("day").rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date("day", "yyyy-MM-dd"))
+    bad = [F.when((F.trim(c) != "") & value.isNull(), c) for c, value in parsed.items()]
+    return raw.withColumn("unreadable", F.array_compact(F.array(*bad))).withColumns(parsed)
+
+
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
     """Truth documents, one JSON file each, as (hotel_id, metric_key, value)."""
     docs = spark.read.schema("hotel_id string, metrics map<string,decimal(38,10)>").option(

@@ -11,6 +11,7 @@ from staycheck.operators import labels, metrics, reconcile, reports, scoring
 from staycheck.operators import workbook as wb
 from staycheck.plans import adapters
 from staycheck.plans.verify import verify
+from staycheck.sources import readers
 from staycheck.sources.readers import RESERVATION
 from staycheck.sources.rulesets import check_class_order, rulesets
 
@@ -341,3 +342,26 @@ def test_document_diff(spark):
     got = {(r["path"], r["why"]) for r in diff_documents(*df, "id", "d", ["t.ms"]).collect()}
     assert got == {("l[1].v", "value"), ("m", "length"), ("only", "one side only"),
                    ("k", "one side only")}
+
+
+def test_unreadable_inventory_stops_only_its_submission(spark, tmp_path):
+    stays = [stay("r1", "2026-01-05", "2026-01-07"), stay("r1", "2026-01-05", "2026-01-07", sub="H-2")]
+    res, inv, declared = frames(spark, stays)
+    claims = fixture_claims(spark, metrics.metric_values(res, inv, declared))
+    day = F.col("day") == F.to_date(F.lit("2026-01-03"))
+    bad = inv.filter("submission_id = 'H-1'").withColumn("rooms_out_of_order", F.when(~day, F.col("rooms_out_of_order")))
+    twice = inv.filter("submission_id = 'H-2'").unionByName(inv.filter(F.col("submission_id") == "H-2").filter(day))
+    for filed, stopped in ((bad.unionByName(inv.filter("submission_id = 'H-2'")), "H-1"),
+                           (twice.unionByName(inv.filter("submission_id = 'H-1'")), "H-2")):
+        out = verify(res, filed, claims, declared)
+        status = {r["submission_id"]: r["status"] for r in out["verdicts"].collect()}
+        assert status == {"H-1": "PASS", "H-2": "PASS"} | {stopped: "HALTED"}
+
+
+def test_a_bad_reservation_line_is_a_defect_row(spark, tmp_path):
+    names = [c.split()[0] for c in RESERVATION.split(", ")]
+    good = "H-1,r1,H-1,g_1,DE,1,0,1,2,2,2026-01-05,2026-01-07,CHECKED_OUT,BAR"
+    (tmp_path / "a.csv").write_text("\n".join([",".join(names), good, good.replace(",1,0,1,", ",one,0,1,"), "H-2,r2"]) + "\n")
+    assert [r["reservation_id"] for r in readers.read_reservations(spark, str(tmp_path), "csv").collect()] == ["r1"]
+    found = {r["submission_id"]: r["unreadable"] for r in readers.reservation_defects(spark, str(tmp_path)).collect()}
+    assert found["H-1"] == ["adults"] and len(found["H-2"]) == len(names) - 2
