@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from staycheck.llm.common import doc_rows
 
-MEMORY = 250_000
+MEMORY = 80_000
 BATCH_BYTES = 4 << 20
 BUCKET = 4
 GOLDEN = 0x9E3779B97F4A7C15

@@ -4,12 +4,16 @@ Rows are told apart by (doc_id, row_key), row_key being a hash of the raw text,
 doc_id with another text stay separate, and full repeats get the same decision.
 """
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staycheck.session import stage
 
 ROW_KEY = "__row_key"
+SLICE_ROWS = 500
 
 
 def persisted(df: DataFrame) -> DataFrame:
@@ -22,6 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, fewer at a time, so that what a worker makes of them stays small; memory that a
+    batch needed goes back before the next one."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+        pa.default_memory_pool().release_unused()
+
+
 def row_key(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 

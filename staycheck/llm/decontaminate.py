@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staycheck.llm.common import doc_rows
+from staycheck.llm.common import doc_rows, sliced
 
 RATE = 0.05
 PIECE = 12
@@ -154,7 +154,7 @@ def find_items(docs: DataFrame, items: DataFrame, rate: float = RATE, piece: int
     def scan(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder = _finder(sent, rate, piece)
-            for batch in batches:
+            for batch in sliced(batches):
                 ids, keys, hits = [], [], []
                 for i, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row_key", "text"))):
                     for hit in finder.find(text):
@@ -184,7 +184,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, pie
     def clean(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder = _finder(sent, rate, piece)
-            for batch in batches:
+            for batch in sliced(batches):
                 yield batch.filter(pa.array([not finder.find(t or "") for t in batch.column("text").to_pylist()],
                                             pa.bool_()))
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staycheck.llm.common import doc_rows, keep_rows, persisted, same_row
+from staycheck.llm.common import doc_rows, keep_rows, persisted, same_row, sliced
 
 BLOCK_BYTES = 8192
 BLOCKS = "doc_id long, row_key long, sha binary, blocks int, pos int, h long"
@@ -31,7 +31,7 @@ def _cut(block_bytes: int, hash_bits: int, content: bool):
     shift = 64 - hash_bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             ids, keys, shas, counts, places, hashes, parts = ([] for _ in range(7))
             texts = pc.ascii_lower(batch.column("text"))
             for i, key, text in zip(batch.column("doc_id").to_pylist(),

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staycheck.llm.common import doc_rows
+from staycheck.llm.common import doc_rows, sliced
 
 SIZES = (2, 3, 4)
 HASH_BITS = 15
@@ -168,7 +168,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], width: int = WIDTH, ep
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         hashes, often = [], []
         for text in batch.column("text").to_pylist():
             n = counts(text)
@@ -201,7 +201,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for batch in batches:
+        for batch in sliced(batches):
             found = own.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("row_key"), pa.array([f[0] for f in found], pa.string()),
@@ -217,7 +217,7 @@ def drop_rejected(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        for batch in batches:
+        for batch in sliced(batches):
             found = own.predict([t or "" for t in batch.column("text").to_pylist()])
             yield batch.filter(pa.array([not rejected for _, _, rejected in found], pa.bool_()))
 

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staycheck.llm.common import doc_rows, keep_rows, persisted
+from staycheck.llm.common import doc_rows, keep_rows, persisted, sliced
 from staycheck.llm.graph import components
 
 SHINGLE = 3
@@ -58,7 +58,7 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> bytes:
 
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = pc.ascii_lower(batch.column("text"))
             prints = [int.from_bytes(fingerprint(t.as_buffer().to_pybytes(), shingle), "big", signed=True)
                       for t in texts]
