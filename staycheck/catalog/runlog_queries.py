@@ -35,7 +35,13 @@ def _(spark, sf):
 SELECT run_id, seq, node, CAST(start_ms + sum(duration_ms) OVER w - duration_ms AS BIGINT) AS at_ms,
   CAST(display_start_ms + sum(greatest(duration_ms, 250)) OVER w - greatest(duration_ms, 250)
     AS BIGINT) AS display_ms
-FROM v_attr WHERE node_seq IS NOT NULL WINDOW w AS (PARTITION BY run_id, node_seq ORDER BY seq)""")
+FROM v_attr WHERE node_seq IS NOT NULL WINDOW w AS (PARTITION BY run_id, node_seq ORDER BY seq)
+UNION ALL
+SELECT c.run_id, c.seq, c.node, CAST(coalesce(e.ms, 0) + sum(c.duration_ms) OVER w - c.duration_ms AS BIGINT),
+  CAST(coalesce(e.display_ms, 0) + sum(greatest(c.duration_ms, 250)) OVER w - greatest(c.duration_ms, 250) AS BIGINT)
+FROM v_attr c LEFT JOIN (SELECT run_id, max(end_ms) AS ms, max(display_end_ms) AS display_ms
+  FROM v_line GROUP BY ALL) e USING (run_id)
+WHERE c.node_seq IS NULL WINDOW w AS (PARTITION BY c.run_id ORDER BY c.seq)""")
 def _(spark, sf):
     t = timings(spark, sf)
     return rl.call_offsets(rl.attribute_calls(t, a.call_log(spark, sf)), rl.timeline(t)).select(

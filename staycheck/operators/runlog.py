@@ -94,13 +94,20 @@ def attribute_calls(timings: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def call_offsets(attributed: DataFrame, line: DataFrame) -> DataFrame:
-    """When each attributed call starts: its node's start plus the calls before it there."""
+    """When each call starts: its node's start plus the calls before it there. Calls no node made
+    (the review's, and others) follow one another after the run's end."""
     starts = line.select("run_id", F.col("seq").alias("node_seq"), "start_ms", "display_start_ms")
     shown = F.greatest(F.col("duration_ms"), F.lit(values.CALL_MIN_MS))
     mine = attributed.filter("node_seq is not null")
     run = running_sum(_blocked(mine), ["run_id", "node_seq"], ["_block"], ["seq"], {
         "_end": F.col("duration_ms"), "_shown": shown}).drop("_block")
-    return run.join(starts, ["run_id", "node_seq"]).withColumns({
+    ends = line.groupBy("run_id").agg(F.max("end_ms").alias("start_ms"),
+                                      F.max("display_end_ms").alias("display_start_ms"))
+    after = running_sum(_blocked(attributed.filter("node_seq is null")), ["run_id"], ["_block"], ["seq"], {
+        "_end": F.col("duration_ms"), "_shown": shown}).drop("_block")
+    placed = run.join(starts, ["run_id", "node_seq"]).unionByName(
+        after.join(ends, "run_id", "left").fillna(0, ["start_ms", "display_start_ms"]))
+    return placed.withColumns({
         "at_ms": F.col("start_ms") + F.col("_end") - F.col("duration_ms"),
         "display_ms": F.col("display_start_ms") + F.col("_shown") - shown}).drop("_end", "_shown")
 
