@@ -17,6 +17,37 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.expr(span_list("spans", "start rank")).alias("spans"))
 
 
+def _either_case(words: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words)
+
+
+_OP1_KINDS = (  # kind, pattern, what must hold of a match
+    ("assign", f"({_either_case('password|passwd|secret|token|api_?key')})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)",
+     "length(regexp_extract(found, pattern, 2)) >= 8"),
+    ("access", "AKIA[A-Z0-9]+", "length(found) >= 16"), ("hex", "[0-9a-f]{32,}", "true"),
+    ("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "true"), ("hosting", "gh[opsu]_[A-Za-z0-9]{36,}", "true"))
+_OP1_MATCHES = " UNION ALL ".join(f"""
+  SELECT doc_id, '{kind}' AS kind, {n} AS rank, m[i] AS found, i, '{pattern}' AS pattern,
+    list_sum([length(x) FOR x IN p[1:i]]) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0) AS begin
+  FROM (SELECT doc_id, m, p, unnest(range(1, len(m) + 1)) AS i FROM (
+    SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS p FROM d))
+  WHERE {keep}""" for n, (kind, pattern, keep) in enumerate(_OP1_KINDS))
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({_OP1_MATCHES}),
+j AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || CAST(begin AS BIGINT) || ':' || CAST(begin + length(found) AS BIGINT), ','
+      ORDER BY begin, rank) AS spans,
+    string_agg(kind || ':' || CAST(begin AS BIGINT) || ':' || CAST(begin + length(found) AS BIGINT), ','
+      ORDER BY begin, rank) FILTER (rank < 3) AS base
+  FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN j USING (doc_id)
+"""
+
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -157,6 +188,7 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 ORACLES = {
+    "op1_secrets": OP1_SQL,
     "op3_substring_dedup": OP3_SQL,
     "op4_exact_dedup": OP4_SQL,
     "op9_chat": OP9_SQL,
