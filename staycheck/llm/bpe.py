@@ -11,6 +11,7 @@ ordinary text. Rows are independent: repeated rows, null doc_ids and long texts
 An empty table gives an empty result. Extra columns are ignored.
 """
 
+import array
 import base64
 import hashlib
 import heapq
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from staycheck.llm.common import doc_rows
 
-MEMORY = 80_000
+MEMORY = 200_000
 BATCH_BYTES = 4 << 20
 BUCKET = 4
 GOLDEN = 0x9E3779B97F4A7C15
@@ -158,7 +159,7 @@ class _Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         out = self.older.get(piece)
         if out is None:
-            out = np.array(self.vocabulary.encode(piece.encode()), np.int32).tobytes()
+            out = array.array("i", self.vocabulary.encode(piece.encode())).tobytes()
         self[piece] = out
         return out
 
