@@ -115,8 +115,9 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hash_bits: int
     """doc_id, row_key, keep_id, group_size, kept, text_sha256, one row per row of docs; of equal
     texts the largest doc_id stays."""
     ids = persisted(identities(docs, block_bytes, hash_bits))
-    groups = ids.groupBy("blocks", "name").agg(F.max("doc_id").alias("keep_id"),
-                                               F.count(F.lit(1)).alias("group_size"))
+    # written before the join, which then deals both sides out itself and can split a large group
+    groups = persisted(ids.groupBy("blocks", "name").agg(F.max("doc_id").alias("keep_id"),
+                                                         F.count(F.lit(1)).alias("group_size")))
     return ids.join(groups, ["blocks", "name"]).select(
         "doc_id", "row_key", "keep_id", "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
