@@ -3,9 +3,12 @@
 Every run of 2 to 4 bytes of the lower-cased text (white space counts as one blank, so runs mark word
 edges) is hashed to an embedding; a text is the mean of its embeddings, and a linear softmax names the
 language. Embeddings and weights are learned together by stochastic gradient descent in numpy, from
-about `per_language` documents of each language. One of `calibration` of them is kept out of descent:
-on those a temperature fits the confidence, and the rejection threshold is the confidence that all but
-`rejected` of the rightly named ones reach.
+about `per_language` documents of each language, and at most all but one of `calibration` of them. Every
+other labelled document is scored with that model in Spark: on those a temperature fits the confidence,
+and the rejection threshold is the confidence that a share of at most `rejected` of rightly named documents
+is expected to miss. The driver sees sums and a fixed histogram of the confidence for each temperature.
+With fewer than 1 / `rejected` rightly named documents to calibrate on, even the lowest confidence seen
+says nothing about so small a share, and no confidence is rejected.
 
 As the model is linear, a hash's embedding and the weights fold into one row of class scores, so that
 scoring a whole text is a lookup for each run and one mean.
@@ -15,8 +18,9 @@ learned language that one is named; with no labelled row every text is `und`. Re
 doc_ids are scored like others. An empty table gives an empty result. Extra columns are ignored.
 """
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,10 @@ PER_LANGUAGE = 600
 CALIBRATION = 4
 REJECTED = 0.0005
 EPOCHS = 10
+TEMPERATURES = np.geomspace(0.002, 20, 80)
+# The histogram is over the log odds of the named language; what lies outside counts in the end bins.
+LOWEST, BINS_A_UNIT, BINS = -8, 16, 512
+LOSS_UNIT, LOSS_CAP = 1e-7, -np.log(1e-12)  # losses are summed as whole numbers, alike in any order
 SEGMENT = 1 << 18
 FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 SPACE = bytes(0x20 if 0x09 <= b <= 0x0D else b for b in range(256))
@@ -119,27 +127,25 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(rows: list[tuple[str, np.ndarray, np.ndarray]], width: int = WIDTH, epochs: int = EPOCHS,
-          calibration: int = CALIBRATION, rejected: float = REJECTED, rate: float = 100.0) -> Model:
-    """rows: language, the hashes a text holds, how often each occurs; in a fixed order."""
-    languages = sorted({r[0] for r in rows})
+def train(rows: list[tuple[str, np.ndarray, np.ndarray]], languages: list[str], width: int = WIDTH,
+          epochs: int = EPOCHS, rate: float = 100.0) -> Model:
+    """rows: language, the hashes a text holds, how often each occurs; in a fixed order. The model isn't
+    calibrated."""
     number = {x: n for n, x in enumerate(languages)}
     rng = np.random.default_rng(5)
     vectors = rng.normal(0, 0.1, (1 << HASH_BITS, width)).astype(np.float32)
     weights, bias = rng.normal(0, 0.1, (width, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32)
     shares = [(n / n.sum()).astype(np.float32) for _, _, n in rows]
     target = np.array([number[r[0]] for r in rows])
-    kept_out = np.arange(len(rows)) % calibration == 0 if len(rows) > 4 * calibration else np.zeros(len(rows), bool)
-    learn = np.flatnonzero(~kept_out)
 
     def means(chosen):
         at = np.concatenate(([0], np.cumsum([len(rows[i][1]) for i in chosen[:-1]]))).astype(np.int64)
         hashes, share = np.concatenate([rows[i][1] for i in chosen]), np.concatenate([shares[i] for i in chosen])
         return np.add.reduceat(vectors[hashes] * share[:, None], at, axis=0), hashes, share
 
-    for epoch in range(epochs if len(learn) else 0):
+    for epoch in range(epochs if rows else 0):
         step = rate * (1 - epoch / epochs)
-        for chosen in np.array_split(rng.permutation(learn), -(-len(learn) // 32)):
+        for chosen in np.array_split(rng.permutation(len(rows)), -(-len(rows) // 32)):
             mean, hashes, share = means(chosen)
             error = softmax(mean @ weights + bias)
             error[np.arange(len(chosen)), target[chosen]] -= 1
@@ -151,18 +157,63 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], width: int = WIDTH, ep
             change = step * share[:, None] * back[of]
             for d in range(width):
                 vectors[:, d] -= np.bincount(hashes, change[:, d], 1 << HASH_BITS)
-    check = np.flatnonzero(kept_out) if kept_out.any() else learn
-    temperature, threshold = 1.0, 0.0
-    if len(check):
-        logits = np.concatenate([means(part)[0] for part in np.array_split(check, -(-len(check) // 32))]) @ weights + bias
-        grid = np.geomspace(0.002, 20, 80)
-        loss = [-np.log(softmax(logits / t)[np.arange(len(check)), target[check]] + 1e-12).mean() for t in grid]
-        temperature = float(grid[int(np.argmin(loss))])
-        p = softmax(logits / temperature)
-        right = p.argmax(axis=1) == target[check]
-        if right.any():
-            threshold = min(0.5, float(np.quantile(p.max(axis=1)[right], rejected, method="lower")))
-    return Model(languages, np.ascontiguousarray((vectors @ weights).T), bias, temperature, threshold)
+    return Model(languages, np.ascontiguousarray((vectors @ weights).T), bias, 1.0, 0.0)
+
+
+def tally(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """For each temperature, the loss of some rows, then how many rightly named ones are in each bin."""
+    out = np.zeros((len(TEMPERATURES), 1 + BINS), np.int64)
+    rows = np.arange(len(target))
+    best = logits.argmax(axis=1)
+    right = best == target
+    for k, temperature in enumerate(TEMPERATURES):
+        z = logits / temperature
+        loss = np.minimum(np.logaddexp.reduce(z, axis=1) - z[rows, target], LOSS_CAP)
+        out[k, 0] = np.rint(loss / LOSS_UNIT).astype(np.int64).sum()
+        top = z[rows, best]
+        z[rows, best] = -np.inf
+        odds = (top - np.logaddexp.reduce(z, axis=1))[right]
+        bins = np.clip(np.floor((odds - LOWEST) * BINS_A_UNIT), 0, BINS - 1).astype(np.int64)
+        out[k, 1:] = np.bincount(bins, minlength=BINS)
+    return out
+
+
+def cut(tallied: np.ndarray, rejected: float = REJECTED) -> tuple[float, float]:
+    """Temperature and threshold. Below the r-th lowest of n confidences another one falls with a chance of
+    r / (n + 1); the threshold is the lower edge of the bin of the highest r at which that is `rejected`
+    or less."""
+    k = int(np.argmin(tallied[:, 0]))
+    upto = np.cumsum(tallied[k, 1:])
+    rank = math.floor(rejected * (int(upto[-1]) + 1))
+    odds = LOWEST + int(np.searchsorted(upto, rank)) / BINS_A_UNIT
+    return float(TEMPERATURES[k]), 1 / (1 + math.exp(-odds)) if rank else 0.0
+
+
+def calibrated(rows: DataFrame, model: Model, rejected: float = REJECTED) -> Model | None:
+    """The model with temperature and threshold of all rows (text, lang) that hold a letter; none without
+    such a row."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total = sent.value, np.zeros(len(TEMPERATURES) * (1 + BINS), np.int64)
+        number, n = {x: i for i, x in enumerate(own.languages)}, 0
+        for batch in sliced(batches):
+            some = [(t, number[x]) for t, x in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist())
+                    if any(map(str.isalpha, t))]
+            if some:
+                n += len(some)
+                total += tally(own.logits([t for t, _ in some]), np.array([x for _, x in some])).reshape(-1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int32()), pa.array([n, *total[at]], pa.int64())], ["at", "n"])
+
+    sums = rows.select("text", "lang").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    got = dict(zip(sums["at"].to_pylist(), sums["n"].to_pylist()))
+    if not got.pop(-1, 0):
+        return None
+    tallied = np.zeros(len(TEMPERATURES) * (1 + BINS), np.int64)
+    tallied[list(got)] = list(got.values())
+    temperature, threshold = cut(tallied.reshape(len(TEMPERATURES), -1), rejected)
+    return replace(model, temperature=temperature, threshold=threshold)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,20 +228,24 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(often, pa.list_(pa.int64()))], ["doc_id", "lang", "hashes", "often"])
 
 
-def fit(docs: DataFrame, labelled: Column, per_language: int = PER_LANGUAGE) -> Model:
+def fit(docs: DataFrame, labelled: Column, per_language: int = PER_LANGUAGE, calibration: int = CALIBRATION) -> Model:
     """Learn from text and lang of the rows that `labelled` names, about per_language of each language
-    (each row by a hash of its doc_id against its language's share)."""
+    (each row by a hash of its doc_id against its language's share), and calibrate on all the others. A
+    language of few rows is learned from all of them; with no other rows those calibrate too."""
     rows = docs.where(labelled & F.col("lang").isNotNull() & F.col("text").isNotNull())
     seen = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not seen:
         return Model([], np.zeros((0, 1 << HASH_BITS)), np.zeros(0), 1.0, 0.0)
-    share = F.create_map(*[F.lit(x) for lang, n in seen.items() for x in (lang, min(1.0, per_language / n))])
+    shares = {lang: 1.0 if n <= 4 * calibration else min(1 - 1 / calibration, per_language / n) for lang, n in seen.items()}
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
     place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(place < share[F.col("lang")]).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    learned = place < share[F.col("lang")]
+    sample = rows.where(learned).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     got = sample.mapInArrow(_features, "doc_id long, lang string, hashes array<int>, often array<long>").toArrow()
     order = sorted(range(got.num_rows), key=lambda i: (str(got["lang"][i]), str(got["doc_id"][i])))
-    return train([(got["lang"][i].as_py(), got["hashes"][i].values.to_numpy(), got["often"][i].values.to_numpy())
-                  for i in order])
+    model = train([(got["lang"][i].as_py(), got["hashes"][i].values.to_numpy(), got["often"][i].values.to_numpy())
+                   for i in order], sorted(seen))
+    return calibrated(rows.where(~learned), model) or calibrated(rows, model) or model
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
