@@ -3,7 +3,7 @@
 import re
 
 from staycheck import values
-from staycheck.plans.adapters import ALTERNATIVE, METRIC_NO, NATIONALITIES, RATES
+from staycheck.plans.adapters import ALTERNATIVE, METRIC_NO, NATIONALITIES, RATES, TWO_KIND_LABELS
 from staycheck.sources.rulesets import rulesets
 
 VIEWS: dict[str, str] = {}
@@ -485,6 +485,10 @@ view("v_kinds", "SELECT DISTINCT kind, code, trim(regexp_replace(regexp_replace(
                                                     ("rate code", values.RATE_CODE_ALIASES))
             for code, more in table for label in (code, *more)], "kind, code, label") + ")")
 
+view("v_kind_labels", f"""
+SELECT *, trim(regexp_replace(regexp_replace(lower(trim(label)), '[^0-9a-z ]+', '', 'g'), ' +', ' ', 'g')) AS alias_key
+FROM (SELECT custkey, coalesce(({lit(TWO_KIND_LABELS)})[custkey % 35 + 1], label) AS label FROM v_labels)""")
+
 view("v_unmatched", "SELECT * FROM v_labels WHERE alias_key NOT IN (SELECT alias_key FROM v_alias)")
 
 # every label against every alias

@@ -209,6 +209,19 @@ def _(spark, sf):
     return labels.normalise_labels(df, "label", index, "rate", "rate code").drop("alias_key")
 
 
+@query("jn_01_kinds_all", """
+SELECT custkey, label, country, rate FROM v_kind_labels
+LEFT JOIN (SELECT alias_key, min(code) AS country FROM v_kinds WHERE kind = 'country' GROUP BY 1
+  HAVING count(DISTINCT code) = 1) USING (alias_key)
+LEFT JOIN (SELECT alias_key, min(code) AS rate FROM v_kinds WHERE kind = 'rate code' GROUP BY 1
+  HAVING count(DISTINCT code) = 1) USING (alias_key)""")
+def _(spark, sf):
+    """Every customer's own label as a country and as a rate code."""
+    index = labels.alias_index(labels.committed_labels(spark))
+    df = labels.normalise_labels(a.two_kind_labels(spark, sf), "label", index, "country", "country").drop("alias_key")
+    return labels.normalise_labels(df, "label", index, "rate", "rate code").drop("alias_key")
+
+
 @query("sc_09_similarity", """
 WITH n AS (SELECT code, alias_key AS name FROM v_alias QUALIFY row_number() OVER (
   PARTITION BY code ORDER BY length(alias_key) DESC, alias_key DESC) = 1),
