@@ -504,6 +504,28 @@ SELECT label, rank, alias, code, score, left_out FROM (
     QUALIFY alias = first_value(alias) OVER (PARTITION BY label, code ORDER BY score DESC, alias)))
 WHERE rank <= 5""")
 
+view("v_moved_labels", """
+SELECT DISTINCT label,
+  trim(regexp_replace(regexp_replace(lower(trim(label)), '[^0-9a-z ]+', '', 'g'), ' +', ' ', 'g')) AS alias_key
+FROM (SELECT CASE WHEN custkey % 4 = 0 AND last <> '' THEN last || ' ' || regexp_replace(name, ' +[^ ]+$', '')
+    WHEN custkey % 4 = 1 AND last <> '' THEN regexp_replace(name, ' +[^ ]+$', '')
+    WHEN custkey % 24 = 3 THEN 'Arabia' WHEN custkey % 24 = 7 THEN 'Republic of Korea' ELSE label END AS label
+  FROM (SELECT custkey, label, trim(label) AS name, regexp_extract(trim(label), ' ([^ ]+)$', 1) AS last FROM v_labels))""")
+
+# every label against every alias, words as they stand and words in order
+view("v_shortlist_any_order", """
+SELECT label, rank, alias, code, score, left_out FROM (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, alias, code) AS rank,
+    greatest(count(*) OVER (PARTITION BY label) - 5, 0) AS left_out
+  FROM (SELECT * FROM (SELECT label, code, alias, 1.0 - CAST(least(levenshtein(k, alias), levenshtein(
+        array_to_string(list_sort(string_split(k, ' ')), ' '), array_to_string(list_sort(string_split(alias, ' ')), ' ')))
+        AS DOUBLE) / greatest(length(k), length(alias)) AS score
+      FROM (SELECT u.label, u.alias_key AS k, a.code, a.alias_key AS alias FROM v_moved_labels u, v_alias a
+        WHERE u.alias_key <> '' AND u.alias_key NOT IN (SELECT alias_key FROM v_alias)))
+    WHERE score >= CAST(3 AS DOUBLE) / 7
+    QUALIFY alias = first_value(alias) OVER (PARTITION BY label, code ORDER BY score DESC, alias)))
+WHERE rank <= 5""")
+
 view("v_files", """
 SELECT 'H-' || (doc_id // 100) AS submission_id, doc_id, text AS content,
   CASE WHEN n = 17 THEN 'pms_draft.pdf'

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from staycheck import values
 from staycheck.catalog.registry import query
 from staycheck.operators import checks, intake, labels
 from staycheck.operators import reports as rp
@@ -252,6 +253,14 @@ def _shortlist(spark, sf):
     return labels.candidates(_unmatched(spark, sf), "label", _countries(spark))
 
 
+@query("jn_20_candidates_any_order", """SELECT * FROM v_shortlist_any_order""")
+def _(spark, sf):
+    """Labels with words left out or moved, too."""
+    df = labels.normalise_labels(a.moved_labels(spark, sf), "label", _countries(spark), "code")
+    return labels.candidates(df.filter("code is null"), "label", _countries(spark),
+                             floor=values.MIN_WORD_SIMILARITY, any_order=True)
+
+
 @query("fl_02_best_candidate", """SELECT * FROM v_shortlist WHERE rank = 1""")
 def _(spark, sf):
     return _shortlist(spark, sf).filter("rank = 1")

@@ -393,6 +393,15 @@ def two_kind_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customer_labels(spark, sf_dir).select("custkey", F.coalesce(said, "label").alias("label"))
 
 
+def moved_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's label; those of two words and more with the last word first, then without it, for some."""
+    k, name = F.col("custkey"), F.trim("label")
+    last, head = F.regexp_extract(name, " ([^ ]+)$", 1), F.regexp_replace(name, " +[^ ]+$", "")
+    moved = F.when((k % 4 == 0) & (last != ""), F.concat(last, F.lit(" "), head)).when(
+        (k % 4 == 1) & (last != ""), head).when(k % 24 == 3, "Arabia").when(k % 24 == 7, "Republic of Korea")
+    return customer_labels(spark, sf_dir).select("custkey", F.coalesce(moved, "label").alias("label"))
+
+
 def submission_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as submitted files; the name follows from the document id."""
     d = table(spark, sf_dir, "documents")
