@@ -5,13 +5,17 @@ The base patterns (email, ip, card, phone) always count. The generators propose
 an at sign or its spelled-out forms (handle), and any group of seven or more digits with separators
 (number); they overlap the base spans and each other. A candidate has format features (digits,
 separators, dots, a valid checksum or address, ...) and context features (telling words before it, the
-characters next to it). Trees learn, from a sample of about `sample` documents, which candidates look
-like base spans; a candidate that isn't one is redacted too where its score passes the threshold at
-which, on the other half of the sample, `precision` of the candidates above are base spans. Features are
-small whole numbers, so the sample reaches the driver as one count for each combination of them.
-
-Cases: null text is an empty text; texts without findings have empty lists. Without candidates in the
-sample nothing is added to the base spans. Repeated rows and null doc_ids are handled like others. An
+characters next to it). Base spans are the positive rows; candidates that look like one and fail its test
+(checksum, octet, number of digits, host without a dot) are the negative ones. Every other form, such as a
+phone number without a plus or a spelled-out address, has no label: it counts neither in training nor
+against the precision. Trees score on context and on what no base pattern tests (SCORED). A candidate
+without a label is redacted too where its score passes the threshold at which, on the other half of the
+sample, `precision` of the labelled candidates above are base spans. Where nothing fails a test, forms
+without a label stand in as negatives; then none of those is likely to be added. The driver gets one
+count for each combination of label and scored features.
+
+Cases: null text is an empty text; texts without findings have empty lists. Without candidates
+nothing is added to the base spans. Repeated rows and null doc_ids are handled like others. An
 empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -70,6 +74,11 @@ CELL_LIMIT = 2 * 21 * 7 * 5 * 2 * 2 * 2 * 3 * 2 * 2 * 4
 _BASE_FORM = (f"(x.match RLIKE r'^{_LOCAL}++@[A-Za-z0-9-]++(?:[.][A-Za-z0-9-]++)++$') OR {_OCTETS} "
               f"OR (x.match RLIKE r'^[0-9](?:[ -]?[0-9]){{15,18}}+$' AND {_LUHN}) "
               f"OR (x.match RLIKE r'^[+][0-9][ ().0-9-]+[0-9]$' AND length({_DIGITS}) BETWEEN 8 AND 15)")
+# a candidate that looks like one and isn't: no dot in the host, an octet over 255, a wrong checksum or count
+_BROKEN_FORM = (f"(x.match RLIKE r'^{_LOCAL}++@[A-Za-z0-9-]++$') OR (x.match RLIKE r'^[0-9]++(?:[.][0-9]++){{3}}$' AND NOT {_OCTETS}) "
+                f"OR (x.match RLIKE r'^[0-9](?:[ -]?[0-9]){{15,18}}+$' AND NOT {_LUHN}) "
+                f"OR (x.match RLIKE r'^[+][0-9][ ().0-9-]+[0-9]$' AND NOT length({_DIGITS}) BETWEEN 8 AND 15)")
+SCORED = ("kind", "separators", "parens", "told", "touches")  # what no base pattern or validity tests
 _SPAN = "array<struct<kind: string, rank: int, start: int, end: int>>"
 
 
@@ -87,7 +96,7 @@ def _candidates(text: str) -> str:
 
 def proposed(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, base spans and candidates with their features; is_base: the candidate has the form
-    of a base span."""
+    of a base span; is_broken: it has the looks and fails the test."""
     rows = doc_rows(docs)
     some = "text RLIKE '[0-9@]|[(\\\\[]at[)\\\\]]'"  # no pattern can match without one of these
     rows = rows.select("doc_id", "row_key", F.expr(f"IF({some}, text, '')").alias("text"))
@@ -96,7 +105,7 @@ def proposed(docs: DataFrame) -> DataFrame:
     named = ", ".join(f"{sql} AS {name}" for name, sql in FEATURES.items())
     return rows.select("doc_id", "row_key", "base", F.expr(
         f"transform(found, x -> struct(x.kind AS name, x.rank, x.start, x.end, {named}, "
-        f"{_BASE_FORM} AS is_base))").alias("found"))
+        f"{_BASE_FORM} AS is_base, {_BROKEN_FORM} AS is_broken))").alias("found"))
 
 
 @dataclass
@@ -114,9 +123,8 @@ class Model:
         return f"1 / (1 + exp(-({' + '.join(terms)})))"
 
 
-def train(cells: list[dict], trees: int = TREES, precision: float = PRECISION) -> Model:
+def train(cells: list[dict], trees: int = TREES, precision: float = PRECISION, names: tuple = tuple(FEATURES)) -> Model:
     """cells: feature values, n and positive (candidates of these values, base spans among them) and half."""
-    names = list(FEATURES)
     x = np.array([[c[f] for f in names] for c in cells]).reshape(-1, len(names))
     n, pos = (np.array([c[k] for c in cells], float) for k in ("n", "positive"))
     learn = np.array([c["half"] == 0 for c in cells], bool)
@@ -165,19 +173,24 @@ def train(cells: list[dict], trees: int = TREES, precision: float = PRECISION) -
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
+    """Learn from the candidates of about `sample` documents."""
     share = min(1.0, sample / max(1, docs.count()))
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    rows = proposed(docs.where(F.coalesce(place < share, F.lit(True))))
-    rows = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"), F.explode("found").alias("x"))
-    cells = rows.groupBy("half", *[F.col(f"x.{f}") for f in FEATURES]).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("x.is_base").cast("int")).alias("positive"))
-    return train(sorted((r.asDict() for r in cells.collect()), key=lambda c: [c["half"], *(c[f] for f in FEATURES)]))
+    rows = proposed(docs.where(F.coalesce(place < share, F.lit(True)))).select(F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"), F.explode("found").alias("x"))
+    label = F.expr("CASE WHEN x.is_base THEN 'positive' WHEN x.is_broken THEN 'broken' ELSE 'other' END")
+    counted = rows.groupBy("half", label.alias("label"), *[F.col(f"x.{f}") for f in SCORED]).agg(F.count(F.lit(1)).alias("n"))
+    cells: dict[tuple, dict] = {}
+    for r in counted.collect():
+        cells.setdefault((r["half"], *(r[f] for f in SCORED)), {"positive": 0, "broken": 0, "other": 0})[r["label"]] = r["n"]
+    against = "broken" if any(c["broken"] for c in cells.values()) else "other"
+    return train([dict(zip(("half", *SCORED), k)) | {"positive": c["positive"], "n": c["positive"] + c[against]}
+                  for k, c in sorted(cells.items()) if c["positive"] + c[against]], names=SCORED)
 
 
 def find_pii(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, row_key, base (spans of the base kinds), spans (all that are to be redacted), each an array
     of kind, rank, start, end (end exclusive, code points), one row per row of docs."""
-    added = (f"transform(filter(found, x -> NOT x.is_base AND {model.sql()} >= {model.threshold!r}), "
+    added = (f"transform(filter(found, x -> NOT x.is_base AND NOT x.is_broken AND {model.sql()} >= {model.threshold!r}), "
              "x -> struct(x.name AS kind, x.rank, x.start, x.end))")
     return proposed(docs).select("doc_id", "row_key", "base", F.expr(
         f"cast(concat(base, {added}) AS {_SPAN})").alias("spans"))

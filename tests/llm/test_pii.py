@@ -71,3 +71,23 @@ def test_trees_pick_what_looks_like_base_spans(spark):
     trained = pii.train(cells)
     assert 0.5 < trained.threshold < 1
     assert pii.train([]).trees == [] and pii.find_pii(df.limit(0), pii.fit(df.limit(0))).count() == 0
+
+
+def test_forms_without_a_label_are_scored_on_context(spark):
+    """Often enough to be learned as negatives, were they any."""
+    def broken(i):
+        number = f"41111111{i:07d}"
+        return number + next(d for d in "01" if not luhn(number + d))
+
+    told = [f"call +1 743 555 {i:04d} now" if i % 2 else f"call +1743555{i:04d} now" for i in range(300)]
+    failed = [f"sold {n[:4]} {n[4:8]} {n[8:12]} {n[12:]} now" if i % 2 else f"sold {n} now" for i in range(300) for n in [broken(i)]]
+    bare = [f"tel 743 555 {i:04d} now" for i in range(300)]
+    spelled = [f"mail bob{i} (at) home dot org now" for i in range(300)]
+    plain = [f"counted 743 555 {i:04d} grains" for i in range(300)]
+    kinds = [("told", told), ("failed", failed), ("bare", bare), ("spelled", spelled), ("plain", plain)]
+    rows = [(n * 1000 + i, t, kind) for n, (kind, texts) in enumerate(kinds) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, form string")
+    got = {(r.doc_id // 1000): 0 for r in df.collect()}
+    for r in pii.find_pii(df, pii.fit(df)).collect():
+        got[r.doc_id // 1000] += len(r.spans) > 0
+    assert got == {0: 300, 1: 0, 2: 300, 3: 300, 4: 0}
