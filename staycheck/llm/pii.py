@@ -9,10 +9,10 @@ characters next to it). Base spans are the positive rows; candidates that look l
 (checksum, octet, number of digits, host without a dot) are the negative ones. Every other form, such as a
 phone number without a plus or a spelled-out address, has no label: it counts neither in training nor
 against the precision. Trees score on context and on what no base pattern tests (SCORED). A candidate
-without a label is redacted too where its score passes the threshold at which, on the other half of the
-sample, `precision` of the labelled candidates above are base spans. Where nothing fails a test, forms
+without a label is redacted too where its score passes the threshold at which, on the other half of all
+documents, `precision` of the labelled candidates above are base spans. Where nothing fails a test, forms
 without a label stand in as negatives; then none of those is likely to be added. The driver gets one
-count for each combination of label and scored features.
+count for each combination of label and scored features, over all documents.
 
 Cases: null text is an empty text; texts without findings have empty lists. Without candidates
 nothing is added to the base spans. Repeated rows and null doc_ids are handled like others. An
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from staycheck.llm.common import doc_rows
 from staycheck.llm.spans import find
 
-SAMPLE = 50_000
 TREES = 30
 LEARNING = 0.3
 PRECISION = 0.98
@@ -172,11 +171,9 @@ def train(cells: list[dict], trees: int = TREES, precision: float = PRECISION, n
     return model
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from the candidates of about `sample` documents."""
-    share = min(1.0, sample / max(1, docs.count()))
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    rows = proposed(docs.where(F.coalesce(place < share, F.lit(True)))).select(F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"), F.explode("found").alias("x"))
+def fit(docs: DataFrame) -> Model:
+    """Learn from the candidates of all documents."""
+    rows = proposed(docs).select(F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"), F.explode("found").alias("x"))
     label = F.expr("CASE WHEN x.is_base THEN 'positive' WHEN x.is_broken THEN 'broken' ELSE 'other' END")
     counted = rows.groupBy("half", label.alias("label"), *[F.col(f"x.{f}") for f in SCORED]).agg(F.count(F.lit(1)).alias("n"))
     cells: dict[tuple, dict] = {}

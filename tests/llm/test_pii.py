@@ -91,3 +91,10 @@ def test_forms_without_a_label_are_scored_on_context(spark):
     for r in pii.find_pii(df, pii.fit(df)).collect():
         got[r.doc_id // 1000] += len(r.spans) > 0
     assert got == {0: 300, 1: 0, 2: 300, 3: 300, 4: 0}
+
+
+def test_every_document_is_counted(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "train", lambda cells, **_: seen.extend(cells) or pii.Model())
+    pii.fit(spark.range(60000).selectExpr("id AS doc_id", "concat('a', id, '@b.org') AS text"))
+    assert sum(c["n"] for c in seen) == 60000
