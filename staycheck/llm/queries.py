@@ -3,8 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staycheck.llm import bpe, chat, decontaminate, exact_dedup, language_id, pii, quality, secrets, simhash, substring_dedup
-from staycheck.llm.common import persisted, table
+from staycheck.llm import (bpe, chat, decontaminate, exact_dedup, fingerprint, language_id, pii, quality, secrets, simhash,
+                           substring_dedup)
+from staycheck.llm.common import doc_rows, persisted, table
 from staycheck.llm.spans import span_list
 
 
@@ -175,6 +176,43 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.expr(span_list("spans", "rank start")).alias("spans"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = doc_rows(table(spark, sf_dir, "documents"))
+    paired = fingerprint.with_next(rows, ["text", "nodes"], fingerprint.with_tree)
+    paired = paired.withColumn("n_chars", F.length("text").cast("long"))
+    edited = F.expr("concat(left(text, int(n_chars - n_chars div 3)), left(next.text, int(n_chars div 3)))")
+    paired = fingerprint.with_tree(paired.select("*", edited.alias("edited")), "edited", "edited_")
+    return paired.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                         F.col("root").alias("fingerprint"), F.col("edited_root").alias("edited_fingerprint"),
+                         fingerprint.likeness("nodes", "edited_nodes").alias("near_edited"),
+                         fingerprint.likeness("nodes", "next.nodes").alias("near_next"))
+
+
+def _tree_sql(text: str) -> str:
+    pieces = f"list_transform(regexp_extract_all(p, '{fingerprint.PIECE}'), lambda x: sha256(x))"
+    paragraphs = f"list_transform(regexp_extract_all(s, '{fingerprint.PARAGRAPH}'), lambda p: {pieces})"
+    return f"list_transform(regexp_extract_all({text}, '{fingerprint.SECTION}'), lambda s: {paragraphs})"
+
+
+_ROOT_SQL = ("sha256(array_to_string(list_transform({0}, lambda s: sha256(array_to_string(list_transform(s, "
+             "lambda p: sha256(array_to_string(p, ''))), ''))), ''))")
+_NODES_SQL = "list_distinct(list_transform(list_prepend({1}, flatten(flatten({0}))), lambda h: CAST('0x' || left(h, 15) AS BIGINT)))"
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, length(t) AS n, length(t) // 3 AS k,
+        coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS after FROM d),
+e AS (SELECT *, left(t, n - k) || left(after, k) AS edited FROM n),
+x AS (SELECT *, {_tree_sql("t")} AS a, {_tree_sql("edited")} AS b, {_tree_sql("after")} AS c FROM e),
+r AS (SELECT *, {_ROOT_SQL.format("a")} AS ra, {_ROOT_SQL.format("b")} AS rb, {_ROOT_SQL.format("c")} AS rc FROM x),
+s AS (SELECT *, {_NODES_SQL.format("a", "ra")} AS na, {_NODES_SQL.format("b", "rb")} AS nb,
+        {_NODES_SQL.format("c", "rc")} AS nc FROM r)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, ra AS fingerprint, rb AS edited_fingerprint,
+  2.0::DOUBLE * len(list_intersect(na, nb)) / (len(na) + len(nb)) AS near_edited,
+  2.0::DOUBLE * len(list_intersect(na, nc)) / (len(na) + len(nc)) AS near_next
+FROM s
+"""
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_bpe": op2_bpe,
@@ -186,10 +224,12 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_chat": op9_chat,
     "op10_pii": op10_pii,
+    "op11_fingerprints": op11_fingerprints,
 }
 ORACLES = {
     "op1_secrets": OP1_SQL,
     "op3_substring_dedup": OP3_SQL,
     "op4_exact_dedup": OP4_SQL,
     "op9_chat": OP9_SQL,
+    "op11_fingerprints": OP11_SQL,
 }
