@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staycheck.llm import (bpe, chat, decontaminate, exact_dedup, fingerprint, language_id, pii, quality, secrets, simhash,
-                           substring_dedup)
+from staycheck.llm import (bpe, chat, decontaminate, exact_dedup, fingerprint, language_id, periodic, pii, quality, secrets,
+                           simhash, substring_dedup, whitening)
 from staycheck.llm.common import doc_rows, persisted, table
 from staycheck.llm.spans import span_list
 
@@ -213,6 +213,36 @@ FROM s
 """
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that are null, not finite or, in 64ths, 9e15 and more (whole numbers no double holds exactly)
+    leave their vector out."""
+    x = "transform(embedding, c -> IF(abs(64 * cast(c AS double)) < 9e15D, floor(64 * cast(c AS double)) + 1000000, NULL))"
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.expr(x).alias("x"))
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """docs with, in one document of ten, the words from some place on replaced by a period of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("*", h.alias("h")).select(
+        "doc_id", "text", (F.col("h") / 10).cast("long").alias("g"),
+        F.expr(f"IF(h % 10 = 0, regexp_extract_all(text, r'{periodic.WORD}', 0), NULL)").alias("words"))
+    placed = chosen.select("doc_id", "text", "words", "g", F.expr("int(g % size(words))").alias("a"))
+    placed = placed.select("doc_id", "text", "words", "a", F.expr("int(1 + (size(words) - a) div (3 + g % 8))").alias("p"))
+    repeated = F.expr("array_join(transform(words, (w, i) -> IF(i >= a, words[a + (i - a) % p], w)), ' ')")
+    return placed.select("doc_id", F.when(F.size("words") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(with_repeats(table(spark, sf_dir, "documents")))
+    told = F.expr("array_join(transform(runs, x -> concat(x.start, ',', x.length, ',', x.period, '\n')), '')")
+    best = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), periodic.greatest().alias("best"),
+                        F.sha2(told.cast("binary"), 256).alias("runs_sha256"),
+                        F.sha2(F.col("kept_text").cast("binary"), 256).alias("collapsed_sha256"))
+    return best.select("doc_id", "n_runs", "best.start", "best.length", "best.period",
+                       F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_bpe": op2_bpe,
@@ -225,6 +255,8 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_pii": op10_pii,
     "op11_fingerprints": op11_fingerprints,
+    "op12_whitening": op12_whitening,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES = {
     "op1_secrets": OP1_SQL,
