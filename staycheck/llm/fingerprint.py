@@ -112,7 +112,7 @@ def _range_of(bounds: list[int]) -> Column:
 
 def with_next(rows: DataFrame, carried: list[str], derive: Callable[[DataFrame], DataFrame] = lambda df: df,
               range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """rows (doc_id, row_key, text and others) with a struct `next` of the carried columns of the row that
+    """rows (doc_id, row_key, text and others) with next_<column> for each carried column, of the row that
     follows in descending order of doc_id; the first follows the last. derive adds columns of a row itself,
     once for each row."""
     rows = rows.withColumn("place", F.coalesce("doc_id", F.lit(LOWEST)))
@@ -134,5 +134,5 @@ def with_next(rows: DataFrame, carried: list[str], derive: Callable[[DataFrame],
     heads = heads.withColumn("range", F.col("before")).withColumn("is_head", F.lit(True))
     every = derive(rows.withColumn("is_head", F.lit(False)).unionByName(heads.select(*rows.columns, "is_head")))
     order = Window.partitionBy("range").orderBy("is_head", F.desc("place"), F.desc("row_key"))
-    out = every.withColumn("next", F.lead(F.struct(*carried)).over(order))
+    out = every.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried})
     return out.where(~F.col("is_head")).drop("place", "range", "is_head")

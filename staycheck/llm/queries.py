@@ -180,12 +180,12 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = doc_rows(table(spark, sf_dir, "documents"))
     paired = fingerprint.with_next(rows, ["text", "nodes"], fingerprint.with_tree)
     paired = paired.withColumn("n_chars", F.length("text").cast("long"))
-    edited = F.expr("concat(left(text, int(n_chars - n_chars div 3)), left(next.text, int(n_chars div 3)))")
+    edited = F.expr("concat(left(text, int(n_chars - n_chars div 3)), left(next_text, int(n_chars div 3)))")
     paired = fingerprint.with_tree(paired.select("*", edited.alias("edited")), "edited", "edited_")
     return paired.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                          F.col("root").alias("fingerprint"), F.col("edited_root").alias("edited_fingerprint"),
                          fingerprint.likeness("nodes", "edited_nodes").alias("near_edited"),
-                         fingerprint.likeness("nodes", "next.nodes").alias("near_next"))
+                         fingerprint.likeness("nodes", "next_nodes").alias("near_next"))
 
 
 def _tree_sql(text: str) -> str:

@@ -55,10 +55,10 @@ def test_next_document_across_ranges(spark):
         got = fp.with_next(df, ["text"], range_bytes=range_bytes).collect()
         order = sorted(got, key=lambda r: (-1 if r["doc_id"] is None else r["doc_id"], r["row_key"]), reverse=True)
         assert len(order) == len(rows) - 1
-        assert [r["next"]["text"] for r in order] == [r["text"] for r in order[1:] + order[:1]]
+        assert [r["next_text"] for r in order] == [r["text"] for r in order[1:] + order[:1]]
     assert fp.with_next(doc_rows(spark.createDataFrame([], SCHEMA)), ["text"]).collect() == []
     alone = fp.with_next(doc_rows(spark.createDataFrame(rows[:1], SCHEMA)), ["text"]).first()
-    assert alone["next"]["text"] == alone["text"]
+    assert alone["next_text"] == alone["text"]
 
 
 def test_an_edit_is_located(spark):
