@@ -15,6 +15,7 @@ import array
 import base64
 import hashlib
 import heapq
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staycheck.llm.common import doc_rows
+from staycheck.llm.common import doc_rows, kept
 
 MEMORY = 200_000
 BATCH_BYTES = 4 << 20
@@ -169,27 +170,29 @@ class _Pieces(dict):
             self.clear()
 
 
-def _pieces(sent, known={}) -> _Pieces:
+def _pieces(sent) -> _Pieces:
     """One memory for each worker process and vocabulary, kept from task to task."""
-    if sent.value.key not in known:
-        known.clear()
-        known[sent.value.key] = _Pieces(sent.value)
-    return known[sent.value.key]
+    return kept(("bpe", sent.value.key), lambda: _Pieces(sent.value))
 
 
-def _encode(vocabulary, pattern: str):
+def _encode(vocabulary, pattern: str, decoded: bool):
+    """Batches of documents to ids, and to what the ids stand for: both in one worker, so that no second
+    one is needed and ids don't travel back to Python."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         pieces, split = _pieces(vocabulary), regex.compile(pattern).findall
+        tokens = vocabulary.value.tokens() if decoded else []
 
         def flush(ids, keys, parts):
             sizes = np.fromiter((len(p) // 4 for p in parts), np.int32, len(parts))
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(parts), np.int32), pa.int32())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "row_key", "ids"])
+            values = np.frombuffer(b"".join(parts), np.int32)
+            columns = [pa.array(ids, pa.int64()), pa.array(keys, pa.int64()),
+                       pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))]
+            if decoded:
+                columns.append(pa.array(list(_decoded(values, offsets.tolist(), tokens)), pa.binary()))
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "ids", "decoded"][:len(columns)])
 
         for batch in batches:
             held, ids, keys, parts = 0, [], [], []
@@ -206,10 +209,16 @@ def _encode(vocabulary, pattern: str):
                 pieces.age()
             if ids:
                 yield flush(ids, keys, parts)
+            pa.default_memory_pool().release_unused()
 
     return run
 
 
+def _decoded(ids: np.ndarray, bounds: list[int], tokens: list[bytes]) -> Iterator[bytes]:
+    for first, last in itertools.pairwise(bounds):
+        yield b"".join([tokens[i] for i in ids[first:last].tolist()])
+
+
 def _decode(vocabulary, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = vocabulary.value.tokens()
@@ -219,13 +228,13 @@ def _decode(vocabulary, names: list[str]):
             bounds = lists.offsets.to_pylist()
             at = 0
             while at < batch.num_rows:
-                to, texts, held = at, [], 0
+                to, held = at, 0
                 while to < batch.num_rows and held < BATCH_BYTES:
-                    texts.append(b"".join([tokens[i] for i in ids[bounds[to]:bounds[to + 1]].tolist()]))
-                    held += len(texts[-1])
+                    held += 4 * (bounds[to + 1] - bounds[to])
                     to += 1
                 rest = [batch.column(n).slice(at, to - at) for n in names]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(texts, pa.binary())], [*names, "decoded"])
+                texts = pa.array(list(_decoded(ids, bounds[at:to + 1], tokens)), pa.binary())
+                yield pa.RecordBatch.from_arrays([*rest, texts], [*names, "decoded"])
                 at = to
 
     return run
@@ -234,7 +243,14 @@ def _decode(vocabulary, names: list[str]):
 def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str) -> DataFrame:
     """doc_id, row_key, ids of the whole text, one row per row of docs."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    return doc_rows(docs).mapInArrow(_encode(sent, pattern), "doc_id long, row_key long, ids array<int>")
+    return doc_rows(docs).mapInArrow(_encode(sent, pattern, False), "doc_id long, row_key long, ids array<int>")
+
+
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, pattern: str) -> DataFrame:
+    """doc_id, row_key, ids and decoded (the bytes that these ids stand for), one row per row of docs."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    return doc_rows(docs).mapInArrow(_encode(sent, pattern, True),
+                                     "doc_id long, row_key long, ids array<int>, decoded binary")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:

@@ -26,9 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(owner: tuple, make, memory={}):
+    """What a worker process keeps from task to task, for one owner at a time: made where there is none, and
+    whatever another owner had kept is given up."""
+    if owner not in memory:
+        memory.clear()
+        memory[owner] = make()
+    return memory[owner]
+
+
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows, fewer at a time, so that what a worker makes of them stays small; memory that a
-    batch needed goes back before the next one."""
+    batch needed goes back before the next one. Nothing else is kept meanwhile."""
+    kept((), lambda: None)
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
             yield batch.slice(at, SLICE_ROWS)

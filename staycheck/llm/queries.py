@@ -59,10 +59,9 @@ def vocabulary() -> tuple[bpe.Vocabulary, str]:
 
 
 def round_trip(docs: DataFrame, ranks: bpe.Vocabulary, pattern: str) -> DataFrame:
-    encoded = bpe.encode(docs, ranks, pattern).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest().alias("ids_sha256"), "ids")
-    return bpe.decode(encoded, ranks).select("doc_id", "n_tokens", "ids_sha256",
-                                             F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, ranks, pattern).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest().alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

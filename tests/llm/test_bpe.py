@@ -50,4 +50,6 @@ def test_odd_texts(spark, library, vocabulary):
         assert got[i] == library.encode_ordinary(t or ""), repr(t)[:40]
     back = {r.doc_id: bytes(r.decoded) for r in bpe.decode(out, vocabulary).collect()}
     assert all(back[i] == (t or "").encode() for i, t in enumerate(texts))
+    both = bpe.round_trip(df, vocabulary, public_tokenizers.PATTERN).where("doc_id is not null").collect()
+    assert [(r.ids, bytes(r.decoded)) for r in sorted(both)] == [(got[i], (t or "").encode()) for i, t in enumerate(texts)]
     assert out.count() == len(texts) + 2 and bpe.encode(df.limit(0), vocabulary, public_tokenizers.PATTERN).count() == 0
