@@ -489,21 +489,6 @@ view("v_kind_labels", f"""
 SELECT *, trim(regexp_replace(regexp_replace(lower(trim(label)), '[^0-9a-z ]+', '', 'g'), ' +', ' ', 'g')) AS alias_key
 FROM (SELECT custkey, coalesce(({lit(TWO_KIND_LABELS)})[custkey % 35 + 1], label) AS label FROM v_labels)""")
 
-view("v_unmatched", "SELECT * FROM v_labels WHERE alias_key NOT IN (SELECT alias_key FROM v_alias)")
-
-# every label against every alias
-view("v_shortlist", """
-SELECT label, rank, alias, code, score, left_out FROM (
-  SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, alias, code) AS rank,
-    greatest(count(*) OVER (PARTITION BY label) - 5, 0) AS left_out
-  FROM (SELECT * FROM (SELECT label, a.code, a.alias_key AS alias,
-      1.0 - CAST(levenshtein(u.alias_key, a.alias_key) AS DOUBLE)
-        / greatest(length(u.alias_key), length(a.alias_key)) AS score
-    FROM (SELECT DISTINCT label, alias_key FROM v_unmatched WHERE alias_key <> '') u, v_alias a)
-    WHERE score >= 0.6
-    QUALIFY alias = first_value(alias) OVER (PARTITION BY label, code ORDER BY score DESC, alias)))
-WHERE rank <= 5""")
-
 view("v_moved_labels", """
 SELECT DISTINCT label,
   trim(regexp_replace(regexp_replace(lower(trim(label)), '[^0-9a-z ]+', '', 'g'), ' +', ' ', 'g')) AS alias_key
@@ -512,17 +497,36 @@ FROM (SELECT CASE WHEN custkey % 4 = 0 AND last <> '' THEN last || ' ' || regexp
     WHEN custkey % 24 = 3 THEN 'Arabia' WHEN custkey % 24 = 7 THEN 'Republic of Korea' ELSE label END AS label
   FROM (SELECT custkey, label, trim(label) AS name, regexp_extract(trim(label), ' ([^ ]+)$', 1) AS last FROM v_labels))""")
 
-# every label against every alias, words as they stand and words in order
-view("v_shortlist_any_order", """
+view("v_asked", """
+SELECT label, alias_key AS k FROM (SELECT label, alias_key FROM v_labels UNION SELECT label, alias_key FROM v_moved_labels)
+WHERE alias_key <> '' AND alias_key NOT IN (SELECT alias_key FROM v_alias)""")
+
+# matching-block ratio of every label to every alias: the longest block two texts share (the first of them in
+# the one, then in the other), and again what lies before it on both sides and what lies after it
+_block = """list_max(flatten(list_transform(range(1, length(x) + 1), lambda i: list_transform(list_filter(
+  range(1, length(x) - i + 2), lambda z: contains(y, substring(x, i, z))), lambda z: {'z': z, 'i': -i}))))"""
+view("v_ratio", f"""
+SELECT k, alias, 2.0::DOUBLE * sum(n) / (length(k) + length(alias)) AS score FROM (
+  WITH RECURSIVE todo AS (
+    SELECT k, alias_key AS alias, k AS x, alias_key AS y, 0 AS n FROM (SELECT DISTINCT k FROM v_asked), v_alias
+    GROUP BY ALL
+    UNION ALL
+    SELECT k, alias, part.x, part.y, part.n FROM (
+      SELECT k, alias, unnest([
+        {{'x': left(x, i - 1), 'y': left(y, j - 1), 'n': z}}, {{'x': substring(x, i + z), 'y': substring(y, j + z), 'n': 0}}]) AS part
+      FROM (SELECT *, instr(y, substring(x, i, z)) AS j FROM (
+        SELECT k, alias, x, y, -m.i AS i, m.z AS z FROM (SELECT *, {_block} AS m FROM todo WHERE x <> '' AND y <> ''))
+        WHERE z IS NOT NULL))
+    WHERE part.n > 0 OR (part.x <> '' AND part.y <> ''))
+  SELECT * FROM todo) GROUP BY k, alias""")
+
+view("v_shortlist", """
 SELECT label, rank, alias, code, score, left_out FROM (
   SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, alias, code) AS rank,
     greatest(count(*) OVER (PARTITION BY label) - 5, 0) AS left_out
-  FROM (SELECT * FROM (SELECT label, code, alias, 1.0 - CAST(least(levenshtein(k, alias), levenshtein(
-        array_to_string(list_sort(string_split(k, ' ')), ' '), array_to_string(list_sort(string_split(alias, ' ')), ' ')))
-        AS DOUBLE) / greatest(length(k), length(alias)) AS score
-      FROM (SELECT u.label, u.alias_key AS k, a.code, a.alias_key AS alias FROM v_moved_labels u, v_alias a
-        WHERE u.alias_key <> '' AND u.alias_key NOT IN (SELECT alias_key FROM v_alias)))
-    WHERE score >= CAST(3 AS DOUBLE) / 7
+  FROM (SELECT * FROM (SELECT u.label, a.code, r.alias, r.score
+      FROM v_asked u JOIN v_ratio r USING (k) JOIN v_alias a ON a.alias_key = r.alias)
+    WHERE score >= 0.6::DOUBLE
     QUALIFY alias = first_value(alias) OVER (PARTITION BY label, code ORDER BY score DESC, alias)))
 WHERE rank <= 5""")
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from staycheck import values
 from staycheck.catalog.registry import query
+from staycheck.functions.text import normalise_key
 from staycheck.operators import checks, intake, labels
 from staycheck.operators import reports as rp
 from staycheck.plans import adapters as a
@@ -136,7 +137,6 @@ def _(spark, sf):
 
 @query("sc_01_normalise_key", "SELECT custkey, alias_key FROM v_labels")
 def _(spark, sf):
-    from staycheck.functions.text import normalise_key
     return a.customer_labels(spark, sf).select(
         "custkey", normalise_key(F.col("label")).alias("alias_key"))
 
@@ -193,24 +193,6 @@ def _(spark, sf):
 
 
 @query("jn_01_kinds", """
-WITH t AS (SELECT * FROM (VALUES ('HU'), ('CO'), ('Block'), ('hu '), ('Comp.'), ('AE'), ('nowhere')) v(label)),
-k AS (SELECT custkey, t.label, trim(regexp_replace(regexp_replace(lower(trim(t.label)), '[^0-9a-z ]+', '', 'g'),
-  ' +', ' ', 'g')) AS alias_key FROM v_labels, t WHERE custkey % 7 = 0)
-SELECT custkey, label, country, rate FROM k
-LEFT JOIN (SELECT alias_key, min(code) AS country FROM v_kinds WHERE kind = 'country' GROUP BY 1
-  HAVING count(DISTINCT code) = 1) USING (alias_key)
-LEFT JOIN (SELECT alias_key, min(code) AS rate FROM v_kinds WHERE kind = 'rate code' GROUP BY 1
-  HAVING count(DISTINCT code) = 1) USING (alias_key)""")
-def _(spark, sf):
-    """Labels that mean one thing as a country and another as a rate code."""
-    index = labels.alias_index(labels.committed_labels(spark))
-    said = F.explode(F.array(*[F.lit(x) for x in ("HU", "CO", "Block", "hu ", "Comp.", "AE", "nowhere")]))
-    df = a.customer_labels(spark, sf).filter("custkey % 7 = 0").select("custkey", said.alias("label"))
-    df = labels.normalise_labels(df, "label", index, "country", "country").drop("alias_key")
-    return labels.normalise_labels(df, "label", index, "rate", "rate code").drop("alias_key")
-
-
-@query("jn_01_kinds_all", """
 SELECT custkey, label, country, rate FROM v_kind_labels
 LEFT JOIN (SELECT alias_key, min(code) AS country FROM v_kinds WHERE kind = 'country' GROUP BY 1
   HAVING count(DISTINCT code) = 1) USING (alias_key)
@@ -225,40 +207,26 @@ def _(spark, sf):
 
 @query("sc_09_similarity", """
 WITH n AS (SELECT code, alias_key AS name FROM v_alias QUALIFY row_number() OVER (
-  PARTITION BY code ORDER BY length(alias_key) DESC, alias_key DESC) = 1),
-k AS (SELECT DISTINCT label, alias_key FROM v_unmatched)
-SELECT label, code, 1.0 - CAST(levenshtein(alias_key, name) AS DOUBLE)
-  / greatest(length(alias_key), length(name)) AS similarity
-FROM v_shortlist JOIN k USING (label) JOIN n USING (code)""")
+  PARTITION BY code ORDER BY length(alias_key) DESC, alias_key DESC) = 1)
+SELECT label, code, r.score AS similarity
+FROM v_shortlist JOIN v_asked USING (label) JOIN n USING (code) JOIN v_ratio r ON r.k = v_asked.k AND r.alias = n.name""")
 def _(spark, sf):
     """How close each unmatched label is to the longest alias of every code it is offered."""
     names = labels.official_names(_countries(spark)).select("code", "name")
-    from staycheck.functions.text import normalise_key
     return _shortlist(spark, sf).join(names, "code").select(
-        "label", "code", labels.edit_similarity(normalise_key(F.col("label")), F.col("name"))
-        .alias("similarity"))
+        "label", "code", labels.matching_ratio(normalise_key(F.col("label")), F.col("name")).alias("similarity"))
 
 
 @query("jn_20_candidates", """SELECT * FROM v_shortlist""")
 def _(spark, sf):
+    """Labels as they come and with words left out or moved."""
     return _shortlist(spark, sf)
 
 
-def _unmatched(spark, sf):
-    df = labels.normalise_labels(a.customer_labels(spark, sf), "label", _countries(spark), "code")
-    return df.filter("code is null")
-
-
 def _shortlist(spark, sf):
-    return labels.candidates(_unmatched(spark, sf), "label", _countries(spark))
-
-
-@query("jn_20_candidates_any_order", """SELECT * FROM v_shortlist_any_order""")
-def _(spark, sf):
-    """Labels with words left out or moved, too."""
-    df = labels.normalise_labels(a.moved_labels(spark, sf), "label", _countries(spark), "code")
-    return labels.candidates(df.filter("code is null"), "label", _countries(spark),
-                             floor=values.MIN_WORD_SIMILARITY, any_order=True)
+    said = a.customer_labels(spark, sf).select("label").union(a.moved_labels(spark, sf).select("label"))
+    unmatched = labels.normalise_labels(said, "label", _countries(spark), "code").filter("code is null")
+    return labels.candidates(unmatched, "label", _countries(spark))
 
 
 @query("fl_02_best_candidate", """SELECT * FROM v_shortlist WHERE rank = 1""")
