@@ -115,43 +115,58 @@ view("v_rules", rows(
     "ruleset_id, ord, applies_to, status_in, rate_in, denominator, occ_month_basis, "
     "exclude_out_of_order, day_use_counts_room_nights, counts, include_children, nat_month_basis"))
 
-# every reservation against every period it touches, straight from the definitions
+# every reservation in every period it touches; stays are shorter than a month, so they touch those of their
+# first and last day
 view("v_touch", """
-SELECT r.*, p.period, p.kind, p.first_day, p.last_day,
+SELECT r.*, p.kind, p.first_day, p.last_day,
   greatest(0, CAST(least(r.departure_date, p.last_day + 1) - greatest(r.arrival_date, p.first_day)
     AS INTEGER)) AS nights_in,
   r.arrival_date BETWEEN p.first_day AND p.last_day AS arrives,
   r.departure_date BETWEEN p.first_day AND p.last_day AS departs
-FROM v_res r JOIN v_periods p
-  ON r.arrival_date <= p.last_day AND r.departure_date >= p.first_day""")
+FROM (SELECT *, unnest(list_distinct([strftime(arrival_date, '%Y-%m'), strftime(departure_date, '%Y-%m'),
+    year(arrival_date) || '-Q' || quarter(arrival_date), year(departure_date) || '-Q' || quarter(departure_date),
+    CAST(year(arrival_date) AS VARCHAR), CAST(year(departure_date) AS VARCHAR)])) AS period FROM v_res) r
+JOIN v_periods p USING (period)""")
+
+view("v_soldsum", """
+SELECT submission_id, period, status, rate_code, count(*) AS touched,
+  sum(CASE WHEN nights = 0 AND arrives THEN rooms ELSE 0 END) AS day_use,
+  sum(CASE WHEN nights > 0 THEN rooms * nights_in ELSE 0 END) AS occupied,
+  sum(CASE WHEN nights > 0 AND arrives THEN room_nights ELSE 0 END) AS arriving,
+  sum(CASE WHEN nights > 0 AND departs THEN room_nights ELSE 0 END) AS departing
+FROM v_touch GROUP BY ALL""")
 
 view("v_sold", """
-SELECT t.submission_id, t.period, q.ruleset_id, count(*) AS touched,
-  CAST(sum(CASE
-    WHEN nights = 0 THEN CASE WHEN q.day_use_counts_room_nights AND arrives THEN rooms ELSE 0 END
-    WHEN q.occ_month_basis = 'occupied_night' THEN rooms * nights_in
-    WHEN q.occ_month_basis = 'arrival_month' THEN CASE WHEN arrives THEN room_nights ELSE 0 END
-    ELSE CASE WHEN departs THEN room_nights ELSE 0 END END) AS BIGINT) AS sold
-FROM v_touch t JOIN v_rules q
+SELECT t.submission_id, t.period, q.ruleset_id, CAST(sum(touched) AS BIGINT) AS touched,
+  CAST(sum(CASE WHEN q.day_use_counts_room_nights THEN day_use ELSE 0 END + CASE q.occ_month_basis
+    WHEN 'occupied_night' THEN occupied WHEN 'arrival_month' THEN arriving ELSE departing END) AS BIGINT) AS sold
+FROM v_soldsum t JOIN v_rules q
   ON list_contains(q.status_in, t.status) AND list_contains(q.rate_in, t.rate_code)
 GROUP BY ALL""")
 
+view("v_guestsum", """
+SELECT submission_id, period, nationality_iso2, status, rate_code, arrives, departs,
+  nights_in > 0 OR (nights = 0 AND arrives) AS present, count(*) AS stays, sum(room_nights) AS room_nights,
+  sum(adults) AS adults, sum(children) AS children
+FROM v_touch GROUP BY ALL""")
+
 view("v_guests", """
 SELECT t.submission_id, t.period, t.nationality_iso2, q.ruleset_id,
-  CAST(sum(CASE q.counts WHEN 'arrivals' THEN 1 WHEN 'room_nights' THEN room_nights
+  CAST(sum(CASE q.counts WHEN 'arrivals' THEN stays WHEN 'room_nights' THEN room_nights
     ELSE adults + CASE WHEN q.include_children THEN children ELSE 0 END END) AS BIGINT) AS guests
-FROM v_touch t JOIN v_rules q
+FROM v_guestsum t JOIN v_rules q
   ON list_contains(q.status_in, t.status) AND list_contains(q.rate_in, t.rate_code)
 WHERE CASE q.nat_month_basis WHEN 'arrival_month' THEN arrives WHEN 'departure_month' THEN departs
-  ELSE nights_in > 0 OR (nights = 0 AND arrives) END
+  ELSE present END
 GROUP BY ALL""")
 
 view("v_invp", """
-SELECT i.submission_id, p.period, count(*) AS days,
+SELECT submission_id, period, count(*) AS days,
   CAST(sum(rooms_total - rooms_out_of_order) AS BIGINT) AS net,
   CAST(sum(rooms_total) AS BIGINT) AS gross,
   max(rooms_total - rooms_out_of_order) AS max_net, max(rooms_total) AS max_gross
-FROM v_inv i JOIN v_periods p ON i.day BETWEEN p.first_day AND p.last_day GROUP BY ALL""")
+FROM (SELECT *, unnest([strftime(day, '%Y-%m'), year(day) || '-Q' || quarter(day), CAST(year(day) AS VARCHAR)]) AS period
+  FROM v_inv) GROUP BY ALL""")
 
 # value per submission, key and ruleset; nv says why there is none
 view("v_values", """
@@ -321,9 +336,8 @@ FROM v_allfind WHERE severity <> 'informational'""")
 # report rows behind each finding
 view("v_rowper", """
 SELECT DISTINCT r.submission_id, r.nationality_iso2, r.status, r.rate_code, r.file, r.page,
-  r.row_no, r.reservation_id, p.period
-FROM v_rows r JOIN v_periods p
-  ON r.arrival_date <= p.last_day AND r.departure_date >= p.first_day""")
+  r.row_no, r.reservation_id, t.period
+FROM v_rows r JOIN v_touch t USING (submission_id, order_no)""")
 
 view("v_cited", """
 SELECT f.submission_id, f.metric_key, 'pdf' AS source_kind, r.file, r.page, r.row_no

@@ -283,10 +283,11 @@ def _(spark, sf):
 
 @query("jn_29_cell_neighbourhood", """
 WITH f AS (SELECT c.submission_id, c.metric_key, c.sheet, c.row, c.col FROM v_claims c
-  JOIN v_find USING (submission_id, metric_key))
-SELECT f.submission_id, f.metric_key, c.cell AS near, CAST(c.value AS DOUBLE) AS value
-FROM f JOIN v_claims c ON c.submission_id = f.submission_id AND c.sheet = f.sheet
-  AND abs(c.row - f.row) <= 3 AND abs(c.col - f.col) <= 3""")
+  JOIN v_find USING (submission_id, metric_key)),
+near AS (SELECT submission_id, metric_key, sheet, row, unnest(generate_series(col - 3, col + 3)) AS col
+  FROM (SELECT submission_id, metric_key, sheet, unnest(generate_series(row - 3, row + 3)) AS row, col FROM f))
+SELECT n.submission_id, n.metric_key, c.cell AS near, CAST(c.value AS DOUBLE) AS value
+FROM near n JOIN v_claims c USING (submission_id, sheet, row, col)""")
 def _(spark, sf):
     cells = a.claims(values(spark, sf)).select(
         "submission_id", "sheet", "row", "col", F.col("cell").alias("near"), num("value"))
