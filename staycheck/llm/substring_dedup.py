@@ -1,8 +1,9 @@
 """Substring dedup: Rabin-Karp hashes of every window of 20 words, counted per hash bucket in Spark.
 
 1. Each input task hashes the windows of its documents. Of a window that repeats inside the task only
-   the first is sent on, the others are already known to repeat; so a passage that a third of all
-   documents hold costs one entry for each task. Entries travel packed, one row for each task and bucket.
+   the first is sent to its bucket of hashes; the others are already known to repeat and go straight to
+   their group of documents. So a passage that a third of all documents hold costs its bucket one entry for
+   each task. Entries travel packed, one row for each task and bucket or group.
 2. Each bucket is sorted by hash; every window but the first (by doc_id, then start) is marked.
 3. Marks meet their documents by groups of documents, overlapping windows merge into maximal
    intervals, and the remaining words are joined.
@@ -158,9 +159,10 @@ def group_of(ids: np.ndarray, tags: np.ndarray, groups: int) -> np.ndarray:
     return (mixed(ids.view(np.uint64) ^ (tags.astype(np.uint64) << np.uint64(48))) % np.uint64(groups)).astype(np.int32)
 
 
-def _hash_windows(window: int, bits: int):
-    """Batches of documents to packed rows: kind 0 holds the first windows of this task's documents,
-    kind 1 those that repeat among them."""
+def _hash_windows(window: int, bits: int, groups: int):
+    """Batches of documents to packed rows: by bucket (0 and more) the first windows of this task's
+    documents, with hashes; those that repeat among them need none and go to their group of documents, as
+    bucket -1 - group."""
     low = np.uint64(64 - bits)
 
     def emit(ids, tags, parts):
@@ -177,16 +179,17 @@ def _hash_windows(window: int, bits: int):
         again[by_hash[1:]] = hashes[by_hash[1:]] == hashes[by_hash[:-1]]
         buckets = (hashes >> low).astype(np.uint32)
         rows = []
-        for kind, chosen in ((0, np.flatnonzero(~again)), (1, np.flatnonzero(again))):
-            chosen = chosen[np.argsort(buckets[chosen], kind="stable")]
-            names, at = np.unique(buckets[chosen], return_index=True)
-            for name, part in zip(names.tolist(), np.split(chosen, at[1:])):
-                docs, first, counts = np.unique(texts[part], return_index=True, return_counts=True)
-                begins = steps(starts[part])
-                begins[first] = starts[part][first]
-                arrays = [steps(ids[docs]), tags[docs], counts.astype(np.uint32), begins.astype(np.uint32)]
-                sent = hashes[part].view(np.uint8).reshape(-1, 8)[:, :7].tobytes() if kind == 0 else b""
-                rows.append((name, kind, pack(*arrays), sent))
+        first = np.flatnonzero(~again)
+        first = first[np.argsort(buckets[first], kind="stable")]
+        names, at = np.unique(buckets[first], return_index=True)
+        for name, part in zip(names.tolist(), np.split(first, at[1:])):
+            docs, begin, counts = np.unique(texts[part], return_index=True, return_counts=True)
+            begins = steps(starts[part])
+            begins[begin] = starts[part][begin]
+            arrays = [steps(ids[docs]), tags[docs], counts.astype(np.uint32), begins.astype(np.uint32)]
+            rows.append((name, pack(*arrays), hashes[part].view(np.uint8).reshape(-1, 8)[:, :7].tobytes()))
+        known = np.flatnonzero(again)
+        rows += [(-1 - name, marks, b"") for name, marks in _by_group(ids[texts[known]], tags[texts[known]], starts[known], groups)]
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,9 +200,8 @@ def _hash_windows(window: int, bits: int):
             rows = emit(np.concatenate(ids), np.concatenate(tags), parts)
             for at in range(0, len(rows), 64):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows[at:at + 64]),
-                                                    (pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
-                    ["bucket", "kind", "docs", "hashes"])
+                    [pa.array(c, t) for c, t in zip(zip(*rows[at:at + 64]), (pa.int32(), pa.binary(), pa.binary()))],
+                    ["bucket", "docs", "hashes"])
 
         for own, keys, data, bounds in _buffers(batches):
             hashes, texts, starts = window_hashes(data, bounds, rollers, window)
@@ -233,43 +235,44 @@ def _spread(docs: bytes):
     return np.repeat(np.cumsum(ids), counts), np.repeat(tags, counts), total - base
 
 
+def _by_group(ids: np.ndarray, tags: np.ndarray, starts: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
+    """Marked windows packed by group of documents."""
+    group = group_of(ids, tags, groups)
+    order = np.lexsort((starts, tags, ids, group))
+    names, at = np.unique(group[order], return_index=True)
+    for name, part in zip(names.tolist(), np.split(order, at[1:])):
+        if len(part):
+            yield name, pack(steps(ids[part]), tags[part], steps(starts[part]).astype(np.int32))
+
+
 def _mark(groups: int):
-    """One bucket's rows to the windows that have an earlier one, packed by group of documents."""
+    """One bucket's rows to the windows that have an earlier one, packed by group of documents. What has
+    come for a group passes through."""
     def run(key, table):
-        marked, first = [], []
-        for kind, docs, sent in zip(table.column("kind").to_pylist(), table.column("docs").to_pylist(),
-                                    table.column("hashes").to_pylist()):
+        if key[0].as_py() < 0:
+            names = np.full(table.num_rows, -1 - key[0].as_py(), np.int32)
+            return pa.table({"part": pa.array(names), "marks": table.column("docs")})
+        first = []
+        for docs, sent in zip(table.column("docs").to_pylist(), table.column("hashes").to_pylist()):
             ids, tags, starts = _spread(docs)
-            if kind:
-                marked.append((ids, tags, starts))
-                continue
             hashes = np.zeros((len(ids), 8), np.uint8)
             hashes[:, :7] = np.frombuffer(sent, np.uint8).reshape(-1, 7)
             first.append((hashes.reshape(-1).view(np.uint64), ids, tags, starts))
-        if first:
-            hashes, ids, tags, starts = (np.concatenate(x) for x in zip(*first))
-            order = np.argsort(hashes)
-            same = hashes[order[1:]] == hashes[order[:-1]]
-            some = np.zeros(len(order), bool)
-            some[1:] |= same
-            some[:-1] |= same
-            order = order[some]
-            order = order[np.lexsort((starts[order], tags[order], ids[order], hashes[order]))]
-            hashes, ids, tags, starts = hashes[order], ids[order], tags[order], starts[order]
-            if len(order):
-                new = np.concatenate(([True], hashes[1:] != hashes[:-1]))
-                least = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-                later = (ids != ids[least]) | (tags != tags[least]) | (starts != starts[least])
-                marked.append((ids[later], tags[later], starts[later]))
-        rows = []
-        if marked:
-            ids, tags, starts = (np.concatenate(x) for x in zip(*marked))
-            group = group_of(ids, tags, groups)
-            order = np.lexsort((starts, tags, ids, group))
-            names, at = np.unique(group[order], return_index=True)
-            for name, part in zip(names.tolist(), np.split(order, at[1:])):
-                if len(part):
-                    rows.append((name, pack(steps(ids[part]), tags[part], steps(starts[part]).astype(np.int32))))
+        hashes, ids, tags, starts = (np.concatenate(x) for x in zip(*first))
+        order = np.argsort(hashes)
+        same = hashes[order[1:]] == hashes[order[:-1]]
+        some = np.zeros(len(order), bool)
+        some[1:] |= same
+        some[:-1] |= same
+        order = order[some]
+        order = order[np.lexsort((starts[order], tags[order], ids[order], hashes[order]))]
+        hashes, ids, tags, starts = hashes[order], ids[order], tags[order], starts[order]
+        rows: list[tuple[int, bytes]] = []
+        if len(order):
+            new = np.concatenate(([True], hashes[1:] != hashes[:-1]))
+            least = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+            later = (ids != ids[least]) | (tags != tags[least]) | (starts != starts[least])
+            rows = list(_by_group(ids[later], tags[later], starts[later], groups))
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()),
                          "marks": pa.array([r[1] for r in rows], pa.binary())})
 
@@ -350,7 +353,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, bucket_windows: int =
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(8, (size // 6 // bucket_windows).bit_length())
     groups = 1 + size // group_bytes
-    hashed = rows.mapInArrow(_hash_windows(window, bits), "bucket int, kind int, docs binary, hashes binary")
+    hashed = rows.mapInArrow(_hash_windows(window, bits, groups), "bucket int, docs binary, hashes binary")
     marks = hashed.groupBy("bucket").applyInArrow(_mark(groups), "part int, marks binary")
     texts = rows.mapInArrow(_group_texts(groups), "part int, docs binary, texts binary")
     schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n_words", pa.int64()),

@@ -1,7 +1,9 @@
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from staycheck.llm import substring_dedup as sd
@@ -54,3 +56,21 @@ def test_long_text_and_packing(spark):
     assert (got.n_words, len(got.removed), got.removed[-1]["last"]) == (30040, 1, 30040)
     arrays = [np.array([5, -3, 1 << 40]), np.array([], np.uint16), np.array([7], np.uint32)]
     assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays, sd.unpack(sd.pack(*arrays))))
+
+
+def test_a_passage_in_a_third_of_all_documents_costs_its_bucket_one_entry():
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [f"own{i} " * 5 + passage if i % 3 == 0 else " ".join(f"w{i}x{k}" for k in range(45)) for i in range(900)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(900), pa.int64()), pa.array(range(900), pa.int64()), pa.array(texts)],
+                                       ["doc_id", "row_key", "text"])
+    by_bucket, by_group = Counter(), Counter()
+    for out in sd._hash_windows(20, 8, 16)(iter([batch])):
+        for bucket, docs in zip(out.column("bucket").to_pylist(), out.column("docs").to_pylist()):
+            if bucket >= 0:
+                by_bucket[bucket] += len(sd._spread(docs)[0])
+            else:
+                by_group[bucket] += len(sd.unpack(docs)[0])
+    whole = sum(max(0, len(t.split()) - 19) for t in texts)
+    assert sum(by_bucket.values()) + sum(by_group.values()) == whole and sum(by_group.values()) > 299 * 21
+    assert max(by_bucket.values()) < 3 * sum(by_bucket.values()) / len(by_bucket)
+    assert max(by_group.values()) < 3 * sum(by_group.values()) / len(by_group)
