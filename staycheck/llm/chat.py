@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from staycheck.llm.spans import bound, placed
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -47,12 +49,15 @@ def fold(log: DataFrame) -> DataFrame:
     conversation."""
     event = F.struct("seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     told = log.groupBy("conv_id", "message").agg(F.array_sort(F.collect_list(event)).alias("told"))
-    resets = F.transform("told", lambda e, i: F.when(e["kind"].isin("edit", "regenerate"), i).otherwise(-1))
-    told = told.withColumn("since", F.array_max(resets))
-    kept = F.filter("told", lambda e, i: (i >= F.col("since")) & e["kind"].isin("delta", "edit"))
+    since = "array_max(transform(es, (e, i) -> IF(e.kind IN ('edit', 'regenerate'), i, -1)))"
+    kept = bound(since, "since", "transform(filter(es, (e, i) -> i >= since AND e.kind IN ('delta', 'edit')), e -> e.text)")
     starts = F.filter("told", lambda e: e["kind"] == "start")
     return told.select("conv_id", "message", F.coalesce(F.get(starts, F.lit(0))["role"], F.lit("")).alias("role"),
-                       F.array_join(F.transform(kept, lambda e: e["text"]), "").alias("text"))
+                       F.array_join(F.expr(bound("told", "es", kept)), "").alias("text"))
+
+
+SPAN = "struct<start: bigint, end: bigint>"
+TURN = "struct<start: bigint, role: string, text: string>"
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -61,28 +66,31 @@ def render(messages: DataFrame) -> DataFrame:
         "message", F.url_encode("role").alias("role"), escaped(F.col("text")).alias("text")).alias("m"))
     whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("ms"))
     line = F.transform("ms", lambda m: F.concat(F.lit(START), m["role"], F.lit("\n"), m["text"], F.lit(END + "\n")))
-    zero = "named_struct('at', 0L, 'mask', cast(array() AS array<struct<start: bigint, end: bigint>>))"
-    begin = f"s.at + {len(START) + 1} + length(m.role)"
-    mask = (f"aggregate(ms, {zero}, (s, m) -> named_struct('at', {begin} + length(m.text) + {len(END) + 1}, 'mask', "
-            f"IF(m.role = 'assistant', concat(s.mask, array(named_struct('start', {begin}, 'end', {begin} + length(m.text)))), "
-            "s.mask)), s -> s.mask)")
-    return whole.select("conv_id", F.array_join(line, "").alias("formatted"), F.expr(mask).alias("mask"))
+    begin = f"at + {len(START) + 1} + length(x.role)"
+    spans = placed("ms", f"{len(START) + len(END) + 2} + length(x.role) + length(x.text)",
+                   f"named_struct('role', x.role, 'start', {begin}, 'end', {begin} + length(x.text))",
+                   "struct<role: string, start: bigint, end: bigint>")
+    mask = f"transform(filter({spans}, x -> x.role = 'assistant'), x -> named_struct('start', x.start, 'end', x.end))"
+    return whole.select("conv_id", F.array_join(line, "").alias("formatted"), F.expr(f"cast({mask} AS array<{SPAN}>)").alias("mask"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, formatted, turns (array of start, role, text, under_mask), from formatted and mask alone."""
-    parts = f"slice(split(formatted, r'<\\|im_start\\|>'), 2, 1000000000)"
+    """conv_id, formatted, turns (array of start, role, text, under_mask), from formatted and mask alone.
+
+    Marks of the mask and turns are sorted together by place: a turn is under the mask if a mark stands
+    right before it."""
+    parts = "slice(split(formatted, r'<\\|im_start\\|>'), 2, 1000000000)"
     text = f"substring(p, length(substring_index(p, '\\n', 1)) + 2, length(p) - length(substring_index(p, '\\n', 1)) - {len(END) + 2})"
-    cut = formatted.select("conv_id", "formatted", F.transform("mask", lambda x: x["start"]).alias("masked"), F.expr(
-        f"transform({parts}, p -> named_struct('role', substring_index(p, '\\n', 1), 'text', {text}))").alias("parts"))
-    begin = f"s.at + {len(START) + 1} + length(p.role)"
-    placed = cut.select("conv_id", "formatted", "masked", F.expr(
-        "aggregate(parts, named_struct('at', 0L, 'out', cast(array() AS array<struct<start: bigint, role: string, text: string>>)), "
-        f"(s, p) -> named_struct('at', {begin} + length(p.text) + {len(END) + 1}, 'out', "
-        f"concat(s.out, array(named_struct('start', {begin}, 'role', p.role, 'text', p.text)))), s -> s.out)").alias("placed"))
-    return placed.select("conv_id", "formatted", F.transform("placed", lambda p: F.struct(
+    turns = placed(f"transform({parts}, p -> named_struct('role', substring_index(p, '\\n', 1), 'text', {text}))",
+                   f"{len(START) + len(END) + 2} + length(x.role) + length(x.text)",
+                   f"named_struct('start', at + {len(START) + 1} + length(x.role), 'role', x.role, 'text', x.text)", TURN)
+    both = (f"array_sort(concat(transform(mask, k -> struct(k.start, 0 AS is_turn, '' AS role, '' AS text)), "
+            f"transform({turns}, t -> struct(t.start, 1 AS is_turn, t.role, t.text))))")
+    told = ("filter(transform(all, (x, i) -> struct(x.start, x.is_turn, x.role, x.text, coalesce(get(all, i - 1).is_turn = 0 "
+            "AND get(all, i - 1).start = x.start, false) AS under_mask)), x -> x.is_turn = 1)")
+    return formatted.select("conv_id", "formatted", F.transform(F.expr(bound(both, "all", told)), lambda p: F.struct(
         p["start"].alias("start"), F.url_decode(p["role"]).alias("role"), unescaped(p["text"]).alias("text"),
-        F.array_contains("masked", p["start"]).alias("under_mask"))).alias("turns"))
+        p["under_mask"].alias("under_mask"))).alias("turns"))
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:

@@ -1,4 +1,7 @@
 import hashlib
+import time
+
+from pyspark.sql import functions as F
 
 from staycheck.llm import chat
 from staycheck.llm.queries import CONTROL_TEXT, op9_chat
@@ -48,3 +51,25 @@ def test_fold_and_render(spark):
     assert [(t.role, t.text, t.under_mask) for t in back.turns] == [
         ("user", "hello", False), ("assistant", "good", True), ("user", "newer", False), ("", "?", False)]
     assert chat.render(chat.fold(df.limit(0))).count() == 0
+
+
+def test_many_turns_in_one_conversation_without_a_table_between(spark):
+    n = 60_000
+    rows = spark.range(n).select(
+        F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.expr("IF(id % 2 = 0, 'user', 'assistant')").alias("role"), F.concat(F.lit("<|"), F.col("id").cast("string")).alias("text"))
+    begun = time.time()
+    turns = chat.read_back(chat.format_conversations(rows)).first()["turns"]
+    assert time.time() - begun < 60
+    assert [(t["role"], t["text"], t["under_mask"]) for t in turns] == [
+        (("user", "assistant")[i % 2], f"<|{i}", i % 2 == 1) for i in range(n)]
+
+
+def test_many_deltas_in_one_message(spark):
+    n = 60_000
+    log = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.lit(0).alias("message"), F.col("id").alias("seq"),
+                                F.when(F.col("id") == 7, "edit").otherwise("delta").alias("kind"),
+                                F.lit(None).cast("string").alias("role"), F.col("id").cast("string").alias("text"))
+    begun = time.time()
+    assert chat.fold(log).first()["text"] == "".join(map(str, range(7, n)))
+    assert time.time() - begun < 60

@@ -1,8 +1,12 @@
 import hashlib
 import re
+import time
+
+from pyspark.sql import functions as F
 
 from staycheck.llm import secrets
 from staycheck.llm.queries import op1_secrets
+from staycheck.llm.spans import find
 
 SF = "/root/testdata/sf0.01"
 BASE = (("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A),
@@ -59,3 +63,12 @@ def test_ledger_scans_only_what_is_new(spark):
     assert secrets.unseen(later, whole).count() == 0
     empty, nothing = secrets.scan_history(first.limit(0))
     assert empty.count() == nothing.count() == 0
+
+
+def test_a_long_text_full_of_matches(spark):
+    n = 150_000
+    df = spark.range(1).select(F.expr(f"repeat('é AKIA0123456789ABCD ', {n})").alias("text"))
+    begun = time.time()
+    got = df.select(F.expr(f"transform({find('text', secrets.RULES[1].pattern)}, x -> x.start)").alias("at")).first()["at"]
+    assert time.time() - begun < 60
+    assert got == [2 + 21 * i for i in range(n)]
