@@ -669,3 +669,73 @@ view("v_cost", """
 SELECT *, CASE WHEN user_id % 4 <> 3 THEN t // 1000 + CASE WHEN t % 1000 > 500
     OR (t % 1000 = 500 AND (t // 1000) % 2 = 1) THEN 1 ELSE 0 END END AS units
 FROM (SELECT *, input_tokens * 30 + output_tokens * 150 + cache_read_tokens * 3 AS t FROM v_usage)""")
+
+# landed files: hotels without a fault, with misprints, with a file set that is sent back, with a faulty workbook
+view("v_lhot", """
+SELECT submission_id, hotel_no, hotel_no % 4 AS g, CASE WHEN hotel_no % 4 = 2 THEN 1 + (hotel_no // 4) % 8 ELSE 0 END AS fault
+FROM v_hotels""")
+view("v_lprint", """
+SELECT * EXCLUDE (line), CAST(1 + (line - 1) // 30 AS INTEGER) AS page, CAST(1 + (line - 1) % 30 AS INTEGER) AS row_no,
+  k % 83 = 0 OR k % 89 = 0 OR k % 101 = 0 OR k % 67 = 0 OR room_nights <> nights * rooms AS bad
+FROM (SELECT t.* EXCLUDE (rooms, adults), t.period AS month, 'pms_' || t.period || '.pdf' AS file, c.copy,
+    CAST(rooms * nights_in AS BIGINT) AS room_nights_month,
+    CAST(CASE WHEN NOT arrives AND k % 53 = 0 THEN rooms + 1 ELSE rooms END AS INTEGER) AS rooms,
+    CAST(CASE WHEN NOT arrives AND k % 43 = 0 THEN adults + 1 ELSE adults END AS INTEGER) AS adults,
+    row_number() OVER (PARTITION BY submission_id, t.period ORDER BY arrival_date, order_no, copy) AS line
+  FROM (SELECT *, CASE WHEN CAST(submission_id[3:] AS INTEGER) % 4 = 1 THEN order_no ELSE 1 END AS k FROM v_touch
+    WHERE kind = 'month' AND period <= '2001-08') t
+  JOIN (VALUES (1), (2)) c(copy) ON c.copy = 1 OR t.k % 71 = 0 WHERE t.arrives OR t.nights_in > 0)""")
+view("v_lgood", "SELECT * FROM v_lprint WHERE NOT bad")
+view("v_lsingle", "SELECT * FROM v_lprint WHERE copy = 1")
+view("v_lextracted", extracted("v_lgood"))
+view("v_lprinted", f"""
+SELECT submission_id, month, check_name, code, CASE
+    WHEN check_name = 'day_use' AND m = 6 THEN NULL
+    WHEN check_name = 'total_guests' AND m = 7 THEN NULL
+    ELSE value + CASE WHEN check_name = 'sold' AND m = 3 THEN 1 WHEN check_name = 'cancelled' AND m = 4 THEN 1
+      WHEN check_name = 'guests' AND code = 'DE' AND m = 5 THEN 2 ELSE 0 END END AS value
+FROM (SELECT *, CASE WHEN CAST(submission_id[3:] AS INTEGER) % 4 = 1 THEN CAST(month[6:7] AS INTEGER) ELSE 1 END AS m
+  FROM ({extracted('v_lsingle')}))""")
+view("v_ldiffer", """
+SELECT coalesce(e.submission_id, p.submission_id) AS submission_id, coalesce(e.month, p.month) AS month,
+  coalesce(e.check_name, p.check_name) AS check_name, coalesce(e.code, p.code) AS code
+FROM v_lextracted e FULL JOIN v_lprinted p USING (submission_id, month, check_name, code)
+WHERE (p.submission_id IS NOT NULL AND p.value IS NULL) OR coalesce(p.value, 0) <> coalesce(e.value, 0)""")
+view("v_lclaims", "SELECT * FROM v_claims WHERE (row + col) % 31 <> 0 AND coalesce(value_key, '') <> 'XK'")
+for _name in ("v_pairs", "v_explained", "v_class", "v_allfind", "v_find"):
+    view("v_l" + _name[2:], re.sub(r"\bv_(claims|pairs|explained|class|allfind|find)\b", r"v_l\1", VIEWS[_name]))
+view("v_lupstream", """
+SELECT submission_id, 0 AS stage, 'D-RNS-02' AS clause, 'pdf' AS source_kind FROM v_lprint WHERE bad
+UNION ALL SELECT submission_id, 0, 'D-QUAL-07', 'pdf' FROM v_lgood GROUP BY submission_id, reservation_id, file HAVING count(*) > 1
+UNION ALL SELECT submission_id, 0, 'D-RNS-03', 'pdf' FROM v_lgood GROUP BY submission_id, reservation_id HAVING count(DISTINCT adults) > 1
+UNION ALL SELECT submission_id, 0, CASE WHEN check_name = 'sold' THEN 'D-RNS-04' WHEN check_name LIKE '%guests' THEN 'D-NAT-07'
+  ELSE 'D-QUAL-01' END, 'pdf' FROM v_ldiffer
+UNION ALL SELECT submission_id, 1, 'D-XLS-06', 'not_reached' FROM v_lhot, (VALUES (1), (2), (3)) WHERE g = 3
+UNION ALL SELECT DISTINCT submission_id, 1, 'D-NAT-12', 'not_reached' FROM v_claims JOIN v_lhot USING (submission_id) WHERE g = 3 AND value_key = 'XK'
+UNION ALL SELECT submission_id, 1, 'D-XLS-05', 'not_reached' FROM v_lhot WHERE hotel_no % 8 = 3""")
+view("v_lreconciled", """
+SELECT submission_id FROM v_lhot WHERE fault = 0 AND submission_id NOT IN (SELECT submission_id FROM v_lupstream)""")
+view("v_lfound", """
+SELECT submission_id, stage, clause, source_kind, 'V7' AS variance_class, 'blocking' AS severity FROM v_lupstream
+  JOIN v_lhot USING (submission_id) WHERE fault = 0
+UNION ALL
+SELECT submission_id, 2, clause, CASE WHEN computed IS NULL AND explaining IS NULL THEN 'not_reached'
+    WHEN metric <> 'room_nights_available' AND (submission_id, period, coalesce(value_key, '*'), coalesce(explaining, 'BASELINE')) IN (
+      SELECT (t.submission_id, t.period, unnest(['*', t.nationality_iso2]), q.ruleset_id) FROM v_touch t JOIN v_rules q
+        ON list_contains(q.status_in, t.status) AND list_contains(q.rate_in, t.rate_code)) THEN 'pdf'
+    WHEN metric IN ('room_nights_available', 'occupancy_pct') AND (submission_id, period) IN (
+      SELECT (submission_id, period) FROM v_invp) THEN 'inventory'
+    ELSE 'not_reached' END, variance_class, severity
+FROM v_lfind JOIN v_lreconciled USING (submission_id)""")
+view("v_faults", "SELECT submission_id, hotel_no, (hotel_no + 1) % 9 AS fault FROM v_hotels")
+view("v_lproblems", """
+SELECT submission_id, 'unreadable_file' AS problem, 'pms_2001-08.pdf' AS subject, 1 AS p FROM v_faults WHERE fault = 1
+UNION ALL SELECT submission_id, 'unnamed_month', 'pms_draft.pdf', 2 FROM v_faults WHERE fault = 2
+UNION ALL SELECT submission_id, 'foreign_month', '2031-01', 3 FROM v_faults WHERE fault = 3
+UNION ALL SELECT submission_id, 'two_for_one_month', '1995-01', 4 FROM v_faults WHERE fault = 4
+UNION ALL SELECT submission_id, 'missing_month', '2001-08', 5 FROM v_faults WHERE fault BETWEEN 2 AND 5
+UNION ALL SELECT submission_id, 'workbook_period', 'claims_1994.xlsx', 6 FROM v_faults WHERE fault = 6
+UNION ALL SELECT submission_id, 'hotel_mismatch', 'h-x', 7 FROM v_faults WHERE fault = 7 AND hotel_no % 10 <> 7
+UNION ALL SELECT submission_id, 'unreadable_file', 'claims_1995.xlsx', 1 FROM v_faults WHERE fault = 8""")
+REASON_CASE = """CASE problem WHEN 'unreadable_file' THEN 'unreadable_file' WHEN 'missing_month' THEN 'incomplete_file_set'
+  WHEN 'hotel_mismatch' THEN 'hotel_mismatch' ELSE 'period_mismatch' END"""

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from staycheck import values
+from staycheck.catalog.duck import REASON_CASE
 from staycheck.catalog.registry import query
 from staycheck.functions.text import normalise_key
 from staycheck.operators import checks, intake, labels
@@ -524,14 +525,22 @@ def _(spark, sf):
             filed, ["submission_id", "month"], "left_semi"))
 
 
-@query("fl_04_first_rejection", """
-SELECT submission_id, CASE problem WHEN 'missing_month' THEN 'incomplete_file_set'
-  ELSE 'period_mismatch' END AS rejection_reason, problem, subject
-FROM (SELECT *, CASE problem WHEN 'unnamed_month' THEN 2 WHEN 'foreign_month' THEN 3
-  WHEN 'two_for_one_month' THEN 4 ELSE 5 END AS p FROM v_fileprob)
+def _landed_problems(spark, sf):
+    return intake.landing_problems(a.landed_files(spark, sf, every=True), a.landed_declared(spark, sf), _months(spark, sf),
+                                   a.landed_inventory(spark, sf, every=True))
+
+
+@query("jn_08_landed_files", "SELECT submission_id, problem, subject FROM v_lproblems")
+def _(spark, sf):
+    """Every problem of the landed file sets, of each kind there is."""
+    return _landed_problems(spark, sf)
+
+
+@query("fl_04_first_rejection", f"""
+SELECT submission_id, {REASON_CASE} AS rejection_reason, problem, subject FROM v_lproblems
 QUALIFY row_number() OVER (PARTITION BY submission_id ORDER BY p, subject) = 1""")
 def _(spark, sf):
-    return intake.first_rejection(_problems(spark, sf))
+    return intake.first_rejection(_landed_problems(spark, sf))
 
 
 @query("jn_13_foreign_hotels", """

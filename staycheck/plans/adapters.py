@@ -4,12 +4,12 @@ A hotel is a block of 150 customers, so hotels grow in number, not in size, with
 are planted by fixed rules on ids, so every check has something to find at every scale.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staycheck import values
 from staycheck.functions import periods
-from staycheck.functions.cells import cell_ref
+from staycheck.functions.cells import cell_ref, column_letters
 from staycheck.functions.keys import render_key
 from staycheck.functions.text import transpose_digits
 from staycheck.operators.ranking import ranked
@@ -176,6 +176,11 @@ def claims(metrics: DataFrame) -> DataFrame:
             F.lit(5).cast("decimal(38,10)").alias("value")))))
     rows = stated.select("submission_id", "period", F.explode(entries).alias("e")).select(
         "submission_id", "period", "e.metric", "e.dimension", "e.value_key", "e.value")
+    return in_cells(rows)
+
+
+def in_cells(rows: DataFrame) -> DataFrame:
+    """Figures (submission_id, metric, period, dimension, value_key, value) in the cells of a workbook."""
     nat = F.array_position(F.array(*[F.lit(n) for n in NATIONALITIES + ["XK"]]),
                            F.col("value_key"))
     by_nat = F.col("metric") == "guests_by_nationality"
@@ -250,9 +255,12 @@ def printed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the monthly reports. A stay over a month end is on both reports; every 71st
     reservation is printed twice on one report, and every 53rd prints another room count on the
     later report."""
-    res = reservations(spark, sf_dir)
-    listed = listed_rows(res)
-    k = F.col("order_no")
+    return laid_out(listed_rows(reservations(spark, sf_dir)).withColumn("k", F.col("order_no")))
+
+
+def laid_out(listed: DataFrame) -> DataFrame:
+    """Listed rows (with order_no and k, the number that errors are planted by) on pages of 30 rows."""
+    k = F.col("k")
     later = ~F.col("arrives")
     rows = listed.withColumn("copy", F.explode(F.sequence(
         F.lit(1), F.when(k % 71 == 0, 2).otherwise(1)))).withColumns({
@@ -268,10 +276,10 @@ def printed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def printed_cells(rows: DataFrame) -> DataFrame:
     """The same rows as the text a report shows, with a few misprints."""
-    k = F.col("order_no")
+    k = F.col("k")
     title = F.initcap(F.regexp_replace(F.lower("status"), "_", " "))
     return rows.select(
-        "submission_id", "file", "page", "row_no", "order_no", "copy", "reservation_id",
+        "submission_id", "file", "page", "row_no", "order_no", "k", "copy", "reservation_id",
         "guest_ref", F.col("nationality_iso2").alias("nationality"),
         F.when(k % 83 == 0, F.date_format("arrival_date", "dd/MM/yyyy"))
         .otherwise(F.date_format("arrival_date", "yyyy-MM-dd")).alias("arrival"),
@@ -301,7 +309,7 @@ def report_words(cells: DataFrame) -> DataFrame:
             t.alias("text"), (x + i * step - 2).alias("x0"), (x + i * step + 2).alias("x1"),
             (F.col("row_no") * 15 + 60.0).alias("top")))
 
-    stray = F.when(F.col("order_no") % 101 == 0, 5.0).otherwise(CENTRES["children"])
+    stray = F.when(F.col("k") % 101 == 0, 5.0).otherwise(CENTRES["children"])
     words = [placed(field, stray if field == "children" else F.lit(centre),
                     9 if field == "departure" else 23) for field, centre in CENTRES.items()]
     subtotal = F.when(F.col("row_no") == 1, F.array(F.struct(
@@ -328,23 +336,25 @@ def page_texts(rows: DataFrame) -> DataFrame:
 def totals_blocks(rows: DataFrame) -> DataFrame:
     """The grand-total text of each report, computed from single printings, with planted misprints
     by month number."""
-    single = rows.filter("copy = 1")
-    ours = extracted_totals(single)
-    month_no = F.substring("month", 6, 2).cast("int")
+    return printed_totals(extracted_totals(rows.filter("copy = 1")), F.substring("month", 6, 2).cast("int"))
+
+
+def printed_totals(ours: DataFrame, month_no: Column) -> DataFrame:
+    """month_no: the number that misprints are planted by."""
     value = F.col("value") + (
         F.when((F.col("check_name") == "sold") & (month_no == 3), 1)
         .when((F.col("check_name") == "cancelled") & (month_no == 4), 1)
         .when((F.col("check_name") == "guests") & (F.col("code") == "DE") & (month_no == 5), 2)
         .otherwise(0))
     ours = ours.withColumn("value", value)
-    wide = ours.groupBy("submission_id", "month").agg(
+    wide = ours.withColumn("n", month_no).groupBy("submission_id", "month", "n").agg(
         *[F.max(F.when(F.col("check_name") == c, F.col("value"))).alias(c) for c in (
             "sold", "listed_rows", "listed_room_nights", "cancelled", "no_show", "house_use",
             "day_use", "total_guests")],
         F.array_join(F.array_sort(F.collect_list(F.when(
             F.col("check_name") == "guests", F.concat_ws(" ", "code", "value")))), "\n")
         .alias("codes"))
-    month_no = F.substring("month", 6, 2).cast("int")
+    month_no = F.col("n")
     left = F.format_string(
         "Room nights sold %d\nRoom nights available %d\nOccupancy 50.00%%\n"
         "Sum of the RN Month column over all %d listed rows: %d\n"
@@ -402,6 +412,97 @@ def moved_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customer_labels(spark, sf_dir).select("custkey", F.coalesce(moved, "label").alias("label"))
 
 
+# What is planted in a hotel's landed files: nothing, misprints, a file set that is sent back, a workbook with
+# faults; and in file sets, by their number, one fault of each kind.
+FILE_FAULTS = ("none", "unreadable_file", "unnamed_month", "foreign_month", "two_for_one_month", "missing_month",
+               "workbook_period", "hotel_mismatch", "no_workbook")
+LANDED_PERIOD = "1995"
+
+
+def landed_fault(every: bool = False) -> Column:
+    """Number of the fault (FILE_FAULTS) of a hotel's file set: in all hotels in turn, or in every fourth only."""
+    n = hotel_no()
+    return ((n + 1) % 9) if every else F.when(n % 4 == 2, 1 + F.expr("cast(substring(submission_id, 3, 20) as int) div 4") % 8).otherwise(0)
+
+
+def landed_files(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    """A report for each month, a workbook and an inventory per hotel, with the fault of the hotel's number."""
+    fault = landed_fault(every)
+    months = declared_periods(spark, sf_dir).filter(periods.period_kind(F.col("period")) == "month")
+    last = F.col("period") == LAST_MONTH[:7]
+    name = (F.when((fault == 2) & last, "pms_draft.pdf").when((fault == 3) & last, "pms_2031-01.pdf")
+            .when((fault == 4) & last, "pms_1995-01.pdf").otherwise(F.concat(F.lit("pms_"), "period", F.lit(".pdf"))))
+    reports = months.filter(~((fault == 5) & last)).select("submission_id", name.alias("name"), F.when(
+        (fault == 1) & last, "").otherwise("report").alias("content"))
+    book = F.when(fault == 6, "claims_1994.xlsx").otherwise(f"claims_{LANDED_PERIOD}.xlsx")
+    books = hotels(spark, sf_dir).filter(fault != 8).select("submission_id", book.alias("name"), F.lit("book").alias("content"))
+    days = hotels(spark, sf_dir).select("submission_id", F.lit(f"inventory_{LANDED_PERIOD}.csv").alias("name"), F.lit("days").alias("content"))
+    return reports.unionByName(books).unionByName(days)
+
+
+def landed_inventory(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+    other = (landed_fault(every) == 7) & (F.dayofmonth("day") == 5)
+    return inventory(spark, sf_dir).withColumn("hotel_id", F.when(other, "h-x").otherwise(F.col("hotel_id")))
+
+
+def landed_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hotels(spark, sf_dir).select("submission_id", F.col("submission_id").alias("hotel_id"), F.lit(LANDED_PERIOD).alias("period"))
+
+
+def landed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report rows of the declared months. Misprints are in every fourth hotel, and of every 43rd reservation
+    the later report prints another adult."""
+    planted = hotel_no() % 4 == 1
+    listed = listed_rows(reservations(spark, sf_dir)).filter(F.col("month").between(FIRST_MONTH[:7], LAST_MONTH[:7]))
+    listed = listed.withColumn("k", F.when(planted, F.col("order_no")).otherwise(1))
+    return laid_out(listed.withColumn("adults", F.col("adults") + F.when(~F.col("arrives") & (F.col("k") % 43 == 0), 1).otherwise(0)))
+
+
+def landed_words(rows: DataFrame) -> DataFrame:
+    """Words of report rows; one outside all columns stands at the end of its line."""
+    out = F.col("x0") < 10
+    return report_words(printed_cells(rows)).withColumns({
+        c: F.when(out, F.col(c) + 800).otherwise(F.col(c)) for c in ("x0", "x1")})
+
+
+def landed_totals(rows: DataFrame) -> DataFrame:
+    ours = extracted_totals(rows.filter("copy = 1"))
+    return printed_totals(ours, F.when(hotel_no() % 4 == 1, F.substring("month", 6, 2).cast("int")).otherwise(1))
+
+
+def landed_workbook(filed: DataFrame, period: str = LANDED_PERIOD, uncached: Column | None = None
+                    ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cells, blocks, cover) of claims in their cells. In every fourth hotel a label nobody knows, a sheet
+    nobody mapped and two blocks that can't be read; in half of those a cover sheet of another property."""
+    faulty = hotel_no() % 4 == 3
+    filed = filed.filter(faulty | (F.coalesce("value_key", F.lit("")) != "XK"))
+    cells = workbook_cells(filed, uncached).filter(faulty | (F.col("sheet") != "Notes"))
+    used = filed.groupBy("submission_id").agg(
+        F.max(F.when(F.col("dimension").isNull(), F.col("row"))).cast("string").alias("r"),
+        column_letters(F.max(F.when(F.col("dimension").isNotNull(), F.col("col")))).alias("c"))
+
+    def block(no, sheet, metric, value, period, when=None, dim=None, labels_=None, total=None):
+        names = ("block_id", "sheet", "metric", "orientation", "value_range", "period_label_range",
+                 "named_dimension", "dimension_label_range", "dimension_total_range")
+        across = "periods_across_columns" if dim else "periods_down_rows"
+        parts = [F.lit(x).cast("string") if not isinstance(x, Column) else x
+                 for x in (no, sheet, metric, across, value, period, dim, labels_, total)]
+        return F.when(F.lit(True) if when is None else when, F.struct(*[x.alias(n) for x, n in zip(parts, names)]))
+
+    r, c = F.col("r"), F.col("c")
+    blocks = [block(str(i), "Occupancy", metric, F.concat(F.lit(f"{col}5:{col}"), r), F.concat(F.lit("A5:A"), r), r.isNotNull())
+              for i, (metric, col) in enumerate(zip(METRIC_NO, "BCD"), 1)]
+    blocks += [
+        block("4", "Nationality", "guests_by_nationality", F.concat(F.lit("B5:"), c, F.lit("30")), F.concat(F.lit("B4:"), c, F.lit("4")),
+              c.isNotNull(), values.DIMENSION, "A5:A30", F.concat(F.lit("B31:"), c, F.lit("31"))),
+        block("5", "Rate & Revenue", "average_daily_rate", "B5:D5", "B4:D4"),
+        block("6", "Occupancy", "mystery", "E5:E8", "A5:A8", faulty), block("7", "Missing", "occupancy_pct", "B5:B8", "A5:A8", faulty)]
+    mapped = used.select("submission_id", F.explode(F.array_compact(F.array(*blocks))).alias("b")).select("submission_id", "b.*")
+    cover = used.select("submission_id", F.lit("Cover").alias("sheet"), F.when(hotel_no() % 8 == 3, "h-zz").otherwise(
+        F.col("submission_id")).alias("stated_hotel"), F.lit(period).alias("stated_period"))
+    return cells, mapped, cover
+
+
 def submission_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as submitted files; the name follows from the document id."""
     d = table(spark, sf_dir, "documents")
@@ -425,14 +526,15 @@ def submission_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 MONTH_WORDS = [names[0].capitalize() for names in values.MONTH_NAMES]
 
 
-def workbook_cells(filed: DataFrame) -> DataFrame:
+def workbook_cells(filed: DataFrame, uncached: Column | None = None) -> DataFrame:
     """The claims laid out as a workbook: figures written in different ways, labels, totals, a
-    sheet of rates and a sheet nobody mapped."""
+    sheet of rates and a sheet nobody mapped. uncached: which figures are formulas without a value."""
     none, r, c, v = F.lit(None), F.col("row"), F.col("col"), F.col("value")
+    uncached = (r + c) % 31 == 0 if uncached is None else uncached
     occ = F.col("metric") == "occupancy_pct"
     mix = (r + c) % 5
     text = (
-        F.when((r + c) % 31 == 0, "=SUM(B2:B4)")
+        F.when(uncached, "=SUM(B2:B4)")
         .when(occ, F.when(r % 3 == 1, F.concat(v.cast("decimal(18,2)").cast("string"), F.lit("%"))))
         .when(mix == 0, F.format_number(v, 0))
         .when(mix == 1, F.concat(F.lit("AED "), v.cast("bigint").cast("string"))))
