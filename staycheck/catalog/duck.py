@@ -646,13 +646,18 @@ FROM (SELECT 'R-' || user_id AS run_id, event_id AS seq, user_id,
   event_id % 900 + 100 AS input_tokens, event_id % 300 AS output_tokens,
   event_id % 50 AS cache_read_tokens, CAST(floor(value * 10) AS BIGINT) AS duration_ms,
   event_id % 17 = 0 AS failed FROM events WHERE event_type = 'view')""")
+view("v_open", """
+SELECT run_id, node, latest FROM (SELECT run_id, node, min(seq) AS first, max(seq) AS latest FROM v_line
+  GROUP BY ALL HAVING count(*) FILTER (exit_seq >= 0) = 0)
+QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY first DESC) = 1""")
 view("v_attr", """
-SELECT c.run_id, c.seq, c.agent, c.duration_ms, l.seq AS node_seq,
-  coalesce(l.node, CASE WHEN c.agent = 'reviewer_assist' THEN 'review' ELSE 'unattributed' END)
-    AS node, l.end_ms - l.duration_ms AS start_ms,
-  l.display_end_ms - greatest(l.duration_ms, 400) AS display_start_ms
-FROM v_calls c LEFT JOIN v_line l ON l.run_id = c.run_id AND c.call_no > l.upto - l.model_calls
-  AND c.call_no <= l.upto""")
+SELECT c.run_id, c.seq, c.agent, c.duration_ms, l.seq AS node_seq, coalesce(c.node,
+    CASE WHEN c.agent = 'reviewer_assist' THEN 'review' ELSE 'unattributed' END) AS node,
+  l.end_ms - l.duration_ms AS start_ms, l.display_end_ms - greatest(l.duration_ms, 400) AS display_start_ms
+FROM (SELECT c.*, coalesce(l.seq, o.latest) AS at, coalesce(l.node, o.node) AS node FROM v_calls c
+    LEFT JOIN v_line l ON l.run_id = c.run_id AND c.call_no > l.upto - l.model_calls AND c.call_no <= l.upto
+    LEFT JOIN v_open o ON o.run_id = c.run_id) c
+LEFT JOIN v_line l ON l.run_id = c.run_id AND l.seq = c.at""")
 view("v_route", f"""
 SELECT 'R-' || user_id AS run_id, event_id AS seq,
   ({lit(values.NODE_ORDER)})[CAST(event_id % 5 AS INTEGER) + 1] AS node,

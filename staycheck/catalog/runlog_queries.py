@@ -51,7 +51,8 @@ def _(spark, sf):
 STATES = """
 SELECT r.run_id, n.node, CASE
   WHEN l.outcome IS NOT NULL THEN l.outcome
-  WHEN e.run_id IS NOT NULL THEN 'running' WHEN {over} THEN 'skipped' ELSE 'pending' END AS state
+  WHEN e.run_id IS NOT NULL THEN 'running' WHEN {over} AND CAST(r.run_id[3:] AS BIGINT) % 3 <> 0
+  THEN 'skipped' ELSE 'pending' END AS state
 FROM (SELECT run_id, max(display_end_ms) AS total FROM v_line GROUP BY ALL) r
 CROSS JOIN (SELECT DISTINCT node FROM v_nodes) n
 LEFT JOIN (SELECT run_id, node, arg_max(outcome, seq) AS outcome FROM v_line
@@ -64,12 +65,12 @@ LEFT JOIN (SELECT DISTINCT run_id, node FROM v_line WHERE {entered}) e
     over="r.total <= 3000", upto="display_end_ms <= 3000",
     entered="display_end_ms - greatest(duration_ms, 400) <= 3000"))
 def _(spark, sf):
-    return rl.stage_states(rl.timeline(timings(spark, sf)), 3000)
+    return rl.stage_states(rl.timeline(timings(spark, sf)), 3000, a.finished_runs(spark, sf))
 
 
 @query("wn_09_final_states", STATES.format(over="TRUE", upto="TRUE", entered="TRUE"))
 def _(spark, sf):
-    return rl.stage_states(rl.timeline(timings(spark, sf)))
+    return rl.stage_states(rl.timeline(timings(spark, sf)), finished=a.finished_runs(spark, sf))
 
 
 @query("jn_25_attribute_calls", "SELECT run_id, seq, agent, node FROM v_attr")
@@ -79,15 +80,16 @@ def _(spark, sf):
 
 
 @query("wn_10_budget_audit", """
-WITH r AS (SELECT *, row_number() OVER (PARTITION BY run_id, agent ORDER BY seq) AS an,
-    row_number() OVER (PARTITION BY run_id ORDER BY seq) AS rn FROM v_route WHERE needed),
+WITH q AS (SELECT * REPLACE (CASE WHEN seq % 14 = 3 THEN 'ghost' ELSE agent END AS agent) FROM v_route),
+r AS (SELECT *, row_number() OVER (PARTITION BY run_id, agent ORDER BY seq) AS an,
+    row_number() OVER (PARTITION BY run_id ORDER BY seq) AS rn FROM q WHERE needed AND agent <> 'ghost'),
 s AS (SELECT run_id, min(seq) AS stop FROM r WHERE an > 9 OR rn > 24 GROUP BY ALL)
-SELECT r.run_id, r.seq, r.agent, CASE WHEN stop IS NULL OR seq < stop THEN 'granted'
-  WHEN seq = stop THEN 'refused_budget' ELSE 'not_reached' END AS disposition
-FROM r LEFT JOIN s USING (run_id)""")
+SELECT q.run_id, q.seq, q.agent, CASE WHEN seq > stop THEN 'not_reached' WHEN agent = 'ghost' THEN 'refused_unknown_agent'
+  WHEN NOT needed THEN 'skipped' WHEN seq = stop THEN 'refused_budget' ELSE 'granted' END AS disposition
+FROM q LEFT JOIN s USING (run_id)""")
 def _(spark, sf):
-    return rl.budget_audit(a.routing_log(spark, sf), per_agent=9, per_run=24).select(
-        "run_id", "seq", "agent", "disposition")
+    asked = a.routing_log(spark, sf).withColumn("agent", F.when(F.col("seq") % 14 == 3, "ghost").otherwise(F.col("agent")))
+    return rl.budget_audit(asked, per_agent=9, per_run=24, roster=a.AGENTS).select("run_id", "seq", "agent", "disposition")
 
 
 @query("ag_25_usage", "SELECT * EXCLUDE (user_id) FROM v_usage")

@@ -195,7 +195,7 @@ def metric_values(res: DataFrame, inv: DataFrame | None, declared: DataFrame,
     has none). Keys only an alternative produces have neither computed nor nv_reason.
     """
     rules = rules or rulesets()
-    base = declared.select("submission_id", "period").join(
+    base = declared.select("submission_id", "period").distinct().join(
         period_rows(month_cube(res, rules), rules), ["submission_id", "period"], "left")
     if inv is None:
         base = base.selectExpr("*", "0L as days", "0L as net", "0L as gross", "0 as max_net",

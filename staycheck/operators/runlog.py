@@ -59,8 +59,10 @@ def timeline(timings: DataFrame) -> DataFrame:
         "display_start_ms": F.col("display_end_ms") - shown}).drop("_block")
 
 
-def stage_states(line: DataFrame, at_ms: int | None = None) -> DataFrame:
-    """pending, running, skipped or the exit outcome of every node of every run at a time."""
+def stage_states(line: DataFrame, at_ms: int | None = None, finished: DataFrame | None = None) -> DataFrame:
+    """pending, running, skipped or the exit outcome of every node of every run at a time. finished: the
+    runs (run_id) that have a verdict; a node another run hasn't entered is pending however late it is, as it
+    may still come. Without it every run is over."""
     upto = F.lit(True) if at_ms is None else F.col("display_end_ms") <= at_ms
     entered = F.lit(True) if at_ms is None else F.col("display_start_ms") <= at_ms
     seen = line.groupBy("run_id", "node").agg(
@@ -68,17 +70,31 @@ def stage_states(line: DataFrame, at_ms: int | None = None) -> DataFrame:
                  F.when(upto & ~F.col("entered_only"), F.col("seq"))).alias("left"),
         F.bool_or(entered).alias("entered"))
     ends = line.groupBy("run_id").agg(F.max("display_end_ms").alias("total"))
-    every = ends.withColumn("node", F.explode(F.array(*[F.lit(n) for n in values.NODE_ORDER])))
     over = F.lit(True) if at_ms is None else F.col("total") <= at_ms
+    if finished is not None:
+        done = finished.select("run_id").distinct().withColumn("_done", F.lit(True))
+        ends = ends.join(done, "run_id", "left")
+        over = over & F.coalesce("_done", F.lit(False))
+    every = ends.withColumn("over", over).withColumn("node", F.explode(F.array(*[F.lit(n) for n in values.NODE_ORDER])))
     state = (
         F.when(F.col("left").isNotNull(), F.col("left"))
-        .when(F.col("entered"), "running").when(over, "skipped").otherwise("pending"))
+        .when(F.col("entered"), "running").when(F.col("over"), "skipped").otherwise("pending"))
     return every.join(seen, ["run_id", "node"], "left").select(
         "run_id", "node", state.alias("state"))
 
 
+def open_nodes(timings: DataFrame) -> DataFrame:
+    """run_id, node, node_seq: of the nodes of a run that were entered and never left, the one entered last
+    (by its first entry), at its latest entry."""
+    nodes = timings.groupBy("run_id", "node").agg(
+        F.min("seq").alias("first"), F.max("seq").alias("latest"), F.bool_or(~F.col("entered_only")).alias("closed"))
+    last = nodes.filter("not closed").groupBy("run_id").agg(F.max_by(F.struct("node", "latest"), "first").alias("x"))
+    return last.select("run_id", "x.node", F.col("x.latest").alias("node_seq"))
+
+
 def attribute_calls(timings: DataFrame, calls: DataFrame) -> DataFrame:
-    """The node each model call belongs to: nodes take calls in order, as many as they report.
+    """The node each model call belongs to: nodes take calls in order, as many as they report; the calls
+    left over are those of the node that is still open, and of none where no node is.
 
     Each node's share is expanded to call numbers, so calls meet nodes on an equal key.
     """
@@ -88,9 +104,10 @@ def attribute_calls(timings: DataFrame, calls: DataFrame) -> DataFrame:
         "run_id", "node", F.col("seq").alias("node_seq"), F.explode(F.sequence(
             F.col("upto") - F.col("model_calls") + 1, F.col("upto"))).alias("call_no"))
     numbered = ranked(_blocked(calls), ["run_id"], ["_block"], ["seq"], "call_no").drop("_block")
+    last = open_nodes(timings).select("run_id", F.col("node").alias("_open"), F.col("node_seq").alias("_open_seq"))
     rest = F.when(F.col("agent") == "reviewer_assist", "review").otherwise("unattributed")
-    return numbered.join(slots, ["run_id", "call_no"], "left").withColumn(
-        "node", F.coalesce("node", rest))
+    return numbered.join(slots, ["run_id", "call_no"], "left").join(last, "run_id", "left").withColumns({
+        "node": F.coalesce("node", "_open", rest), "node_seq": F.coalesce("node_seq", "_open_seq")}).drop("_open", "_open_seq")
 
 
 def call_offsets(attributed: DataFrame, line: DataFrame) -> DataFrame:
@@ -113,19 +130,25 @@ def call_offsets(attributed: DataFrame, line: DataFrame) -> DataFrame:
 
 
 def budget_audit(requests: DataFrame, per_agent: int = values.MAX_CALLS_PER_AGENT,
-                 per_run: int = values.MAX_CALLS_PER_RUN) -> DataFrame:
-    """granted, refused_budget or not_reached per needed request; a refusal ends the run."""
-    needed = _blocked(requests.filter("needed"))
-    by_agent = ranked(needed, ["run_id", "agent"], ["_block"], ["seq"], "agent_no")
+                 per_run: int = values.MAX_CALLS_PER_RUN, roster: list[str] | None = None) -> DataFrame:
+    """What a router decides of each request: refused_unknown_agent (not in the roster; without a roster every
+    agent is known), skipped (no work), granted, or refused_budget. Only granted requests spend. The first
+    refused_budget ends the run: what comes after it is not_reached."""
+    known = F.lit(True) if roster is None else F.coalesce(F.col("agent").isin(*roster), F.lit(False))
+    blocked = _blocked(requests).withColumn("_spends", known & F.coalesce("needed", F.lit(False)))
+    spending = blocked.filter("_spends")
+    by_agent = ranked(spending, ["run_id", "agent"], ["_block"], ["seq"], "agent_no")
     both = ranked(by_agent, ["run_id"], ["_block"], ["seq"], "run_no").drop("_block")
     scope = F.when(F.col("agent_no") > per_agent, "per-agent").when(
         F.col("run_no") > per_run, "per-run")
-    both = both.withColumn("scope", scope)
+    both = both.withColumn("scope", scope).unionByName(
+        blocked.filter("not _spends").drop("_block"), allowMissingColumns=True)
     first = both.filter("scope is not null").groupBy("run_id").agg(F.min("seq").alias("_stop"))
     return both.join(first, "run_id", "left").withColumn(
         "disposition",
-        F.when(F.col("_stop").isNull() | (F.col("seq") < F.col("_stop")), "granted")
-        .when(F.col("seq") == F.col("_stop"), "refused_budget").otherwise("not_reached")).drop("_stop")
+        F.when(F.col("seq") > F.col("_stop"), "not_reached")
+        .when(~known, "refused_unknown_agent").when(~F.col("_spends"), "skipped")
+        .when(F.col("seq") == F.col("_stop"), "refused_budget").otherwise("granted")).drop("_stop", "_spends")
 
 
 def usage_per_agent(calls: DataFrame) -> DataFrame:

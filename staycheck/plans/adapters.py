@@ -635,6 +635,11 @@ def node_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(leave, k % 300).otherwise(0).alias("output_tokens"))
 
 
+def finished_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs in three have a verdict; the others are still going on."""
+    return table(spark, sf_dir, "events").filter("user_id % 3 <> 0").select(_run_id().alias("run_id")).distinct()
+
+
 AGENTS = ["mapping", "resolution", "narrative", "reviewer_assist", "critic"]
 
 
