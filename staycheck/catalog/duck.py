@@ -3,7 +3,8 @@
 import re
 
 from staycheck import values
-from staycheck.plans.adapters import ALTERNATIVE, METRIC_NO, NATIONALITIES, RATES, TWO_KIND_LABELS
+from staycheck.plans.adapters import (ALTERNATIVE, METRIC_NO, NATIONALITIES, OTHER_TOLERANCE, RATES, TWO_KIND_LABELS,
+                                      other_policy)
 from staycheck.sources.rulesets import rulesets
 
 VIEWS: dict[str, str] = {}
@@ -108,12 +109,16 @@ SELECT DISTINCT year, 'year', CAST(date_trunc('year', m0) AS DATE),
 view("v_declared", """
 SELECT h.submission_id, h.hotel_no, p.* FROM v_hotels h, v_periods p""")
 
-view("v_rules", rows(
-    [(r.ruleset_id, r.ord, r.applies_to, r.status_in, r.rate_in, r.denominator, r.occ_month_basis,
-      r.exclude_out_of_order, r.day_use_counts_room_nights, r.counts, r.include_children,
-      r.nat_month_basis) for r in rulesets()],
-    "ruleset_id, ord, applies_to, status_in, rate_in, denominator, occ_month_basis, "
-    "exclude_out_of_order, day_use_counts_room_nights, counts, include_children, nat_month_basis"))
+def rule_rows(rules) -> str:
+    return rows(
+        [(r.ruleset_id, r.ord, r.applies_to, r.status_in, r.rate_in, r.denominator, r.occ_month_basis,
+          r.exclude_out_of_order, r.day_use_counts_room_nights, r.counts, r.include_children,
+          r.nat_month_basis) for r in rules],
+        "ruleset_id, ord, applies_to, status_in, rate_in, denominator, occ_month_basis, "
+        "exclude_out_of_order, day_use_counts_room_nights, counts, include_children, nat_month_basis")
+
+
+view("v_rules", rule_rows(rulesets()))
 
 # every reservation in every period it touches; stays are shorter than a month, so they touch those of their
 # first and last day
@@ -744,3 +749,11 @@ UNION ALL SELECT submission_id, 'hotel_mismatch', 'h-x', 7 FROM v_faults WHERE f
 UNION ALL SELECT submission_id, 'unreadable_file', 'claims_1995.xlsx', 1 FROM v_faults WHERE fault = 8""")
 REASON_CASE = """CASE problem WHEN 'unreadable_file' THEN 'unreadable_file' WHEN 'missing_month' THEN 'incomplete_file_set'
   WHEN 'hotel_mismatch' THEN 'hotel_mismatch' ELSE 'period_mismatch' END"""
+
+# the same under another policy: its rulesets, a wider band, roundings raised
+view("v_orules", rule_rows(other_policy().rules))
+view("v_oclasses", rows(other_policy().class_rules, "variance_class, class_name, severity, proposes, escalates_to"))
+for _name in ("v_sold", "v_guests", "v_values", "v_base", "v_perm", "v_pairs", "v_explained", "v_class", "v_allfind", "v_find"):
+    view("v_o" + _name[2:], re.sub(
+        r"\bv_(rules|classes|sold|guests|values|base|perm|pairs|explained|class|allfind|find)\b", r"v_o\1", VIEWS[_name]
+    ).replace("0.10", OTHER_TOLERANCE))

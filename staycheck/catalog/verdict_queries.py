@@ -40,6 +40,17 @@ def _(spark, sf):
                                   "hotel_errors", "not_verifiable")
 
 
+@query("src_08_second_policy", """
+SELECT submission_id, variance_class, severity, coalesce(explaining, '') AS explaining, count(*) AS findings
+FROM v_ofind GROUP BY ALL""")
+def _(spark, sf):
+    """The same claims under a policy document with other rates, alternatives, band and severities."""
+    out = verify(a.reservations(spark, sf), a.inventory(spark, sf), a.claims(values(spark, sf)),
+                 a.declared_periods(spark, sf), policy=a.other_policy())
+    return out["findings"].groupBy("submission_id", "variance_class", "severity", F.coalesce(
+        "explaining_permutation", F.lit("")).alias("explaining")).agg(F.count("*").alias("findings"))
+
+
 @query("ag_17_evidence_ranges", """
 SELECT submission_id, metric_key, source_kind, file, CAST(coalesce(page, 0) AS INTEGER) AS page,
   row_start, row_end FROM v_evidence""")

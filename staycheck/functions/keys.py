@@ -41,7 +41,7 @@ def is_percentage(metric: Column) -> Column:
     return metric == "occupancy_pct"
 
 
-def within_tolerance(difference: Column, metric: Column) -> Column:
+def within_tolerance(difference: Column, metric: Column, percentage: str = values.PERCENTAGE_TOLERANCE) -> Column:
     """Symmetric: percentages within the absolute band, everything else exact."""
-    band = F.when(is_percentage(metric), F.lit(values.PERCENTAGE_TOLERANCE)).otherwise("0")
+    band = F.when(is_percentage(metric), F.lit(percentage)).otherwise("0")
     return F.abs(difference) <= band.cast("decimal(38,10)")

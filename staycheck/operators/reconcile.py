@@ -57,24 +57,24 @@ def pair(claims: DataFrame, metrics: DataFrame) -> DataFrame:
     return out.withColumn("pairing", pairing).filter("pairing is not null")
 
 
-def with_explanations(pairs: DataFrame) -> DataFrame:
+def with_explanations(pairs: DataFrame, percentage: str = values.PERCENTAGE_TOLERANCE) -> DataFrame:
     """Alternatives reproducing a claim the baseline does not, in committed order."""
-    off = ~F.coalesce(_inside(), F.lit(False))
+    off = ~F.coalesce(_inside(percentage), F.lit(False))
     found = F.filter("permuted", lambda p: within_tolerance(
-        F.col("claimed") - p["value"], F.col("metric")))
+        F.col("claimed") - p["value"], F.col("metric"), percentage))
     ids = F.transform(found, lambda p: p["ruleset_id"])
     return pairs.withColumn(
         "explained_by", F.when(F.col("claimed").isNotNull() & off, F.coalesce(ids, F.array())
                                ).otherwise(F.array().cast("array<string>")))
 
 
-def _inside() -> Column:
-    return within_tolerance(F.col("claimed") - F.col("computed"), F.col("metric"))
+def _inside(percentage: str) -> Column:
+    return within_tolerance(F.col("claimed") - F.col("computed"), F.col("metric"), percentage)
 
 
-def classify(pairs: DataFrame) -> DataFrame:
+def classify(pairs: DataFrame, percentage: str = values.PERCENTAGE_TOLERANCE) -> DataFrame:
     """variance_class by the ladder; null only for an exact match or a stated non-result."""
-    inside = F.coalesce(_inside(), F.lit(False))
+    inside = F.coalesce(_inside(percentage), F.lit(False))
     both = F.col("pairing") == "matched"
     rung = {
         "V7": F.col("pairing") == "not_verifiable",
@@ -93,9 +93,9 @@ def classify(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("variance_class", chain)
 
 
-def class_setting(position: int) -> Column:
+def class_setting(position: int, class_rules=values.CLASS_RULES) -> Column:
     """severity (2), proposes a correction (3) or escalates to (4) by class."""
-    table = F.create_map(*[x for row in values.CLASS_RULES
+    table = F.create_map(*[x for row in class_rules
                            for x in (F.lit(row[0]), F.lit(row[position]))])
     return table[F.col("variance_class")]
 
@@ -113,7 +113,7 @@ def clause() -> Column:
     )
 
 
-def to_findings(classified: DataFrame) -> DataFrame:
+def to_findings(classified: DataFrame, class_rules=values.CLASS_RULES) -> DataFrame:
     """One finding per classified pair, informational ones included."""
     difference = F.col("claimed") - F.col("computed")
     named = F.when(F.col("variance_class") == "V2", F.col("explained_by"))
@@ -121,11 +121,11 @@ def to_findings(classified: DataFrame) -> DataFrame:
     return classified.filter("variance_class is not null").select(
         "submission_id", "metric_key", "metric", "period", "dimension", "value_key",
         "variance_class",
-        class_setting(2).alias("severity"),
-        class_setting(4).alias("escalates_to"),
+        class_setting(2, class_rules).alias("severity"),
+        class_setting(4, class_rules).alias("escalates_to"),
         "claimed", "computed",
         difference.cast("decimal(38,10)").alias("difference"),
-        F.when(class_setting(3), F.col("computed")).alias("proposed_correction"),
+        F.when(class_setting(3, class_rules), F.col("computed")).alias("proposed_correction"),
         F.get(named, F.lit(0)).alias("explaining_permutation"),
         F.coalesce(others, F.array().cast("array<string>")).alias("also_explained_by"),
         "sheet", "cell",

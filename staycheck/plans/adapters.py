@@ -14,6 +14,7 @@ from staycheck.functions.keys import render_key
 from staycheck.functions.text import transpose_digits
 from staycheck.operators.ranking import ranked
 from staycheck.operators.reports import extracted_totals, listed_rows
+from staycheck.sources.policy import Policy, committed_document, parse_policy
 
 NATIONALITIES = [
     "AE", "AU", "CH", "CN", "CZ", "DE", "EG", "ES", "FR", "GB", "IN", "IT", "JP",
@@ -735,3 +736,20 @@ def rule_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return res.groupBy("submission_id", "nationality_iso2").agg(
         F.collect_set(F.when(odd, F.col("status"))).alias("included"),
         F.collect_set(F.when(~odd, F.col("status"))).alias("excluded"))
+
+
+OTHER_TOLERANCE = "0.50"
+
+
+def other_policy() -> Policy:
+    """Complimentary stays don't count, house use is no alternative any more, the band is 0.50 and roundings are
+    material."""
+    document = committed_document()
+    document["version"] = "9.0.0"
+    rates = document["qualifying"]["rate_code"]
+    rates["included"], rates["excluded"] = ["BAR", "CORP", "GOV", "OTA", "GROUP"], ["COMP", "HOUSE"]
+    ordered = document["permutations"]["ordered"]
+    ordered[:] = [p for p in ordered if p["id"] not in ("P-COMP-EXCLUDED", "P-HOUSE-INCLUDED")][::-1]
+    document["tolerances"]["by_metric_type"]["percentage_points"]["value"] = float(OTHER_TOLERANCE)
+    document["materiality"]["severity_by_class"]["V6"] = "material"
+    return parse_policy(document)

@@ -11,7 +11,6 @@ from staycheck import values
 class Ruleset:
     ruleset_id: str = "BASELINE"
     ord: int = 0
-    explains: str = ""
     applies_to: tuple = tuple(values.METRICS)
     status_in: tuple = ("CHECKED_OUT", "IN_HOUSE")
     rate_in: tuple = ("BAR", "CORP", "GOV", "OTA", "GROUP", "COMP")
@@ -25,7 +24,7 @@ class Ruleset:
     nat_month_basis: str = "arrival_month"
 
 
-_SETTINGS = {f.name for f in fields(Ruleset)} - {"ruleset_id", "ord", "explains", "applies_to"}
+_SETTINGS = {f.name for f in fields(Ruleset)} - {"ruleset_id", "ord", "applies_to"}
 _CHOICES = {
     "denominator": {"room_nights_available", "rooms_available"},
     "occ_month_basis": {"occupied_night", "arrival_month", "departure_month"},
@@ -41,7 +40,7 @@ def rulesets(permutations=None, baseline: Ruleset = Ruleset()) -> list[Ruleset]:
     and the alternative could never explain anything.
     """
     out = [baseline]
-    for ord_, (pid, explains, applies_to, override) in enumerate(
+    for ord_, (pid, applies_to, override) in enumerate(
         values.PERMUTATIONS if permutations is None else permutations, start=1
     ):
         unknown = set(override) - _SETTINGS
@@ -53,8 +52,7 @@ def rulesets(permutations=None, baseline: Ruleset = Ruleset()) -> list[Ruleset]:
             if override.get(name, getattr(baseline, name)) not in allowed:
                 raise ValueError(f"{pid}: {name}={override[name]!r}")
         changed = {k: tuple(v) if isinstance(v, list) else v for k, v in override.items()}
-        out.append(replace(baseline, ruleset_id=pid, ord=ord_, explains=explains,
-                           applies_to=tuple(applies_to), **changed))
+        out.append(replace(baseline, ruleset_id=pid, ord=ord_, applies_to=tuple(applies_to), **changed))
     ids = [r.ruleset_id for r in out]
     if len(set(ids)) != len(ids):
         raise ValueError("ruleset ids repeat")
@@ -62,7 +60,7 @@ def rulesets(permutations=None, baseline: Ruleset = Ruleset()) -> list[Ruleset]:
 
 
 RULESET_SCHEMA = (
-    "ruleset_id string, ord int, explains string, applies_to array<string>, "
+    "ruleset_id string, ord int, applies_to array<string>, "
     "status_in array<string>, rate_in array<string>, denominator string, occ_month_basis string, "
     "exclude_out_of_order boolean, day_use_counts_room_nights boolean, "
     "day_use_counts_guests boolean, counts string, include_children boolean, nat_month_basis string"
