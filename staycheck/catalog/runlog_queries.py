@@ -226,6 +226,18 @@ def _(spark, sf):
                              "doc", ["nodes.duration_ms"])
 
 
+@query("jn_27_odd_documents", """
+WITH e AS (SELECT event_id AS k FROM events)
+SELECT k AS doc_id, '' AS path, 'unreadable' AS why FROM e WHERE k % 10 = 1
+UNION ALL SELECT k, '', 'one side only' FROM e WHERE k % 10 IN (2, 3)
+UNION ALL SELECT k, repeat('d.', 19) || 'd', 'value' FROM e WHERE k % 10 = 4
+UNION ALL SELECT k, 'w.f' || (k % 100), 'value' FROM e WHERE k % 10 = 5
+UNION ALL SELECT k, 'w.f' || (k % 100), 'other kind' FROM e WHERE k % 10 = 6
+UNION ALL SELECT k, 'x', 'one side only' FROM e WHERE k % 10 = 7""")
+def _(spark, sf):
+    """Documents that are no JSON, of one side only, deep and wide."""
+    first, second = a.odd_documents(spark, sf)
+    return dc.diff_documents(first, second, "doc_id", "doc", [])
 
 
 def _sql_redaction(count: str | None = None) -> str:

@@ -218,23 +218,49 @@ def _(spark, sf):
         "reservation_id", "rooms", "status")
 
 
-@query("src_01_inventory_files", """
-SELECT submission_id, strftime(day, '%Y-%m-%d') AS day, rooms_total, rooms_out_of_order,
-  CAST(row_number() OVER (PARTITION BY submission_id ORDER BY day) AS INTEGER) AS row_no FROM v_inv""")
-def _(spark, sf):
+def _inventory_folder(spark, sf, lacking: bool = False) -> str:
+    """One file per submission with its columns in one of three orders, some with a column more; where asked,
+    every seventh hotel's file lacks a column."""
     path = shared_dir(spark)
+    n = F.substring("submission_id", 3, 20).cast("int")
     inv = a.inventory(spark, sf).select(
         "submission_id", "hotel_id", "day", "rooms_total", "rooms_out_of_order",
         (F.col("rooms_total") - F.col("rooms_out_of_order")).alias("rooms_available"),
-        F.lit("").alias("note"))
-    # one folder per submission: a submission's inventory is a few thousand days
-    inv.withColumn("filed_by", F.col("submission_id")).repartition("submission_id").sortWithinPartitions(
-        "submission_id", "day").write.partitionBy("filed_by").option("header", True).csv(path)
-    return readers.read_inventory(spark, path).select(
+        F.lit("").alias("note"), n.alias("n"), F.col("submission_id").alias("filed_by"))
+    plain = [c for c in inv.columns if c not in ("n", "filed_by")]
+    lacks = (F.col("n") % 7 == 6) if lacking else F.lit(False)
+    kinds = [(F.col("n") % 3 == 0, plain), (F.col("n") % 3 == 1, plain[::-1]),
+             (F.col("n") % 3 == 2, [F.lit("a, b").alias("Floor"), *plain[2:], *[F.col(c).alias(c.upper()) for c in plain[:2]]])]
+    if lacking:
+        kinds = [(when & ~lacks, columns) for when, columns in kinds] + [(lacks, [c for c in plain if c != "rooms_total"])]
+    for when, columns in kinds:
+        # one folder per submission: a submission's inventory is a few thousand days
+        inv.filter(when).repartition("submission_id").sortWithinPartitions("submission_id", "day").select(
+            *columns, "filed_by").write.mode("append").partitionBy("filed_by").option("header", True).csv(path)
+    return path
+
+
+@query("src_01_inventory_files", """
+SELECT submission_id, strftime(day, '%Y-%m-%d') AS day, rooms_total, rooms_out_of_order,
+  CAST(row_number() OVER (PARTITION BY submission_id ORDER BY day) AS INTEGER) AS row_no FROM v_inv""")
+def _(spark, sf):
+    return readers.read_inventory(spark, _inventory_folder(spark, sf)).select(
         "submission_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "rooms_total",
         "rooms_out_of_order", "row_no")
 
 
+@query("src_01_inventory_defects", """
+WITH i AS (SELECT *, CAST(submission_id[3:] AS INTEGER) % 7 = 6 AS lacks FROM v_inv)
+SELECT submission_id, count(*) FILTER (NOT lacks) AS days, CAST(bool_or(lacks) AS INTEGER) AS defects FROM i GROUP BY ALL""")
+def _(spark, sf):
+    """Files that lack a column give no rows and one defect; the others are read."""
+    path = _inventory_folder(spark, sf, lacking=True)
+    days = readers.read_inventory(spark, path).groupBy("submission_id").agg(F.count("*").alias("days"))
+    found = readers.inventory_defects(spark, path).filter("missing = array('rooms_total') and size(repeated) = 0")
+    found = found.select(F.regexp_extract("_path", "filed_by=([^/]+)/", 1).alias("submission_id"), F.lit(1).alias("defects"))
+    return days.join(found, "submission_id", "full_outer").na.fill(0)
+
+
 @query("src_02_reservation_files", """
 SELECT reservation_id, strftime(arrival_date, '%Y-%m-%d') AS arrival, room_nights, status, rate_code
 FROM v_res""")

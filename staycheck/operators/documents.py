@@ -1,8 +1,5 @@
 """JSON documents compared path by path, and files compared by digest."""
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,42 +11,20 @@ FIELD_LIMIT = 6
 VALUE_LIMIT = 48
 
 
-NODES = "array<struct<path:string,above:array<string>,kind:string,size:int,value:string>>"
-
-
-def json_nodes():
-    """A pandas UDF listing every node of a JSON document, the document itself included."""
-
-    def nodes(value, path="", above=()):
-        if isinstance(value, dict):
-            yield path, above, "object", 0, None
-            inner = [(f"{path}.{k}" if path else k, v) for k, v in value.items()]
-        elif isinstance(value, list):
-            yield path, above, "array", len(value), None
-            inner = [(f"{path}[{i}]", v) for i, v in enumerate(value)]
-        else:
-            whole = isinstance(value, float) and value.is_integer()
-            yield path, above, "scalar", 0, json.dumps(int(value) if whole else value)
-            return
-        for name, v in inner:
-            yield from nodes(v, name, (*above, path))
+def _kind(json: Column) -> Column:
+    """object, array, number, or the type of another scalar; null for a text that can't be read."""
+    kind = F.schema_of_variant(F.try_parse_json(json))
+    return (F.when(kind.startswith("OBJECT<"), "object").when(kind.startswith("ARRAY<"), "array")
+            .when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), "number").otherwise(kind))
 
-    def rows(doc):
-        names = ("path", "above", "kind", "size", "value")
-        return [] if doc is None else [
-            dict(zip(names, (n[0], list(n[1]), *n[2:]))) for n in nodes(json.loads(doc))]
 
-    @F.pandas_udf(NODES)
-    def udf(docs: pd.Series) -> pd.Series:
-        return docs.map(rows)
-
-    return udf
-
-
-def flatten(docs: DataFrame, key: str, column: str) -> DataFrame:
-    """One row per node of each JSON document: path, kind (object, array, scalar), size, value and
-    the paths above it. One pass, whatever the depth."""
-    return docs.select(key, F.explode(json_nodes()(column)).alias("n")).select(key, "n.*")
+def _members(pairs: DataFrame, side: str) -> DataFrame:
+    """One row per member of each object or array of a side: _k, path of the member, its JSON text."""
+    value = pairs.select("_k", "path", "kind", F.parse_json(side).alias("v"))
+    inner = value.lateralJoin(pairs.sparkSession.tvf.variant_explode(F.col("v").outer()))
+    name = F.when(F.col("kind") == "array", F.format_string("[%d]", "pos")).otherwise(
+        F.concat(F.when(F.col("path") == "", "").otherwise("."), "key"))
+    return inner.select("_k", F.concat("path", name).alias("path"), F.to_json("value").alias(side))
 
 
 def diff_documents(a: DataFrame, b: DataFrame, key: str, column: str,
@@ -57,30 +32,49 @@ def diff_documents(a: DataFrame, b: DataFrame, key: str, column: str,
     """Paths at which two versions of each document differ, volatile fields apart.
 
     A key on one side only, or a list of another length, is reported once, not for every leaf
-    under it.
+    under it, and so is a document of one side only (path ''). A document that is no JSON, or repeats a key,
+    is reported as unreadable where its two texts differ; the others go on.
+
+    Versions meet by key first, and equal texts drop out. What is left is compared a level at a time:
+    members meet by path, equal ones drop out, and only differing objects and lists of one length are
+    opened. So work grows with what differs, and a wide document spreads by path.
     """
-    def side(df, name):
-        flat = flatten(df, key, column)
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col(key).alias(f"_{name}"), F.col(column).alias(name), F.lit(True).alias(f"in_{name}"))
+
+    both = side(a, "a").join(side(b, "b"), F.col("_a").eqNullSafe(F.col("_b")), "full_outer")
+    both = both.filter(~F.col("a").eqNullSafe(F.col("b")) | F.col("in_a").isNull() | F.col("in_b").isNull())
+    # a null text is a document too, and no JSON
+    texts = [F.when(F.col(f"in_{x}"), F.coalesce(x, F.lit(""))).alias(x) for x in ("a", "b")]
+    level = both.select(F.coalesce("_a", "_b").alias("_k"), F.lit("").alias("path"), *texts)
+    found = None
+    while True:
+        kinds = level.withColumns({"_ka": _kind(F.col("a")), "_kb": _kind(F.col("b"))})
+        same = F.col("_ka") == F.col("_kb")
+        equal = F.coalesce(same & (F.to_json(F.try_parse_json("a")) == F.to_json(F.try_parse_json("b"))), F.lit(False)) | (
+            same & (F.col("_ka") == "number") & F.coalesce(
+                F.col("a").try_cast("decimal(38,18)") == F.col("b").try_cast("decimal(38,18)"), F.lit(False)))
+        held = F.col("_ka").isin("object", "array"), F.col("_kb").isin("object", "array")
+        why = (
+            F.when(F.col("a").isNull() | F.col("b").isNull(), "one side only")
+            .when(F.col("_ka").isNull() | F.col("_kb").isNull(), "unreadable")
+            .when((held[0] | held[1]) & ~same, "other kind")
+            .when((F.col("_ka") == "array") & (F.json_array_length("a") != F.json_array_length("b")), "length")
+            .when(~held[0], "value"))
+        rows = stage(kinds.filter(~equal).withColumns({"why": why, "kind": F.col("_ka")}).drop("_ka", "_kb"))
+        told = rows.filter("why is not null").select(F.col("_k").alias(key), "path", "why")
+        found = told if found is None else found.unionByName(told)
+        inside = rows.filter("why is null")
+        if inside.isEmpty():
+            return found
+        left, right = _members(inside, "a"), _members(inside, "b").withColumnsRenamed({"_k": "_o", "path": "_p"})
+        met = left.join(right, F.col("_k").eqNullSafe(F.col("_o")) & (F.col("path") == F.col("_p")), "full_outer").select(
+            F.coalesce("_k", "_o").alias("_k"), F.coalesce("path", "_p").alias("path"), "a", "b")
         plain = F.regexp_replace("path", r"\[[0-9]+\]", "")
-        under = F.exists(F.array(*[F.lit(p) for p in volatile]) if volatile else F.array(),
-                         lambda p: (plain == p) | plain.startswith(F.concat(p, F.lit("."))))
-        kept = flat.filter(~under) if volatile else flat
-        return kept.select(key, "path", F.struct("kind", "size", "value", "above").alias(name))
-
-    both = side(a, "a").join(side(b, "b"), [key, "path"], "full_outer")
-    one_sided = F.col("a").isNull() | F.col("b").isNull()
-    other = F.col("a.kind") != F.col("b.kind")
-    length = (F.col("a.kind") == "array") & (F.col("a.size") != F.col("b.size"))
-    scalar = (F.col("a.kind") == "scalar") & ~F.col("a.value").eqNullSafe(F.col("b.value"))
-    why = (
-        F.when(one_sided, "one side only").when(other, "other kind")
-        .when(length, "length").when(scalar & ~other, "value"))
-    found = stage(both.withColumn("why", why).filter("why is not null").select(
-        key, "path", "why", F.coalesce("a.above", "b.above").alias("above")))
-    stops = found.filter("why <> 'value'").select(key, F.col("path").alias("up"))
-    hidden = found.select(key, "path", F.explode("above").alias("up")).join(
-        stops, [key, "up"], "left_semi").select(key, "path").distinct()
-    return found.join(hidden, [key, "path"], "left_anti").select(key, "path", "why")
+        kept = F.lit(True)
+        for name in volatile:
+            kept = kept & (plain != name) & ~plain.startswith(name + ".")
+        level = met.filter(kept & ~F.col("a").eqNullSafe(F.col("b")))
 
 
 def digest_differences(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

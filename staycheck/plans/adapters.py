@@ -706,6 +706,26 @@ def run_documents(spark: SparkSession, sf_dir: str, second: bool = False) -> Dat
     return table(spark, sf_dir, "events").select(k.alias("doc_id"), doc.alias("doc"))
 
 
+def odd_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two versions of a document per event: by its last digit broken, of one side only, twenty levels deep, a
+    hundred fields wide, with another kind of value or a field more, or 1 written as 1.0."""
+    k = F.col("event_id")
+    case = k % 10
+
+    def version(second: bool) -> Column:
+        deep = F.concat(F.repeat(F.lit('{"d": '), F.lit(20)), F.lit("2" if second else "1"), F.repeat(F.lit("}"), F.lit(20)))
+        changed = F.when(case == 5, "-1").when(case == 6, "[3]").otherwise('"s"') if second else F.lit('"s"')
+        wide = F.concat(F.lit('{"w": {'), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.concat(
+            F.lit('"f'), i.cast("string"), F.lit('": '), F.when(i == k % 100, changed).otherwise(i.cast("string")))), ", "), F.lit("}}"))
+        return (F.when((case == 1), "{broken" if second else "{}").when(case == 4, deep).when(case.isin(5, 6), wide)
+                .when(case == 7, '{"x": {"y": [1, {}]}, "z": null}' if second else '{"z": null}')
+                .otherwise('{"one": 1.0, "list": [true, "a"]}' if second else '{"list": [true, "a"], "one": 1}'))
+
+    events = table(spark, sf_dir, "events")
+    return (events.filter(case != 2).select(k.alias("doc_id"), version(False).alias("doc")),
+            events.filter(case != 3).select(k.alias("doc_id"), version(True).alias("doc")))
+
+
 def baseline_claims(metrics: DataFrame) -> DataFrame:
     """A correct claim table with its labels, the start of every planted fixture."""
     names = F.create_map(*[F.lit(x) for n in NATIONALITIES for x in (n, LABEL_NAMES[n][1])])

@@ -1,6 +1,6 @@
 """Sources. Schemas are declared, never inferred."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staycheck.operators.ranking import ranked
@@ -45,30 +45,59 @@ def _reservation_lines(spark: SparkSession, path: str) -> DataFrame:
 INVENTORY_COLUMNS = {"hotel_id", "day", "rooms_total", "rooms_out_of_order"}
 
 
+INVENTORY_FIELDS = ("submission_id", "hotel_id", "day", "rooms_total", "rooms_out_of_order", "rooms_available", "note")
+MAX_COLUMNS = 64
+
+
+def _inventory_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of inventory files that aren't blank, as cells, with the file's own header and the number of the
+    line below it (the header is 0).
+
+    Lines are numbered inside each split and the splits of a file are added up, so a large file is not
+    gathered in one task. A file's header is one row, which meets the lines by file."""
+    schema = ", ".join(f"c{i} string" for i in range(MAX_COLUMNS))
+    cells = F.from_csv("value", F.lit(schema))
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id")).filter("trim(value) <> ''")
+    lines = lines.withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
+    numbered = ranked(lines, ["_path"], ["_start"], ["_id"], "_n").select(
+        "_path", (F.col("_n") - 1).cast("int").alias("row_no"), F.array(*[cells[f"c{i}"] for i in range(MAX_COLUMNS)]).alias("cells"))
+    header = numbered.filter("row_no = 0").select("_path", F.transform("cells", lambda c: F.lower(F.trim(c))).alias("header"))
+    return numbered.join(header, "_path").withColumn("file", F.substring_index("_path", "/", -1))
+
+
+def _absent() -> Column:
+    return F.array_except(F.array(*[F.lit(c) for c in sorted(INVENTORY_COLUMNS)]), "header")
+
+
+def inventory_defects(spark: SparkSession, path: str) -> DataFrame:
+    """Inventory files whose header lacks a required column, or names one twice: file, _path, missing, repeated.
+    They give no rows."""
+    named = _inventory_lines(spark, path).filter("row_no = 0").select("file", "_path", "header", _absent().alias("missing"), F.array_sort(
+        F.filter(F.array(*[F.lit(c) for c in INVENTORY_FIELDS]),
+                 lambda c: F.size(F.filter("header", lambda h: h == c)) > 1)).alias("repeated"))
+    return named.filter((F.size("missing") > 0) | (F.size("repeated") > 0)).select("file", "_path", "missing", "repeated")
+
+
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Daily inventory files with the 1-based number of each data row in its file.
 
-    Column names come from the header, and every file must have the same one. Rows are numbered
-    inside each split and the splits of a file are added up, so a large file is not gathered in one
-    task. A hotel files for itself where no submission_id column says otherwise.
+    Columns are placed by each file's own header, so files may order and extend them as they like; a file
+    that lacks one gives no rows (inventory_defects names it) and stops no other. A hotel files for itself
+    where no submission_id column says otherwise.
     """
-    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
-    missing = INVENTORY_COLUMNS - set(raw.columns)
-    if missing:
-        raise ValueError(f"inventory lacks required columns: {sorted(missing)}")
-    for name, default in (("submission_id", F.col("hotel_id")), ("note", F.lit(None)),
-                          ("rooms_available", F.lit(None))):
-        if name not in raw.columns:
-            raw = raw.withColumn(name, default.cast("string"))
-    raw = raw.select(
-        "submission_id", *sorted(INVENTORY_COLUMNS), "rooms_available", "note",
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_block_start").alias("_start"))
-    raw = raw.withColumn("_id", F.monotonically_increasing_id())
-    numbered = ranked(raw, ["_path"], ["_start"], ["_id"], "row_no")
-    return parse_inventory(numbered).withColumns({
-        "file": F.substring_index("_path", "/", -1), "row_no": F.col("row_no").cast("int"),
-    }).drop("_path", "_start", "_id")
+    lines = _inventory_lines(spark, path).filter("row_no > 0").filter(F.size(_absent()) == 0)
+    twice = F.exists(F.array(*[F.lit(c) for c in INVENTORY_FIELDS]), lambda c: F.size(F.filter("header", lambda h: h == c)) > 1)
+    lines = lines.filter(~twice)
+
+    def cell(name: str) -> Column:
+        return F.try_element_at("cells", F.nullif(F.array_position("header", name).cast("int"), F.lit(0)))
+
+    raw = lines.select(
+        F.coalesce(cell("submission_id"), cell("hotel_id")).alias("submission_id"),
+        *[cell(c).alias(c) for c in INVENTORY_FIELDS[1:]], "file", "row_no")
+    return parse_inventory(raw)
 
 
 def parse_inventory(raw: DataFrame) -> DataFrame:

@@ -320,10 +320,23 @@ def test_inventory_rows_are_numbered_per_file(spark, tmp_path):
     assert len(rows) == 56 and {r["submission_id"] for r in rows} == {"A", "B"}
     assert all(r["row_no"] == r["day"].day and r["file"] == f"inventory_{r['hotel_id']}.csv"
                for r in rows)
-    (tmp_path / "bad").mkdir()
-    (tmp_path / "bad" / "x.csv").write_text("hotel_id,day\nA,2026-01-01\n")
-    with pytest.raises(ValueError, match="rooms_total"):
-        read_inventory(spark, str(tmp_path / "bad"))
+
+
+def test_one_file_with_another_header_stops_no_other(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\ufeffHotel_ID , day,rooms_total,rooms_out_of_order\nA,2026-01-01,60,1\n\n A,2026-01-02,60,x\n")
+    (tmp_path / "b.csv").write_text('note,rooms_out_of_order,rooms_total,day,hotel_id,submission_id\n"a, b",2,50,2026-01-01,B,S\nshort\n')
+    (tmp_path / "c.csv").write_text("hotel_id,day\nC,2026-01-01\n")
+    (tmp_path / "d.csv").write_text("hotel_id,day,day,rooms_total,rooms_out_of_order\nD,2026-01-01,2026-01-02,9,1\n")
+    (tmp_path / "e.csv").write_text("")
+    got = {(r["file"], r["row_no"]): r for r in readers.read_inventory(spark, str(tmp_path)).collect()}
+    assert set(got) == {("a.csv", 1), ("a.csv", 2), ("b.csv", 1), ("b.csv", 2)}
+    assert (got["a.csv", 1]["submission_id"], got["a.csv", 1]["rooms_out_of_order"]) == ("A", 1)
+    assert got["a.csv", 2]["unreadable"] == ["rooms_out_of_order"]
+    b = got["b.csv", 1]
+    assert (b["submission_id"], b["hotel_id"], b["rooms_total"], b["rooms_out_of_order"], b["note"]) == ("S", "B", 50, 2, "a, b")
+    assert got["b.csv", 2]["day"] is None
+    found = {r["file"]: (r["missing"], r["repeated"]) for r in readers.inventory_defects(spark, str(tmp_path)).collect()}
+    assert found == {"c.csv": (["rooms_out_of_order", "rooms_total"], []), "d.csv": ([], ["day"])}
 
 
 def test_hot_key_evidence_matches_plain_ranges(spark):
