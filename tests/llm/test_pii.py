@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from staycheck.llm import pii
@@ -60,41 +61,74 @@ def test_odd_texts(spark, tmp_path):
             assert [s for s in r.spans.split(",") if s.split(":")[0] in pii.BASE] == base
 
 
-def test_trees_pick_what_looks_like_base_spans(spark):
-    rows = [(i, f"call +1 (743) 555-{i:04d} now" if i % 2 else f"in the year {i:04d} 77 {i:05d} sold") for i in range(400)]
+def planted():
+    """(text, span or none, personal): forms the base patterns miss, written without the examples' generator."""
+    rng = random.Random(77)
+    d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    ibans = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "FR14 2004 1010 0505 0001 3M02 606", "NL91ABNA0417164300", "ES9121000418450200051332"]
+    good = [lambda: ("Please call me on ", f"{d(3)} {d(3)} {d(4)}"), lambda: ("Mobile: ", f"0{d(3)}-{d(3)}-{d(3)}"),
+            lambda: ("You can phone ", f"0049 {d(2)} {d(7)}"), lambda: ("Telefon ", f"0{d(3)} {d(6)}"), lambda: ("my fax: ", f"({d(3)}) {d(3)}-{d(4)}"),
+            lambda: ("Write to ", "jane.doe (at) example dot org"), lambda: ("or reach us under ", "info [at] firma.de"),
+            lambda: ("Kindly transfer it to ", rng.choice(ibans)), lambda: ("Our konto ", rng.choice(ibans)), lambda: ("she was born on ", f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.19{d(2)[0]}4"),
+            lambda: ("geboren am ", f"0{rng.randint(1, 9)}.11.19{rng.randint(40, 99)}"), lambda: ("DOB: ", f"19{rng.randint(40, 99)}-0{rng.randint(1, 9)}-17"),
+            lambda: ("The patient ", "Mrs Margaret Holloway"), lambda: ("signed by ", "Dr. Lindqvist"), lambda: ("He lives at ", f"{rng.randint(1, 300)} Baker Street"),
+            lambda: ("Adresse: ", f"Lindenstraße {rng.randint(1, 99)}"), lambda: ("elle habite ", f"rue de Rivoli {rng.randint(1, 99)}")]
+    bad = [lambda: ("Order number ", d(10)), lambda: ("ISBN ", f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}"), lambda: ("it was released on ", f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.20{rng.randint(10, 30)}"),
+           lambda: ("invoice ", f"{d(4)} {d(4)} {d(4)}"), lambda: ("a sum of $", f"{d(3)}.{d(3)}.{d(3)}"), lambda: ("two boxes of ", f"{d(3)} {d(3)} {d(3)} grains"),
+           lambda: ("we sold 3 @ ", "20"), lambda: ("product code ", "AB12 3456 7890 1234"), lambda: ("Version ", "2.0.14"), lambda: ("in the year ", "1984 12 0000 77")]
+    out = []
+    for i in range(340):
+        before, span = good[i % len(good)]()
+        out.append((f"It rained all day. {before}{span}, and then some.", span, True))
+        before, span = bad[i % len(bad)]()
+        out.append((f"It rained all day. {before}{span}, and then some.", span, False))
+    return out
+
+
+def test_planted_forms_are_added_through_the_query(spark, tmp_path):
+    """Recall 0.9 and more of forms the base patterns miss, at a precision of 0.95 and more; base spans as ever."""
+    rows = [(i, text) for i, (text, _, _) in enumerate(planted())]
+    rows += [(10_000 + i, f"then +1 (743) 555-{i:04d} and 4111 1111 1111 {1000 + i} too") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.spans for r in op10_pii(spark, str(tmp_path)).collect()}
+    caught = added = right = 0
+    for i, (text, span, personal) in enumerate(planted()):
+        at = text.index(span)
+        spans = [s.split(":") for s in got[i].split(",") if s and s.split(":")[0] not in pii.BASE]
+        hit = [s for s in spans if int(s[1]) < at + len(span) and at < int(s[2])]
+        caught += personal and any(int(s[1]) <= at and int(s[2]) >= at + len(span) for s in hit)
+        added += len(spans)
+        right += len(hit) if personal else 0
+        assert all(int(a[2]) <= int(b[1]) for a, b in zip(sorted(spans, key=lambda s: int(s[1])), sorted(spans, key=lambda s: int(s[1]))[1:]))
+    assert caught >= 0.9 * 340 and right >= 0.95 * added, (caught, right, added)
+    for i in range(60):
+        base = {f"{k}:{a}:{b}" for k, a, b in brute(rows[-60 + i][1])}
+        assert base == set(got[10_000 + i].split(","))  # what fails the test of its kind isn't added
+
+
+def test_added_spans_leave_base_spans_alone(spark):
+    rows = [(1, "mail jo.doe@example.org or call 743 555 3824"), (2, "call +1 743 555 3824 x"), (3, "Dr Smith (at) home dot org"), (4, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    model = pii.fit(df)
-    assert model.trees and 0 < model.threshold < 1
-    got = pii.find_pii(df, model).collect()
-    assert all((len(r.spans) > 0) == (r.doc_id % 2 == 1) for r in got)
-    cells = [dict.fromkeys(pii.FEATURES, 0) | {"n": 50, "positive": 50 * k, "half": h, "plus": k} for k in (0, 1) for h in (0, 1)]
+    got = {r.doc_id: [(s["kind"], s["start"], s["end"]) for s in r.spans] for r in pii.find_pii(df, pii.learned(spark)).collect()}
+    assert got[1] == [("email", 5, 23), ("number", 32, 44)] and got[2] == [("phone", 5, 20)] and got[4] == []
+    assert len(got[3]) == 1  # the name and the address overlap
+
+
+def test_trees_and_calibration():
+    cells = [dict.fromkeys(pii.FEATURES, 0) | {"n": 50, "positive": 50 * k, "half": h, "valid": k} for k in (0, 1) for h in (0, 1)]
     trained = pii.train(cells)
-    assert 0.5 < trained.threshold < 1
-    assert pii.train([]).trees == [] and pii.find_pii(df.limit(0), pii.fit(df.limit(0))).count() == 0
-
-
-def test_forms_without_a_label_are_scored_on_context(spark):
-    """Often enough to be learned as negatives, were they any."""
-    def broken(i):
-        number = f"41111111{i:07d}"
-        return number + next(d for d in "01" if not luhn(number + d))
-
-    told = [f"call +1 743 555 {i:04d} now" if i % 2 else f"call +1743555{i:04d} now" for i in range(300)]
-    failed = [f"sold {n[:4]} {n[4:8]} {n[8:12]} {n[12:]} now" if i % 2 else f"sold {n} now" for i in range(300) for n in [broken(i)]]
-    bare = [f"tel 743 555 {i:04d} now" for i in range(300)]
-    spelled = [f"mail bob{i} (at) home dot org now" for i in range(300)]
-    plain = [f"counted 743 555 {i:04d} grains" for i in range(300)]
-    kinds = [("told", told), ("failed", failed), ("bare", bare), ("spelled", spelled), ("plain", plain)]
-    rows = [(n * 1000 + i, t, kind) for n, (kind, texts) in enumerate(kinds) for i, t in enumerate(texts)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, form string")
-    got = {(r.doc_id // 1000): 0 for r in df.collect()}
-    for r in pii.find_pii(df, pii.fit(df)).collect():
-        got[r.doc_id // 1000] += len(r.spans) > 0
-    assert got == {0: 300, 1: 0, 2: 300, 3: 300, 4: 0}
+    assert 0.5 < trained.threshold < 1 and pii.train([]).trees == []
+    held = pii.calibrated(trained, [dict.fromkeys(pii.FEATURES, 0) | {"valid": 1, "n": 90}, dict.fromkeys(pii.FEATURES, 0) | {"n": 10}])
+    assert held.threshold > trained.score(dict.fromkeys(pii.FEATURES, 0) | {"valid": 1})
+    rare = pii.calibrated(trained, [dict.fromkeys(pii.FEATURES, 0) | {"valid": 1, "n": 1}, dict.fromkeys(pii.FEATURES, 0) | {"n": 99}])
+    assert rare.threshold == trained.threshold
 
 
 def test_every_document_is_counted(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(pii, "train", lambda cells, **_: seen.extend(cells) or pii.Model())
-    pii.fit(spark.range(60000).selectExpr("id AS doc_id", "concat('a', id, '@b.org') AS text"))
+    monkeypatch.setattr(pii, "learned", lambda *_: pii.Model())
+    monkeypatch.setattr(pii, "calibrated", lambda model, rows, _: seen.extend(rows) or model)
+    pii.fit(spark.range(60000).selectExpr("id AS doc_id", "concat('a', id, '@b') AS text"))
     assert sum(c["n"] for c in seen) == 60000
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert pii.find_pii(empty, pii.fit(empty)).count() == 0
