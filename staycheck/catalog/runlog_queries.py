@@ -169,16 +169,26 @@ def _(spark, sf):
 
 
 @query("snk_01_ordered_logs", """
-SELECT run_id, count(*) AS lines, min(seq) AS first_seq, max(seq) AS last_seq FROM v_calls
-GROUP BY ALL""")
+SELECT run_id, seq, row_number() OVER (ORDER BY run_id, seq) AS line_no FROM v_calls""")
 def _(spark, sf):
-    from staycheck.sources.readers import read_trace
+    """Every line and its place in the files as written."""
+    from staycheck.sources.readers import numbered_lines
     from staycheck.sources.writers import write_json_lines
     path = shared_dir(spark)
-    write_json_lines(a.call_log(spark, sf), path, ["run_id", "seq"])
-    return read_trace(spark, path).groupBy("run_id").agg(
-        F.count("*").alias("lines"), F.min("seq").alias("first_seq"),
-        F.max("seq").alias("last_seq"))
+    write_json_lines(a.call_log(spark, sf).repartition(7), path, ["run_id", "seq"])
+    told = F.from_json("value", "run_id string, seq bigint")
+    return numbered_lines(spark, path).select(told.alias("x"), "line_no").select("x.run_id", "x.seq", "line_no")
+
+
+@query("src_04_routing", """
+SELECT run_id, seq, node, agent, disposition, needed FROM v_route""")
+def _(spark, sf):
+    """The routing log through its files."""
+    from staycheck.sources.readers import read_routing
+    from staycheck.sources.writers import write_json_lines
+    path = shared_dir(spark)
+    write_json_lines(a.routing_log(spark, sf), path, ["run_id", "seq"])
+    return read_routing(spark, path).drop("reason")
 
 
 @query("sc_14_output_shape", """

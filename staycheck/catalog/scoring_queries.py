@@ -6,7 +6,9 @@ from staycheck import values as v
 from staycheck.catalog.metric_queries import values
 from staycheck.catalog.reconcile_queries import findings, num
 from staycheck.catalog.registry import query
+from staycheck.catalog.verdict_queries import NARRATIVE_PROBLEMS, sourced
 from staycheck.operators import checks
+from staycheck.operators import review as rv
 from staycheck.operators import scoring as sc
 from staycheck.plans import adapters as a
 from staycheck.session import shared_dir, stage
@@ -152,6 +154,37 @@ def _(spark, sf):
     return sc.tally(sc.score_findings(observed, expected), controls)
 
 
+@query("ag_23_rates", f"""
+SELECT submission_id, findings, openable, graded AS narratives_graded, passed AS narratives_passed,
+  openable / findings AS openable_rate, CASE WHEN graded > 0 THEN passed / graded END AS narrative_rate
+FROM (SELECT submission_id, count(*) AS findings, count(*) FILTER (CASE WHEN source_kind = 'not_reached' THEN cell IS NOT NULL
+    ELSE n % 11 <> 0 END) AS openable, count(*) FILTER (n % 4 <> 0) AS graded,
+  count(*) FILTER (n % 4 <> 0 AND (submission_id, finding_id) NOT IN (SELECT (submission_id, finding_id) FROM (
+    {NARRATIVE_PROBLEMS}))) AS passed
+  FROM (SELECT *, CAST(finding_id[3:] AS INTEGER) AS n FROM v_findsrc) GROUP BY ALL)""")
+def _(spark, sf):
+    """Every eleventh finding cites rows past the end of its page or file; every fourth narrative isn't graded."""
+    f = sourced(spark, sf)
+    n = F.substring("finding_id", 3, 20).cast("int")
+    off = f.withColumn("source_row_end", F.col("source_row_end") + F.when(n % 11 == 0, 4000).otherwise(0))
+    wrong = rv.narrative_problems(a.narratives(f), f).select("submission_id", "finding_id").distinct().withColumn("bad", F.lit(True))
+    graded = f.filter(n % 4 != 0).select("submission_id", "finding_id").join(wrong, ["submission_id", "finding_id"], "left")
+    graded = graded.select("submission_id", "finding_id", F.col("bad").isNull().alias("passed"))
+    return sc.rates(off, a.reservation_rows(spark, sf), a.inventory(spark, sf), graded)
+
+
+@query("ag_24_sweep", EXPECTED + """
+SELECT count(*) AS fixtures, count(*) FILTER (seen AND ok) AS passed, count(*) FILTER (seen AND NOT ok) AS failed,
+  count(*) FILTER (NOT seen) AS unmeasured, count(*) > 0 AND bool_and(seen) AS complete
+FROM (SELECT h.hotel_no % 5 <> 3 AS seen, coalesce(bool_and(s.outcome = 'compared' AND s.differs = ''), FALSE) AS ok
+  FROM v_hotels h LEFT JOIN s ON s.fixture_id = h.submission_id GROUP BY h.submission_id, h.hotel_no)""")
+def _(spark, sf):
+    """Fixtures without a verdict are neither passed nor failed, and leave the sweep incomplete."""
+    observed, expected = scores(spark, sf)
+    fixtures = a.hotels(spark, sf).select(F.col("submission_id").alias("fixture_id"), "hotel_no")
+    return sc.sweep(sc.outcomes(sc.score_findings(observed, expected), fixtures, fixtures.filter("hotel_no % 5 <> 3")))
+
+
 @query("ag_24_outcomes", EXPECTED + """
 SELECT h.submission_id AS fixture_id, count(s.fixture_id) AS checks,
   CASE WHEN coalesce(bool_and(s.outcome = 'compared' AND s.differs = ''), FALSE)

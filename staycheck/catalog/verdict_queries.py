@@ -252,7 +252,7 @@ def _(spark, sf):
         "submission_id", "finding_id", "problem")
 
 
-@query("prj_31_narratives", """
+NARRATIVE_PROBLEMS = """
 SELECT * FROM (SELECT submission_id, finding_id, array_to_string([x FOR x IN [
   CASE WHEN echoed_id <> finding_id THEN 'misrouted' END,
   CASE WHEN cites IS NOT NULL AND NOT coalesce(cites = explaining OR list_contains(also, cites),
@@ -261,7 +261,10 @@ SELECT * FROM (SELECT submission_id, finding_id, array_to_string([x FOR x IN [
   CASE WHEN n % 29 = 0 THEN 'ungrounded' END, CASE WHEN n % 31 = 0 THEN 'leaks a number' END,
   CASE WHEN n % 37 = 0 THEN 'names an unassigned cause' END,
   CASE WHEN n % 41 = 0 THEN 'reads as an accusation' END] IF x IS NOT NULL], ',') AS problems
-FROM v_narr) WHERE problems <> ''""")
+FROM v_narr) WHERE problems <> ''"""
+
+
+@query("prj_31_narratives", NARRATIVE_PROBLEMS)
 def _(spark, sf):
     f = staged_findings(spark, sf)
     return rv.narrative_problems(a.narratives(f), f).select(

@@ -135,14 +135,57 @@ def tally(scores: DataFrame, controls: DataFrame) -> DataFrame:
         "class_rate": F.try_divide("class_matched", "class_expected")})
 
 
-def outcomes(scores: DataFrame, fixtures: DataFrame) -> DataFrame:
-    """passed only if every check of a fixture holds; a fixture with no check fails."""
+def openable(findings: DataFrame, rows: DataFrame, inv: DataFrame) -> DataFrame:
+    """submission_id, finding_id, openable: whether what a finding cites is there. A cited range is there if its
+    first and last row are; a finding without a source is openable by its cell."""
+    def ends(kind: str, place: list[str], source: DataFrame) -> DataFrame:
+        mine = findings.filter(F.col("source_kind") == kind)
+        there = source.select("submission_id", *place, "row_no").distinct()
+        cited = mine.select("submission_id", "finding_id", *[F.col(f"source_{c}").alias(c) for c in place], F.explode(F.array_distinct(
+            F.array("source_row_start", "source_row_end"))).alias("row_no"))
+        return cited.join(there, ["submission_id", *place, "row_no"], "left_anti")
+
+    gone = ends("pdf", ["file", "page"], rows).select("submission_id", "finding_id").union(
+        ends("inventory", ["file"], inv).select("submission_id", "finding_id")).distinct().withColumn("_gone", F.lit(True))
+    reached = F.col("source_kind") != "not_reached"
+    return findings.join(gone, ["submission_id", "finding_id"], "left").select(
+        "submission_id", "finding_id", F.when(reached, F.col("_gone").isNull()).otherwise(F.col("cell").isNotNull()).alias("openable"))
+
+
+def rates(findings: DataFrame, rows: DataFrame, inv: DataFrame, graded: DataFrame) -> DataFrame:
+    """Per submission: how many findings cite what is there, and how many graded narratives passed. graded:
+    submission_id, finding_id, passed. A rate over nothing is null, not one."""
+    cited = openable(findings, rows, inv).groupBy("submission_id").agg(
+        F.count("*").alias("findings"), F.count_if("openable").alias("openable"))
+    told = graded.groupBy("submission_id").agg(
+        F.count("passed").alias("narratives_graded"), F.count_if("passed").alias("narratives_passed"))
+    both = cited.join(told, "submission_id", "full_outer").na.fill(0)
+    return both.withColumns({"openable_rate": F.try_divide("openable", "findings"),
+                             "narrative_rate": F.try_divide("narratives_passed", "narratives_graded")})
+
+
+def outcomes(scores: DataFrame, fixtures: DataFrame, measured: DataFrame | None = None) -> DataFrame:
+    """passed only if every check of a fixture holds; a fixture with no check fails. measured: the fixtures
+    (fixture_id) that have a verdict; another one is unmeasured, neither passed nor failed."""
     clean = (F.col("outcome") == "compared") & (F.size("differs") == 0) & (F.col("seen") == 1)
     per = scores.groupBy("fixture_id").agg(F.bool_and(clean).alias("ok"),
                                            F.count("*").alias("checks"))
-    return fixtures.select("fixture_id").distinct().join(per, "fixture_id", "left").select(
+    out = fixtures.select("fixture_id").distinct().join(per, "fixture_id", "left").select(
         "fixture_id", F.coalesce("checks", F.lit(0)).alias("checks"),
         F.when(F.coalesce("ok", F.lit(False)), "passed").otherwise("failed").alias("outcome"))
+    if measured is None:
+        return out
+    seen = measured.select("fixture_id").distinct().withColumn("_seen", F.lit(True))
+    return out.join(seen, "fixture_id", "left").withColumn(
+        "outcome", F.when(F.col("_seen").isNull(), "unmeasured").otherwise(F.col("outcome"))).drop("_seen")
+
+
+def sweep(scored: DataFrame) -> DataFrame:
+    """One row over all outcomes: fixtures, passed, failed, unmeasured, and whether the sweep is complete. One
+    without a fixture is not."""
+    counts = scored.agg(F.count("*").alias("fixtures"), *[
+        F.count_if(F.col("outcome") == o).alias(o) for o in ("passed", "failed", "unmeasured")])
+    return counts.withColumn("complete", (F.col("fixtures") > 0) & (F.col("unmeasured") == 0))
 
 
 def partition_problems(rules: DataFrame, members: list[str]) -> DataFrame:

@@ -117,6 +117,15 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     return docs.select("hotel_id", F.explode("metrics").alias("metric_key", "value"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value and line_no (from 1) of the lines below a folder, files in the order of their names: the order
+    write_json_lines gave them. Lines are counted per split, so no task holds a whole file."""
+    lines = spark.read.text(path).select(
+        "value", F.lit(0).alias("_all"), F.col("_metadata.file_path").alias("_path"),
+        F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    return ranked(lines, ["_all"], ["_path", "_start"], ["_id"], "line_no").select("value", "line_no")
+
+
 def read_nodes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(NODE).json(path)
 

@@ -8,7 +8,9 @@ from staycheck.operators.verdicts import verdict_documents
 
 
 def write_json_lines(df: DataFrame, path: str, order: list[str]) -> None:
-    """JSON lines in order, personal data and credentials redacted on the way out."""
+    """JSON lines in order, personal data and credentials redacted on the way out. Ranges of the order become
+    files whose names sort like the ranges, so the lines of all files in name order are in order
+    (readers.numbered_lines)."""
     line = redact(F.to_json(F.struct(*[F.col(c) for c in df.columns]))).alias("value")
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged.select(line).write.text(path)
