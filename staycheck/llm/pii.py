@@ -132,7 +132,8 @@ def proposed(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, base spans and candidates with their features; is_base: the candidate has the form
     of a base span; is_broken: it has the looks and fails the test."""
     rows = doc_rows(docs)
-    some = f"text RLIKE r'[0-9@]|[(\\[]at[)\\]]|\\b(?:{TITLES})\\.?\\x20'"  # no pattern can match without one of these
+    # no pattern can match without one of these; what begins like a title is told by a few first letters
+    some = "(text RLIKE r'[0-9@]' OR contains(text, 'at)') OR contains(text, 'at]') OR text RLIKE r'[DFHMPS]\\p{L}{1,7}\\.?\\x20\\p{Lu}')"
     rows = rows.select("doc_id", "row_key", F.expr(f"IF({some}, text, '')").alias("text"))
     rows = rows.select("doc_id", "row_key", F.expr(_base("text")).alias("base"), F.expr(_candidates("text")).alias("found"))
     # no expression inside a lambda reads another column: it would be worked out for each element
@@ -316,7 +317,8 @@ def calibrated(model: Model, broken: list[dict], precision: float = PRECISION) -
 def fit(docs: DataFrame, precision: float = PRECISION) -> Model:
     """Learn from the examples, calibrate on the look-alikes of all documents."""
     model = learned(docs.sparkSession, precision)
-    found = proposed(docs).select(F.explode("found").alias("x")).where("x.is_broken")
+    # outer, as Spark would otherwise work the candidates out once more to see whether there are any
+    found = proposed(docs).select(F.explode_outer("found").alias("x")).where("x.is_broken")
     return calibrated(model, [r.asDict() for r in _counted(found)], precision)
 
 
