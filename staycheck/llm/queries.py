@@ -109,6 +109,7 @@ def learns_language():
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """held_out is null for a null doc_id: such a row is scored, and neither learned from nor held out."""
     docs = table(spark, sf_dir, "documents")
     named = language_id.classify(docs, language_id.fit(docs, learns_language()))
     return named.select("doc_id", (~learns_language()).alias("held_out"), "lang_pred", "score", "rejected")
@@ -129,6 +130,7 @@ def learns_quality():
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """held_out is null for a null doc_id: such a row is scored, and neither learned from nor held out."""
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), learns_quality())
     return quality.score(docs, model).select("doc_id", (~learns_quality()).alias("held_out"), "score",
@@ -176,6 +178,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text against its own edit and against the next document, by the nodes of their trees."""
     rows = doc_rows(table(spark, sf_dir, "documents"))
     paired = fingerprint.with_next(rows, ["text", "nodes"], fingerprint.with_tree)
     paired = paired.withColumn("n_chars", F.length("text").cast("long"))
@@ -233,6 +236,8 @@ def with_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every text, one document of ten with a planted period; the greatest run's columns are null
+    where there is none."""
     found = periodic.find_runs(with_repeats(table(spark, sf_dir, "documents")))
     told = F.expr("array_join(transform(runs, x -> concat(x.start, ',', x.length, ',', x.period, '\n')), '')")
     best = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), periodic.greatest().alias("best"),
