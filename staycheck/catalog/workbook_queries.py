@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from staycheck.catalog.metric_queries import values
+from staycheck.catalog.metric_queries import staged_claims
 from staycheck.catalog.reconcile_queries import num
 from staycheck.catalog.registry import query
 from staycheck.functions import cells as cl
@@ -15,7 +15,7 @@ from staycheck.session import stage
 
 
 def claims(spark, sf):
-    return a.claims(values(spark, sf))
+    return staged_claims(spark, sf)
 
 
 def cells(spark, sf):
