@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from staycheck import values as v
-from staycheck.catalog.metric_queries import values
+from staycheck.catalog.metric_queries import staged_values, values
 from staycheck.catalog.reconcile_queries import findings, num
 from staycheck.catalog.registry import query
 from staycheck.catalog.verdict_queries import NARRATIVE_PROBLEMS, sourced
@@ -11,7 +11,7 @@ from staycheck.operators import checks
 from staycheck.operators import review as rv
 from staycheck.operators import scoring as sc
 from staycheck.plans import adapters as a
-from staycheck.session import shared_dir, stage
+from staycheck.session import shared_dir, spread, stage
 from staycheck.sources import readers
 
 
@@ -93,7 +93,7 @@ FROM v_claims c FULL JOIN (SELECT * FROM v_base WHERE v IS NOT NULL) b
 WHERE c.value IS NULL OR b.v IS NULL OR abs(c.value - b.v)
   > CASE WHEN c.metric = 'occupancy_pct' THEN 0.10 ELSE 0 END""")
 def _(spark, sf):
-    metrics = values(spark, sf)
+    metrics = staged_values(spark, sf)
     return sc.derive_expected(a.claims(metrics), a.baseline_claims(metrics), "V1").select(
         "submission_id", "metric_key", "variance_class", num("claimed"), num("computed"),
         num("difference"))
@@ -268,7 +268,7 @@ def _inventory_folder(spark, sf, lacking: bool = False) -> str:
         kinds = [(when & ~lacks, columns) for when, columns in kinds] + [(lacks, [c for c in plain if c != "rooms_total"])]
     for when, columns in kinds:
         # one folder per submission: a submission's inventory is a few thousand days
-        inv.filter(when).repartition("submission_id").sortWithinPartitions("submission_id", "day").select(
+        spread(inv.filter(when), "submission_id").sortWithinPartitions("submission_id", "day").select(
             *columns, "filed_by").write.mode("append").partitionBy("filed_by").option("header", True).csv(path)
     return path
 

@@ -49,22 +49,37 @@ INVENTORY_FIELDS = ("submission_id", "hotel_id", "day", "rooms_total", "rooms_ou
 MAX_COLUMNS = 64
 
 
+def _raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that aren't blank, with their file and place."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id")).filter("trim(value) <> ''")
+    return lines.withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
+
+
 def _inventory_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of inventory files that aren't blank, as cells, with the file's own header and the number of the
     line below it (the header is 0).
 
     Lines are numbered inside each split and the splits of a file are added up, so a large file is not
     gathered in one task. A file's header is one row, which meets the lines by file."""
+    lines = _raw_lines(spark, path)
+    numbered = ranked(lines, ["_path"], ["_start"], ["_id"], "_n").select("_path", (F.col("_n") - 1).cast("int").alias("row_no"), "value")
+    numbered = numbered.withColumn("cells", _cells())
+    return numbered.drop("value").join(_headers(lines), "_path").withColumn("file", F.substring_index("_path", "/", -1))
+
+
+def _cells() -> Column:
+    """The cells of a line. They are read as one array after the line is parsed: asked for one by one, Spark
+    would parse the line for each of them."""
     schema = ", ".join(f"c{i} string" for i in range(MAX_COLUMNS))
-    cells = F.from_csv("value", F.lit(schema))
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_id")).filter("trim(value) <> ''")
-    lines = lines.withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
-    numbered = ranked(lines, ["_path"], ["_start"], ["_id"], "_n").select(
-        "_path", (F.col("_n") - 1).cast("int").alias("row_no"), F.array(*[cells[f"c{i}"] for i in range(MAX_COLUMNS)]).alias("cells"))
-    header = numbered.filter("row_no = 0").select("_path", F.transform("cells", lambda c: F.lower(F.trim(c))).alias("header"))
-    return numbered.join(header, "_path").withColumn("file", F.substring_index("_path", "/", -1))
+    return F.transform(F.array(F.from_csv("value", F.lit(schema))), lambda c: F.array(*[c[f"c{i}"] for i in range(MAX_COLUMNS)]))[0]
+
+
+def _headers(lines: DataFrame) -> DataFrame:
+    """The first line of each file, in lower case."""
+    first = lines.groupBy("_path").agg(F.min_by("value", F.struct("_start", "_id")).alias("value"))
+    return first.select("_path", F.transform(_cells(), lambda c: F.lower(F.trim(c))).alias("header"))
 
 
 def _absent() -> Column:
@@ -74,7 +89,7 @@ def _absent() -> Column:
 def inventory_defects(spark: SparkSession, path: str) -> DataFrame:
     """Inventory files whose header lacks a required column, or names one twice: file, _path, missing, repeated.
     They give no rows."""
-    named = _inventory_lines(spark, path).filter("row_no = 0").select("file", "_path", "header", _absent().alias("missing"), F.array_sort(
+    named = _headers(_raw_lines(spark, path)).withColumn("file", F.substring_index("_path", "/", -1)).select("file", "_path", "header", _absent().alias("missing"), F.array_sort(
         F.filter(F.array(*[F.lit(c) for c in INVENTORY_FIELDS]),
                  lambda c: F.size(F.filter("header", lambda h: h == c)) > 1)).alias("repeated"))
     return named.filter((F.size("missing") > 0) | (F.size("repeated") > 0)).select("file", "_path", "missing", "repeated")

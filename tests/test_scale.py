@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from staycheck.operators import checks, evidence
 from staycheck.session import spread
+from staycheck.sources import readers
 
 
 def plan(df):
@@ -39,3 +40,15 @@ def test_few_rows_are_dealt_over_tasks(spark):
     rows = spread(spark.range(100).distinct(), "id")
     assert rows.rdd.getNumPartitions() == min(3 * spark.sparkContext.defaultParallelism, 4)
     assert rows.count() == 100
+
+
+def test_a_line_is_parsed_once(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\n" + "Day,hotel_id,rooms_total,rooms_out_of_order\n\n1995-01-01,H-1,5,0\n1995-01-02,H-1,\"6\",1\n")
+    (tmp_path / "b.csv").write_text("﻿day,hotel_id,rooms_total\n1995-01-01,H-2,5\n")
+    read = readers.read_inventory(spark, str(tmp_path))
+    text = read._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= text.count("from_csv") <= 4
+    assert sorted((r.submission_id, r.row_no, r.rooms_total, r.rooms_out_of_order) for r in read.collect()) == [
+        ("H-1", 1, 5, 0), ("H-1", 2, 6, 1)]
+    assert [(r.file, r.missing, r.repeated) for r in readers.inventory_defects(spark, str(tmp_path)).collect()] == [
+        ("b.csv", ["rooms_out_of_order"], [])]
