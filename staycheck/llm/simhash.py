@@ -95,7 +95,8 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("print").alias("a"), F.max("print").alias("b"))
         .where("n > 1").withColumn("v", F.shiftright("signature", 32).cast("int")))
     twos = met.where(f"n = 2 AND {_close('a', 'b', 'v')}").select("a", "b")
-    members = persisted(signed.drop("v").join(met.where("n > 2").select("signature", "n", "v"), "signature"))
+    # sorted and merged at every size: broadcast, the shared signatures would grow with the corpus
+    members = persisted(signed.drop("v").join(met.where("n > 2").select("signature", "n", "v").hint("merge"), "signature"))
     few = members.where(F.col("n") <= crowd)
     pairs = few.select("signature", "v", F.col("print").alias("a")).join(
         few.select("signature", F.col("print").alias("b")), "signature").where(

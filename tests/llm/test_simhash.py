@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from staycheck.llm import simhash
 from staycheck.llm.queries import op6_simhash
+from staycheck.session import stage
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +79,18 @@ def test_links_of_crowded_signatures(spark, crowd):
     for i, least in brute_components(prints).items():
         want.setdefault(least, set()).add(i)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+def test_shared_signatures_are_merged_at_every_size(spark, monkeypatch):
+    """A broadcast of the smaller corpus's signatures hid a shuffle that the larger one needs."""
+    plans = []
+
+    def recorded(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df)
+
+    monkeypatch.setattr(simhash, "persisted", recorded)
+    prints = spark.createDataFrame([(0,), (1,), (3,), (1 << 40,)], "print long")
+    simhash.links(prints)
+    joins = [p for p in plans if "Join" in p]
+    assert joins and all("SortMergeJoin [signature" in p and "BroadcastHashJoin" not in p for p in joins)
