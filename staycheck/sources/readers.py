@@ -57,23 +57,31 @@ def _raw_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
 
 
-def _inventory_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of inventory files that aren't blank, as cells, with the file's own header and the number of the
-    line below it (the header is 0).
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Lines with their number below the header of their file (the header is 0).
 
     Lines are numbered inside each split and the splits of a file are added up, so a large file is not
-    gathered in one task. A file's header is one row, which meets the lines by file."""
-    lines = _raw_lines(spark, path)
-    numbered = ranked(lines, ["_path"], ["_start"], ["_id"], "_n").select("_path", (F.col("_n") - 1).cast("int").alias("row_no"), "value")
-    numbered = numbered.withColumn("cells", _cells())
-    return numbered.drop("value").join(_headers(lines), "_path").withColumn("file", F.substring_index("_path", "/", -1))
+    gathered in one task."""
+    numbered = ranked(lines, ["_path"], ["_start"], ["_id"], "_n")
+    return numbered.select("_path", (F.col("_n") - 1).cast("int").alias("row_no"), "value")
 
 
 def _cells() -> Column:
     """The cells of a line. They are read as one array after the line is parsed: asked for one by one, Spark
     would parse the line for each of them."""
     schema = ", ".join(f"c{i} string" for i in range(MAX_COLUMNS))
-    return F.transform(F.array(F.from_csv("value", F.lit(schema))), lambda c: F.array(*[c[f"c{i}"] for i in range(MAX_COLUMNS)]))[0]
+    return F.transform(F.array(F.from_csv(_filled(), F.lit(schema))), lambda c: F.array(*[c[f"c{i}"] for i in range(MAX_COLUMNS)]))[0]
+
+
+def _filled() -> Column:
+    """The line with as many empty cells at its end as the schema has columns more than it: they are read as null,
+    as the missing ones are, but a line of another length is malformed to Spark, which takes some fifteen times as
+    long. A line whose quotes aren't plain (each around a whole cell, none inside) or that has a backslash stays as
+    it is, since its end may lie inside a quoted cell."""
+    plain = F.regexp_replace("value", r'(^|,)"[^"\\]*"(?=,|\z)', "$1")
+    commas = F.length(plain) - F.length(F.translate(plain, ",", ""))
+    return F.when(~plain.rlike(r'["\\]') & (commas < MAX_COLUMNS), F.concat(
+        "value", F.repeat(F.lit(","), F.lit(MAX_COLUMNS - 1) - commas))).otherwise(F.col("value"))
 
 
 def _headers(lines: DataFrame) -> DataFrame:
@@ -82,16 +90,22 @@ def _headers(lines: DataFrame) -> DataFrame:
     return first.select("_path", F.transform(_cells(), lambda c: F.lower(F.trim(c))).alias("header"))
 
 
-def _absent() -> Column:
-    return F.array_except(F.array(*[F.lit(c) for c in sorted(INVENTORY_COLUMNS)]), "header")
+def _layouts(lines: DataFrame) -> DataFrame:
+    """What each file's header says, worked out once a file and not for each of its lines: file, _path, the required
+    columns it lacks (missing), the columns it names twice (repeated) and the place of each column (at; null:
+    absent)."""
+    fields = F.array(*[F.lit(c) for c in INVENTORY_FIELDS])
+    required = F.array(*[F.lit(c) for c in sorted(INVENTORY_COLUMNS)])
+    return _headers(lines).select(
+        F.substring_index("_path", "/", -1).alias("file"), "_path", F.array_except(required, "header").alias("missing"),
+        F.array_sort(F.filter(fields, lambda c: F.size(F.filter("header", lambda h: h == c)) > 1)).alias("repeated"),
+        F.struct(*[F.nullif(F.array_position("header", c).cast("int"), F.lit(0)).alias(c) for c in INVENTORY_FIELDS]).alias("at"))
 
 
 def inventory_defects(spark: SparkSession, path: str) -> DataFrame:
     """Inventory files whose header lacks a required column, or names one twice: file, _path, missing, repeated.
     They give no rows."""
-    named = _headers(_raw_lines(spark, path)).withColumn("file", F.substring_index("_path", "/", -1)).select("file", "_path", "header", _absent().alias("missing"), F.array_sort(
-        F.filter(F.array(*[F.lit(c) for c in INVENTORY_FIELDS]),
-                 lambda c: F.size(F.filter("header", lambda h: h == c)) > 1)).alias("repeated"))
+    named = _layouts(_raw_lines(spark, path))
     return named.filter((F.size("missing") > 0) | (F.size("repeated") > 0)).select("file", "_path", "missing", "repeated")
 
 
@@ -102,14 +116,14 @@ def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     that lacks one gives no rows (inventory_defects names it) and stops no other. A hotel files for itself
     where no submission_id column says otherwise.
     """
-    lines = _inventory_lines(spark, path).filter("row_no > 0").filter(F.size(_absent()) == 0)
-    twice = F.exists(F.array(*[F.lit(c) for c in INVENTORY_FIELDS]), lambda c: F.size(F.filter("header", lambda h: h == c)) > 1)
-    lines = lines.filter(~twice)
+    lines = _raw_lines(spark, path)
+    good = _layouts(lines).filter((F.size("missing") == 0) & (F.size("repeated") == 0)).select("_path", "file", "at")
+    placed = _numbered(lines).filter("row_no > 0").withColumn("cells", _cells()).drop("value").join(good, "_path")
 
     def cell(name: str) -> Column:
-        return F.try_element_at("cells", F.nullif(F.array_position("header", name).cast("int"), F.lit(0)))
+        return F.try_element_at("cells", F.col("at")[name])
 
-    raw = lines.select(
+    raw = placed.select(
         F.coalesce(cell("submission_id"), cell("hotel_id")).alias("submission_id"),
         *[cell(c).alias(c) for c in INVENTORY_FIELDS[1:]], "file", "row_no")
     return parse_inventory(raw)
